@@ -71,22 +71,24 @@ def steps(low: Column, high: Column, by: int = 1) -> Column:
     return F.explode(F.when(low <= high, F.sequence(low, high, F.lit(by))))
 
 
-def with_partner_lengths(df: DataFrame, full: Column, v: int, probe: bool) -> DataFrame:
+def with_partner_lengths(df: DataFrame, full: Column, probe: bool) -> DataFrame:
     """One row per partner length within the edit bound, with `d` (same parity) and `delta`.
 
-    `full` is the length the bound is taken on. `other` runs over lengths with
-    |full - other| <= (full + other) / v.
+    `full` is the length the bound is taken on; the column `v` holds the bound's divisor. The
+    partner length runs over all values with |full - other| <= (full + other) / v.
     """
-    low = F.ceil(full * (v - 1) / (v + 1)).cast("int")
-    high = F.floor(full * (v + 1) / (v - 1)).cast("int")
-    df = df.withColumn("_full", full).withColumn("_other", steps(low, high))
+    v = F.col("v")
+    df = df.withColumn("_full", full)
+    low = F.ceil(F.col("_full") * (v - 1) / (v + 1))
+    high = F.floor(F.col("_full") * (v + 1) / (v - 1))
+    df = df.withColumn("_other", steps(low, high))
     both = F.col("_full") + F.col("_other")
     bound = F.floor(both / v).cast("int")
     delta = F.col("_full") - F.col("_other") if probe else F.col("_other") - F.col("_full")
     return (
         df.withColumn("d", (bound - F.pmod(both - bound, F.lit(2))).cast("int"))
         .withColumn("delta", delta.cast("int"))
-        .drop("_full", "_other")
+        .drop("_full", "_other", "v")
     )
 
 
@@ -122,66 +124,59 @@ def segment_rows(df: DataFrame, parent: Column, kind: Column, probe: bool) -> Da
 
 
 def texts(df: DataFrame) -> DataFrame:
-    """Every label as the texts that are compared: raw, sorted tokens, sorted distinct tokens."""
-    toks = sorted_tokens(F.col("label"))
+    """Every label as the texts that are compared: raw, sorted tokens, sorted distinct tokens.
+
+    `v` is the divisor of the edit bound that goes with the text.
+    """
     variants = F.array_distinct(F.array(joined("toks"), joined(F.array_distinct("toks"))))
-    raw = F.struct(F.lit("r").alias("kind"), F.col("label").alias("rest"))
-    others = F.transform(variants, lambda t: F.struct(F.lit("t").alias("kind"), t.alias("rest")))
-    each = F.explode(F.concat(F.array(raw), others)).alias("_t")
+
+    def text(kind: str, v: int, rest: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(v).alias("v"), rest.alias("rest"))
+
+    sorted_texts = F.transform(variants, lambda t: text("t", TOKENS, t))
+    each = F.explode(F.concat(F.array(text("r", RAW, F.col("label"))), sorted_texts)).alias("_t")
+    toks = sorted_tokens(F.col("label"))
     return df.withColumn("toks", toks).select("label", "ord", each).select("label", "ord", "_t.*")
 
 
 def text_rows(df: DataFrame, probe: bool, max_x: int | None) -> DataFrame:
     """Families r and t for x texts of at most `max_x` characters (None: of any length)."""
-    out = None
-    for kind, v in (("r", RAW), ("t", TOKENS)):
-        part = texts(df).where(F.col("kind") == kind).drop("kind")
-        part = with_partner_lengths(part, F.length("rest"), v, probe)
-        if max_x is not None:
-            n = F.length("rest") - (F.col("delta") if probe else F.lit(0))
-            part = part.where(n <= max_x)
-        if kind == "r":
-            part = part.where(F.col("d") > 0)
-        part = segment_rows(part, F.lit(0).cast("long"), F.lit(kind), probe)
-        out = part if out is None else out.unionAll(part)
-    return out
+    part = with_partner_lengths(texts(df), F.length("rest"), probe)
+    if max_x is not None:
+        n = F.length("rest") - (F.col("delta") if probe else F.lit(0))
+        part = part.where(n <= max_x)
+    part = part.where((F.col("kind") == "t") | (F.col("d") > 0))
+    return segment_rows(part, F.lit(0).cast("long"), F.col("kind"), probe)
 
 
 def long_rows(df: DataFrame, probe: bool) -> DataFrame:
     """Families q and u: chunks of long x texts, at a position known to one edit bound."""
-    out = None
-    for kind, text, v, size in (("q", "r", RAW, 4), ("u", "t", TOKENS, 8)):
-        part = texts(df).where(F.col("kind") == text).drop("kind")
-        part = part.withColumn("_n", F.length("rest"))
-        if probe:
-            low = F.greatest(F.lit(LONG + 1), F.ceil(F.col("_n") * (v - 1) / (v + 1)))
-            high = F.floor(F.col("_n") * (v + 1) / (v - 1))
-            part = part.where(high >= low)
-            part = part.withColumn("_class", steps(length_class(low), length_class(high)))
-            part = part.withColumn("at", steps(F.lit(0), F.col("_n") - size))
-        else:
-            part = part.where(F.col("_n") > LONG)
-            part = part.withColumn("_class", length_class(F.col("_n")))
-            chunks = F.floor(F.col("_n") * 2 / (v - 1)).cast("int")
-            part = part.withColumn("at", steps(F.lit(0), chunks))
-            part = part.withColumn("at", F.col("at") * size)
-        top = F.lit(LONG) * F.pow(F.lit(CLASS_STEP), F.col("_class") + 1)
-        width = F.ceil(top * 2 / (v - 1)).cast("int") + 1
-        slot = F.floor(F.col("at") / width).cast("int")
-        if probe:
-            part = part.withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-        else:
-            part = part.withColumn("_slot", slot)
-        part = rows(
-            part,
-            key=F.xxhash64(
-                F.lit(kind), "_class", "_slot", F.substring("rest", F.col("at") + 1, F.lit(size))
-            ),
-            kind=F.lit(kind),
-            rest=F.col("rest"),
-        )
-        out = part if out is None else out.unionAll(part)
-    return out
+    v, n = F.col("v"), F.col("_n")
+    raw = F.col("kind") == "r"
+    part = texts(df).withColumn("_n", F.length("rest"))
+    part = part.withColumn("_size", F.when(raw, 4).otherwise(8))
+    if probe:
+        low = F.greatest(F.lit(LONG + 1), F.ceil(n * (v - 1) / (v + 1)))
+        high = F.floor(n * (v + 1) / (v - 1))
+        part = part.where(high >= low)
+        part = part.withColumn("_class", steps(length_class(low), length_class(high)))
+        part = part.withColumn("at", steps(F.lit(0), n - F.col("_size")))
+    else:
+        part = part.where(n > LONG).withColumn("_class", length_class(n))
+        part = part.withColumn("_chunk", steps(F.lit(0), F.floor(n * 2 / (v - 1))))
+        part = part.withColumn("at", F.col("_chunk") * F.col("_size"))
+    top = F.lit(LONG) * F.pow(F.lit(CLASS_STEP), F.col("_class") + 1)
+    width = F.ceil(top * 2 / (v - 1)).cast("int") + 1
+    slot = F.floor(F.col("at") / width).cast("int")
+    near = F.explode(F.array(slot - 1, slot, slot + 1)) if probe else slot
+    part = part.withColumn("_slot", near).withColumn("kind", F.when(raw, "q").otherwise("u"))
+    chunk = F.substring("rest", F.col("at") + 1, F.col("_size"))
+    return rows(
+        part,
+        key=F.xxhash64("kind", "_class", "_slot", chunk),
+        kind=F.col("kind"),
+        rest=F.col("rest"),
+    )
 
 
 def length_class(n: Column) -> Column:
@@ -233,10 +228,13 @@ def window_rows(df: DataFrame, probe: bool) -> DataFrame:
     return as_shorter.unionAll(as_longer)
 
 
-def first_rows(df: DataFrame, probe: bool) -> DataFrame:
-    """All signature rows of (label, ord)."""
+def first_rows(df: DataFrame, probe: bool, long_x: bool = True) -> DataFrame:
+    """All signature rows of (label, ord); `long_x` tells whether x has labels above LONG."""
     out = text_rows(df, probe, LONG)
-    for part in (long_rows(df, probe), token_rows(df), window_rows(df, probe)):
+    parts = [token_rows(df), window_rows(df, probe)]
+    if long_x:
+        parts.append(long_rows(df, probe))
+    for part in parts:
         out = out.unionAll(part)
     return out
 
@@ -248,6 +246,17 @@ def can_refine() -> Column:
     return F.when(segments, n_left > F.col("d")).otherwise(~F.col("kind").isin(*FINAL_KINDS))
 
 
+def row_weight() -> Column:
+    """About how many rows a row becomes when its key is refined."""
+    segments = F.pow(F.col("d") + 2, F.lit(2)) / 4
+    return (
+        F.when(F.col("kind").isin(*SEGMENT_KINDS), segments)
+        .when(F.col("kind").isin("q", "u"), F.lit(1024.0))
+        .when(F.col("kind").isin("s", "a", "b"), F.lit(8.0))
+        .otherwise(F.lit(1.0))
+    )
+
+
 def split_refinable(df: DataFrame, probe: bool) -> tuple[DataFrame, DataFrame]:
     """(rows that can be refined, rows that cannot)."""
     delta = F.col("delta") if probe else F.lit(0)
@@ -295,7 +304,8 @@ def refine_tokens(df: DataFrame, probe: bool) -> DataFrame:
         )
     apart = df.where(left > 0).withColumnRenamed("key", "_parent")
     apart = apart.drop("d", "delta")
-    apart = with_partner_lengths(apart, F.length(joined("toks")), TOKENS, probe)
+    apart = apart.withColumn("v", F.lit(TOKENS))
+    apart = with_partner_lengths(apart, F.length(joined("toks")), probe)
     apart = apart.where(F.col("d") > 0)
     apart = segment_rows(apart, F.col("_parent"), F.lit("d"), probe)
     return more.unionAll(ends[0]).unionAll(ends[1]).unionAll(apart)

@@ -5,18 +5,22 @@ from pyspark.sql import functions as F
 
 from yearweave.functions.similarity import FAR_RATIO, NEAR_RATIO, THRESHOLD, label_scores
 from yearweave.operators.signatures import (
+    LONG,
     RAW,
     TOKENS,
     first_rows,
     joined,
     refine,
+    row_weight,
     split_refinable,
 )
 from yearweave.session import cut_lineage
 
-FANOUT = 64
+FANOUT = 16
 MAX_LEVELS = 12
 ROWS_PER_SALT = 1024
+# With a side this small no key can pair a label with more than SMALL others.
+SMALL = 64
 
 
 def similarity_join(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -45,12 +49,17 @@ def best_partner(pairs: DataFrame) -> DataFrame:
 def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Distinct (label, x_label, x_ord): every pair that scores 90 or more, and few others.
 
-    A key is over-full when more than `fanout` labels of both sides have it. Over-full keys are
-    never joined as they are but replaced by longer ones, level by level, so the pairs stay
-    within `fanout` per signature row. Pairs that share everything that can be keyed are joined
-    with the x rows of a key spread over as many tasks as they need.
+    A key is over-full when more labels of both sides have it than refining their rows would
+    cost, `fanout` times over. Over-full keys are never joined as they are but replaced by longer
+    ones, level by level, so candidates stay within a fixed number per signature row. Labels that
+    share everything that can be keyed are joined with the x rows of a key dealt out over tasks.
     """
-    left, right = first_rows(labels, True), first_rows(x, False)
+    n_labels, _ = size_and_length(labels)
+    n_x, longest_x = size_and_length(x)
+    left = first_rows(labels, True, longest_x > LONG)
+    right = first_rows(x, False, longest_x > LONG)
+    if min(n_labels, n_x) <= SMALL:
+        return one_row_per_pair(match(left, right))
     found = None
     for level in range(MAX_LEVELS + 1):
         full = overfull_keys(left, right, fanout)
@@ -68,7 +77,16 @@ def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
         right, right_rest = split_refinable(right, False)
         found = union(found, match_spread(left_rest, right_rest, full))
         left, right = refine(left, True), refine(right, False)
-    # One row per pair; pairs by containment all score the same, so only the first x stays.
+    return one_row_per_pair(found)
+
+
+def size_and_length(df: DataFrame) -> tuple[int, int]:
+    longest = F.coalesce(F.max(F.length("label")), F.lit(0))
+    return tuple(df.agg(F.count("*"), longest).first())
+
+
+def one_row_per_pair(found: DataFrame) -> DataFrame:
+    """Distinct pairs. Pairs by containment all score the same, so only the first x stays."""
     pair = F.when(~F.col("contains"), F.col("x_label"))
     grouped = found.groupBy("label", pair.alias("_pair"))
     first = grouped.agg(F.min_by("x_label", "x_ord").alias("x_label"), F.min("x_ord").alias("x_ord"))
@@ -80,10 +98,13 @@ def union(a: DataFrame | None, b: DataFrame) -> DataFrame:
 
 
 def overfull_keys(left: DataFrame, right: DataFrame, fanout: int) -> DataFrame:
-    """(key, n_x) of keys that more than `fanout` rows of both sides share."""
-    nl = left.groupBy("key").count().where(F.col("count") > fanout).select("key")
-    nx = right.groupBy("key").agg(F.count("*").alias("n_x")).where(F.col("n_x") > fanout)
-    return nx.join(nl, "key")
+    """(key, n_x) of the keys whose pairs would cost more than longer keys."""
+    limit = F.max(row_weight()) * fanout
+    nl = left.groupBy("key").agg(F.count("*").alias("n_l"), limit.alias("limit"))
+    nx = right.groupBy("key").agg(F.count("*").alias("n_x"))
+    nl = nl.where(F.col("n_l") > F.col("limit"))
+    nx = nx.where(F.col("n_x") > fanout)
+    return nl.join(nx, "key").where(F.col("n_x") > F.col("limit")).select("key", "n_x")
 
 
 def match(left: DataFrame, right: DataFrame) -> DataFrame:
