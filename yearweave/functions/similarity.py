@@ -79,7 +79,9 @@ def label_score(a: str, b: str) -> float:
         return 100.0
     low, high = sorted((len(a), len(b)))
     if high < NEAR_RATIO * low:
-        score = max(ratio(a, b), TOKEN_WEIGHT * token_score(a, b))
+        score = ratio(a, b)
+        if score < TOKEN_WEIGHT * 100.0 and (a.split() != [a] or b.split() != [b]):
+            score = max(score, TOKEN_WEIGHT * token_score(a, b))
         return score if score >= THRESHOLD else 0.0
     if high <= FAR_RATIO * low and (a in b or b in a):
         return SUBSTRING_SCORE

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from yearweave.errors import NonPositiveFailure
+from yearweave.functions.magnitude import SI_FACTORS, unknown_symbol
 from yearweave.functions.names import axis_value, overlap_columns
 
 
@@ -63,6 +64,15 @@ def require_positive(df: DataFrame, col: str) -> None:
         raise NonPositiveFailure(f"{invalid} values of '{col}' are <= 0")
 
 
+def unknown_suffixes(
+    df: DataFrame, col: str, factors: dict[str, float] = SI_FACTORS
+) -> DataFrame:
+    """Trailing symbols without a factor: how many cells have each, and one such cell."""
+    cells = df.select(F.col(col).alias("_text"), unknown_symbol(F.col(col), factors).alias("symbol"))
+    found = cells.where(F.col("symbol").isNotNull()).groupBy("symbol")
+    return found.agg(F.count("*").alias("n_cells"), F.min("_text").alias("example"))
+
+
 def coverage(df: DataFrame, group: str, axis: str, start: int, end: int) -> DataFrame:
     """Axis coverage per group on long data: the bounds present and whether all is filled."""
     inside = F.col(axis).between(start, end)

@@ -1,29 +1,32 @@
 """Signature rows: two labels that can score 90 or more share at least one signature key.
 
 Both sides of the join turn each label into rows with a 64-bit `key`; candidates are an equi-join
-on it. Families, by the way two labels can reach 90 (`v` is 10 or 19, the share of edits allowed):
+on it. Families (`kind`), by the way two labels can reach 90 (`v` is 10 or 19, the share of edits
+allowed):
 
     r, t   at most d = (n + m) / v inserts and deletes between the raw labels (r, v = 10) or
            between their sorted tokens (t, v = 19). One side is cut in d + 1 segments; one of
            them must be intact in the other (Pass-Join; Li, Deng, Wang, Feng, VLDB 2011).
-           With i the index of that segment, exactly i edits lie left of it for some choice of
-           it, so its shift has the parity of i and at most i steps.
     q, u   the same two for an x label longer than LONG: fixed-size chunks at a coarse position.
     s      a shared token (token sets).
     a, b   the shorter label (a: the probing one, b: the x one) begins with a text of a
            power-of-two length that the longer label contains.
 
+Segments. Follow the edits of a best alignment from left to right and subtract the number of
+segments passed: that starts at 0 or above, ends at -1 or below, and falls by one only across a
+segment without edits. So some segment i is intact with exactly i edits left of it and at most
+d - i right of it. Its shift then has the parity of i and at most i steps, and both remainders
+are again pairs of texts with a known edit bound: the `parts` of a row.
+
 A key that too many labels of both sides share is refined: its rows are replaced by rows with
-longer keys, each again necessary for the pair. What was matched is removed from `rest`, and the
-remainder must satisfy the same bound:
+longer keys, each again necessary for the pair.
 
-    r, t, d   one more intact segment, in `rest`
+    r, t, d   the shift, every part without edits, and an intact segment of one more part; a row
+              whose parts are too short for that becomes family Z
     s         one more shared token, or none: then either side is (nearly) used up (families X
               and L), or the remaining tokens are within the edit bound (family d)
     q, u      the full r, t keys
     a, b      the whole shorter label (families A, B)
-
-`kind` is the family, `d` the edit bound, `delta` the longer-by of the probing side.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -34,18 +37,21 @@ from yearweave.functions.similarity import sorted_tokens
 RAW, TOKENS = 10, 19
 LONG = 72
 CLASS_STEP = 1.25
-STATE = ["key", "kind", "label", "ord", "rest", "d", "delta", "toks", "used", "at"]
+STATE = ["key", "kind", "label", "ord", "parts", "delta", "text", "toks", "used", "at"]
 SEGMENT_KINDS = ("r", "t", "d")
-FINAL_KINDS = ("X", "L", "A", "B")
+FINAL_KINDS = ("X", "L", "A", "B", "Z")
+# A text pair still to be aligned: at most `b` edits (exactly `b` if `e`), the probing side longer
+# by `g` (null while the shift is open).
+PARTS = "array<struct<t: string, b: int, e: boolean, g: int>>"
 
 
 def rows(df: DataFrame, **columns: Column) -> DataFrame:
     """The fixed row layout; columns that are not named are null."""
     empty = {
         "ord": "long",
-        "rest": "string",
-        "d": "int",
+        "parts": PARTS,
         "delta": "int",
+        "text": "string",
         "toks": "array<string>",
         "used": "array<string>",
         "at": "int",
@@ -72,7 +78,8 @@ def steps(low: Column, high: Column, by: int = 1) -> Column:
 
 
 def with_partner_lengths(df: DataFrame, full: Column, probe: bool) -> DataFrame:
-    """One row per partner length within the edit bound, with `d` (same parity) and `delta`.
+    """One row per partner length within the edit bound, with `bound` (of the right parity) and
+    `delta`, by how much the probing side is longer.
 
     `full` is the length the bound is taken on; the column `v` holds the bound's divisor. The
     partner length runs over all values with |full - other| <= (full + other) / v.
@@ -85,44 +92,64 @@ def with_partner_lengths(df: DataFrame, full: Column, probe: bool) -> DataFrame:
     both = F.col("_full") + F.col("_other")
     bound = F.floor(both / v).cast("int")
     delta = F.col("_full") - F.col("_other") if probe else F.col("_other") - F.col("_full")
-    return (
-        df.withColumn("d", (bound - F.pmod(both - bound, F.lit(2))).cast("int"))
-        .withColumn("delta", delta.cast("int"))
-        .drop("_full", "_other", "v")
+    added = {
+        "bound": (bound - F.pmod(both - bound, F.lit(2))).cast("int"),
+        "delta": delta.cast("int"),
+    }
+    return df.withColumns(added).drop("_full", "_other", "v")
+
+
+def part(t: Column, b: Column, e: Column, g: Column) -> Column:
+    return F.struct(
+        t.alias("t"), b.cast("int").alias("b"), e.alias("e"), g.cast("int").alias("g")
     )
 
 
-def segment_rows(df: DataFrame, parent: Column, kind: Column, probe: bool) -> DataFrame:
-    """Segment keys of `rest` under a parent key; needs label, ord, rest, d, delta."""
-    n = F.length("rest") - (F.col("delta") if probe else F.lit(0))
-    df = df.withColumn("_p", parent).withColumn("_kind", kind).withColumn("_n", n)
-    df = df.where(F.col("_n") > 0).withColumn("_i", steps(F.lit(0), F.col("d")))
-    begin = F.floor(F.col("_i") * F.col("_n") / (F.col("d") + 1)).cast("int")
-    end = F.floor((F.col("_i") + 1) * F.col("_n") / (F.col("d") + 1)).cast("int")
-    df = df.withColumn("_begin", begin).withColumn("_size", end - F.col("_begin"))
+def shifts(left: Column, right: Column, delta: Column) -> tuple[Column, Column]:
+    """First and last shift (in steps of 2) with `left` and `right` edits on either side."""
+    low = F.greatest(-left, delta - right)
+    high = F.least(left, delta + right)
+    return low + F.pmod(left - low, F.lit(2)), high
+
+
+def segment_rows(df: DataFrame, probe: bool) -> DataFrame:
+    """Segment keys of `text`; needs label, ord, kind, parent, parts, text, bound, exact, delta."""
+    n = F.length("text") - (F.col("delta") if probe else F.lit(0))
+    df = df.withColumn("_n", n).where(F.col("_n") > 0).withColumn("_i", steps(F.lit(0), F.col("bound")))
+    i, size = F.col("_i"), F.col("bound") + 1
+    begin = F.floor(i * F.col("_n") / size).cast("int")
+    end = F.floor((i + 1) * F.col("_n") / size).cast("int")
+    df = df.withColumns({"_begin": begin, "_size": end - begin})
+    shift = F.lit(None)
     if probe:
-        left, right = F.col("_i"), F.col("d") - F.col("_i")
-        low = F.greatest(-left, F.col("delta") - right, -F.col("_begin"))
-        high = F.least(
-            left,
-            F.col("delta") + right,
-            F.length("rest") - F.col("_size") - F.col("_begin"),
-        )
-        low = low + F.pmod(left - low, F.lit(2))
-        df = df.withColumn("_shift", steps(low, high, 2))
-        df = df.withColumn("_begin", F.col("_begin") + F.col("_shift"))
-    text = F.substring("rest", F.col("_begin") + 1, F.col("_size"))
-    tail = F.substring("rest", F.col("_begin") + F.col("_size") + 1, F.length("rest"))
+        low, high = shifts(i, F.col("bound") - i, F.col("delta"))
+        df = df.withColumn("_shift", F.explode(F.when(low <= high, F.sequence(low, high, F.lit(2)))))
+        shift = F.col("_shift")
+        df = df.withColumn("_begin", F.col("_begin") + shift)
+        fits = F.col("_begin") + F.col("_size") <= F.length("text")
+        df = df.where((F.col("_begin") >= 0) & fits)
+    segment = F.substring("text", F.col("_begin") + 1, F.col("_size"))
+    left = F.substring("text", F.lit(1), F.col("_begin"))
+    right = F.substring("text", F.col("_begin") + F.col("_size") + 1, F.length("text"))
+    sides = F.array(
+        part(left, i, F.lit(True), shift),
+        part(right, F.col("bound") - i, F.col("exact"), F.col("delta") - shift),
+    )
     return rows(
         df,
-        key=F.xxhash64("_p", "_kind", "_n", "delta", "_i", text),
-        kind=F.col("_kind"),
-        rest=F.concat(F.substring("rest", F.lit(1), F.col("_begin")), tail),
-        d=F.col("d"),
+        key=F.xxhash64("parent", "kind", "_n", "delta", "_i", segment),
+        kind=F.col("kind"),
+        parts=F.concat("parts", sides).cast(PARTS),
         delta=F.col("delta"),
     )
 
 
+def unsplit(df: DataFrame, parent: Column) -> DataFrame:
+    """The columns of a text that has no matched segment yet."""
+    none = F.array().cast(PARTS)
+    return df.withColumns({"parent": parent, "parts": none, "exact": F.lit(False)})
+
+
 def texts(df: DataFrame) -> DataFrame:
     """Every label as the texts that are compared: raw, sorted tokens, sorted distinct tokens.
 
@@ -130,52 +157,55 @@ def texts(df: DataFrame) -> DataFrame:
     """
     variants = F.array_distinct(F.array(joined("toks"), joined(F.array_distinct("toks"))))
 
-    def text(kind: str, v: int, rest: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(v).alias("v"), rest.alias("rest"))
+    def variant(kind: str, v: int, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(v).alias("v"), text.alias("text"))
 
-    sorted_texts = F.transform(variants, lambda t: text("t", TOKENS, t))
-    each = F.explode(F.concat(F.array(text("r", RAW, F.col("label"))), sorted_texts)).alias("_t")
+    sorted_texts = F.transform(variants, lambda t: variant("t", TOKENS, t))
+    raw = F.array(variant("r", RAW, F.col("label")))
     toks = sorted_tokens(F.col("label"))
-    return df.withColumn("toks", toks).select("label", "ord", each).select("label", "ord", "_t.*")
+    each = df.withColumn("toks", toks).select(
+        "label", "ord", F.explode(F.concat(raw, sorted_texts)).alias("_t")
+    )
+    return each.select("label", "ord", "_t.*")
 
 
 def text_rows(df: DataFrame, probe: bool, max_x: int | None) -> DataFrame:
     """Families r and t for x texts of at most `max_x` characters (None: of any length)."""
-    part = with_partner_lengths(texts(df), F.length("rest"), probe)
+    out = with_partner_lengths(texts(df), F.length("text"), probe)
     if max_x is not None:
-        n = F.length("rest") - (F.col("delta") if probe else F.lit(0))
-        part = part.where(n <= max_x)
-    part = part.where((F.col("kind") == "t") | (F.col("d") > 0))
-    return segment_rows(part, F.lit(0).cast("long"), F.col("kind"), probe)
+        n = F.length("text") - (F.col("delta") if probe else F.lit(0))
+        out = out.where(n <= max_x)
+    out = out.where((F.col("kind") == "t") | (F.col("bound") > 0))
+    return segment_rows(unsplit(out, F.lit(0).cast("long")), probe)
 
 
 def long_rows(df: DataFrame, probe: bool) -> DataFrame:
     """Families q and u: chunks of long x texts, at a position known to one edit bound."""
     v, n = F.col("v"), F.col("_n")
     raw = F.col("kind") == "r"
-    part = texts(df).withColumn("_n", F.length("rest"))
-    part = part.withColumn("_size", F.when(raw, 4).otherwise(8))
+    out = texts(df).withColumn("_n", F.length("text"))
+    out = out.withColumn("_size", F.when(raw, 4).otherwise(8))
     if probe:
         low = F.greatest(F.lit(LONG + 1), F.ceil(n * (v - 1) / (v + 1)))
         high = F.floor(n * (v + 1) / (v - 1))
-        part = part.where(high >= low)
-        part = part.withColumn("_class", steps(length_class(low), length_class(high)))
-        part = part.withColumn("at", steps(F.lit(0), n - F.col("_size")))
+        out = out.where(high >= low)
+        out = out.withColumn("_class", steps(length_class(low), length_class(high)))
+        out = out.withColumn("at", steps(F.lit(0), n - F.col("_size")))
     else:
-        part = part.where(n > LONG).withColumn("_class", length_class(n))
-        part = part.withColumn("_chunk", steps(F.lit(0), F.floor(n * 2 / (v - 1))))
-        part = part.withColumn("at", F.col("_chunk") * F.col("_size"))
+        out = out.where(n > LONG).withColumn("_class", length_class(n))
+        out = out.withColumn("_chunk", steps(F.lit(0), F.floor(n * 2 / (v - 1))))
+        out = out.withColumn("at", F.col("_chunk") * F.col("_size"))
     top = F.lit(LONG) * F.pow(F.lit(CLASS_STEP), F.col("_class") + 1)
     width = F.ceil(top * 2 / (v - 1)).cast("int") + 1
     slot = F.floor(F.col("at") / width).cast("int")
     near = F.explode(F.array(slot - 1, slot, slot + 1)) if probe else slot
-    part = part.withColumn("_slot", near).withColumn("kind", F.when(raw, "q").otherwise("u"))
-    chunk = F.substring("rest", F.col("at") + 1, F.col("_size"))
+    out = out.withColumn("_slot", near).withColumn("kind", F.when(raw, "q").otherwise("u"))
+    chunk = F.substring("text", F.col("at") + 1, F.col("_size"))
     return rows(
-        part,
+        out,
         key=F.xxhash64("kind", "_class", "_slot", chunk),
         kind=F.col("kind"),
-        rest=F.col("rest"),
+        text=F.col("text"),
     )
 
 
@@ -184,10 +214,10 @@ def length_class(n: Column) -> Column:
 
 
 def token_rows(df: DataFrame) -> DataFrame:
-    part = df.withColumn("toks", F.array_distinct(sorted_tokens(F.col("label"))))
-    part = part.withColumn("_t", F.explode("toks"))
+    each = df.withColumn("toks", F.array_distinct(sorted_tokens(F.col("label"))))
+    each = each.withColumn("_t", F.explode("toks"))
     return rows(
-        part,
+        each,
         key=F.xxhash64(F.lit("s"), "_t"),
         kind=F.lit("s"),
         toks=F.col("toks"),
@@ -213,16 +243,16 @@ def window_rows(df: DataFrame, probe: bool) -> DataFrame:
     )
     low, high = F.ceil(m / 8), F.floor(m / 1.5)
     first, last = F.length(F.bin(low)) - 1, F.length(F.bin(high)) - 1
-    part = df.where(high >= F.greatest(low, F.lit(1)))
-    part = part.withColumn("_power", steps(first, last))
-    part = part.withColumn("_size", F.pow(F.lit(2), F.col("_power")).cast("int"))
-    part = part.withColumn("at", steps(F.lit(0), m - F.col("_size")))
+    longer_side = df.where(high >= F.greatest(low, F.lit(1)))
+    longer_side = longer_side.withColumn("_power", steps(first, last))
+    longer_side = longer_side.withColumn("_size", F.pow(F.lit(2), F.col("_power")).cast("int"))
+    longer_side = longer_side.withColumn("at", steps(F.lit(0), m - F.col("_size")))
     text = F.substring("label", F.col("at") + 1, F.col("_size"))
     as_longer = rows(
-        part,
+        longer_side,
         key=F.xxhash64(F.lit(longer), text),
         kind=F.lit(longer),
-        d=F.col("_size"),
+        delta=F.col("_size"),
         at=F.col("at"),
     )
     return as_shorter.unionAll(as_longer)
@@ -234,48 +264,79 @@ def first_rows(df: DataFrame, probe: bool, long_x: bool = True) -> DataFrame:
     parts = [token_rows(df), window_rows(df, probe)]
     if long_x:
         parts.append(long_rows(df, probe))
-    for part in parts:
-        out = out.unionAll(part)
+    for more in parts:
+        out = out.unionAll(more)
     return out
 
 
-def can_refine() -> Column:
-    """Whether longer keys exist for a row. Both sides of a key give the same answer."""
-    n_left = F.length("rest") - F.coalesce(F.col("_probe_delta"), F.lit(0))
-    segments = F.col("kind").isin(*SEGMENT_KINDS)
-    return F.when(segments, n_left > F.col("d")).otherwise(~F.col("kind").isin(*FINAL_KINDS))
-
-
 def row_weight() -> Column:
     """About how many rows a row becomes when its key is refined."""
-    segments = F.pow(F.col("d") + 2, F.lit(2)) / 4
+    edits = F.array_max(F.transform("parts", lambda p: p.b))
     return (
-        F.when(F.col("kind").isin(*SEGMENT_KINDS), segments)
+        F.when(F.col("kind").isin(*SEGMENT_KINDS), F.pow(edits + 2, F.lit(2)) / 2)
         .when(F.col("kind").isin("q", "u"), F.lit(1024.0))
         .when(F.col("kind").isin("s", "a", "b"), F.lit(8.0))
         .otherwise(F.lit(1.0))
     )
 
 
-def split_refinable(df: DataFrame, probe: bool) -> tuple[DataFrame, DataFrame]:
-    """(rows that can be refined, rows that cannot)."""
-    delta = F.col("delta") if probe else F.lit(0)
-    flagged = df.withColumn("_probe_delta", delta).withColumn("_more", can_refine())
-    flagged = flagged.drop("_probe_delta")
-    return flagged.where("_more").drop("_more"), flagged.where(~F.col("_more")).drop("_more")
-
-
 def refine(df: DataFrame, probe: bool) -> DataFrame:
-    """Replace rows of over-full keys by rows with longer keys."""
-    segments = df.where(F.col("kind").isin(*SEGMENT_KINDS))
-    out = segment_rows(segments, F.col("key"), F.col("kind"), probe)
+    """Replace rows of over-full keys (none of a final family) by rows with longer keys."""
+    out = refine_parts(df.where(F.col("kind").isin(*SEGMENT_KINDS)), probe)
     chunks = df.where(F.col("kind").isin("q", "u")).select("label", "ord").distinct()
     out = out.unionAll(text_rows(chunks, probe, None))
-    sets = df.where(F.col("kind") == "s")
-    out = out.unionAll(refine_tokens(sets, probe))
+    out = out.unionAll(refine_tokens(df.where(F.col("kind") == "s"), probe))
     return out.unionAll(refine_windows(df.where(F.col("kind").isin("a", "b")), probe))
 
 
+def refine_parts(df: DataFrame, probe: bool) -> DataFrame:
+    if not probe:
+        df = with_shift(df)
+    equal = F.filter("parts", lambda p: p.b == 0)
+    settled = F.array_join(F.transform(equal, lambda p: p.t), "\x00")
+    gaps = F.array_join(F.transform("parts", lambda p: p.g.cast("string")), ",")
+    df = df.withColumn("key", F.xxhash64("key", gaps, settled))
+    df = df.withColumn("parts", F.filter("parts", lambda p: p.b > 0))
+
+    def room(p: Column, at: Column) -> Column:
+        """Length of the x text per segment, if every segment would have a character."""
+        n = F.length(p.t) - (p.g if probe else F.lit(0))
+        return F.when(n > p.b, F.struct((n / (p.b + 1)).alias("room"), (-at).alias("at")))
+
+    best = F.array_max(F.transform("parts", room))
+    df = df.withColumn("_next", -best["at"])
+    ended = df.where(F.col("_next").isNull())
+    ended = rows(ended, key=F.col("key"), kind=F.lit("Z"), parts=F.col("parts"))
+    chosen = F.get("parts", F.col("_next"))
+    more = df.where(F.col("_next").isNotNull()).withColumn("_p", chosen)
+    more = more.select(
+        "label",
+        "ord",
+        "kind",
+        F.xxhash64("key", "_next").alias("parent"),
+        F.filter("parts", lambda p, at: at != F.col("_next")).alias("parts"),
+        F.col("_p.t").alias("text"),
+        F.col("_p.b").alias("bound"),
+        F.col("_p.e").alias("exact"),
+        F.col("_p.g").alias("delta"),
+    )
+    return segment_rows(more, probe).unionAll(ended)
+
+
+def with_shift(df: DataFrame) -> DataFrame:
+    """x rows once per possible shift of their last segment, so that its two sides have gaps."""
+    left, right = F.element_at("parts", -2), F.element_at("parts", -1)
+    low, high = shifts(left["b"], right["b"], F.col("delta"))
+    shift = F.explode(F.when(low <= high, F.sequence(low, high, F.lit(2))))
+    df = df.withColumn("_shift", shift)
+    sides = F.array(
+        part(left["t"], left["b"], left["e"], F.col("_shift")),
+        part(right["t"], right["b"], right["e"], F.col("delta") - F.col("_shift")),
+    )
+    closed = F.slice("parts", F.lit(1), F.size("parts") - 2)
+    return df.withColumn("parts", F.concat(closed, sides).cast(PARTS))
+
+
 def refine_tokens(df: DataFrame, probe: bool) -> DataFrame:
     last = F.element_at("used", -1)
     later = F.filter("toks", lambda t: t > last)
@@ -287,28 +348,28 @@ def refine_tokens(df: DataFrame, probe: bool) -> DataFrame:
         toks=F.col("toks"),
         used=F.concat("used", F.array("_t")),
     )
-    df = df.withColumn("rest", joined(F.array_except("toks", "used")))
-    shared, left = F.length(joined("used")), F.length("rest")
+    df = df.withColumn("text", joined(F.array_except("toks", "used")))
+    shared, left = F.length(joined("used")), F.length("text")
     done = (left == 0) | (shared >= 9 * (1 + left))
     own, other = ("L", "X") if probe else ("X", "L")
     ends = []
-    for kind, part in ((own, df.where(done)), (other, df)):
+    for kind, rest in ((own, df.where(done)), (other, df)):
         ends.append(
             rows(
-                part,
+                rest,
                 key=F.xxhash64("key", F.lit(kind)),
                 kind=F.lit(kind),
                 toks=F.col("toks"),
                 used=F.col("used"),
             )
         )
-    apart = df.where(left > 0).withColumnRenamed("key", "_parent")
-    apart = apart.drop("d", "delta")
+    apart = df.where(left > 0).select(
+        "label", "ord", "text", "toks", F.lit("d").alias("kind"), F.col("key").alias("_parent")
+    )
     apart = apart.withColumn("v", F.lit(TOKENS))
     apart = with_partner_lengths(apart, F.length(joined("toks")), probe)
-    apart = apart.where(F.col("d") > 0)
-    apart = segment_rows(apart, F.col("_parent"), F.lit("d"), probe)
-    return more.unionAll(ends[0]).unionAll(ends[1]).unionAll(apart)
+    apart = unsplit(apart.where(F.col("bound") > 0), F.col("_parent"))
+    return more.unionAll(ends[0]).unionAll(ends[1]).unionAll(segment_rows(apart, probe))
 
 
 def refine_windows(df: DataFrame, probe: bool) -> DataFrame:
@@ -322,8 +383,8 @@ def refine_windows(df: DataFrame, probe: bool) -> DataFrame:
         kind=F.upper("kind"),
     )
     longer = df.where(F.col("at") >= 0)
-    low = F.greatest(F.col("d"), F.ceil(m / 8))
-    high = F.least(F.col("d") * 2 - 1, F.floor(m / 1.5), m - F.col("at"))
+    low = F.greatest(F.col("delta"), F.ceil(m / 8))
+    high = F.least(F.col("delta") * 2 - 1, F.floor(m / 1.5), m - F.col("at"))
     longer = longer.withColumn("_size", steps(low, high))
     text = F.substring("label", F.col("at") + 1, F.col("_size"))
     longer = rows(longer, key=F.xxhash64("key", text), kind=F.upper("kind"))

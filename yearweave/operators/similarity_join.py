@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from yearweave.functions.similarity import FAR_RATIO, NEAR_RATIO, THRESHOLD, label_scores
 from yearweave.operators.signatures import (
+    FINAL_KINDS,
     LONG,
     RAW,
     TOKENS,
@@ -12,13 +13,13 @@ from yearweave.operators.signatures import (
     joined,
     refine,
     row_weight,
-    split_refinable,
 )
 from yearweave.session import cut_lineage
 
-FANOUT = 16
+FANOUT = 128
 MAX_LEVELS = 12
-ROWS_PER_SALT = 1024
+# Rows per side of one cell, when the pairs of a key are dealt out over tasks.
+CELL = 256
 # With a side this small no key can pair a label with more than SMALL others.
 SMALL = 64
 
@@ -40,19 +41,28 @@ def similarity_join(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
 
 def best_partner(pairs: DataFrame) -> DataFrame:
     """(label, x_label, x_ord) -> the best x label of each label, with its score."""
-    scored = pairs.withColumn("score", label_scores("label", "x_label"))
+    dealt = pairs.repartition(tasks(pairs), "label", "x_label")
+    scored = dealt.withColumn("score", label_scores("label", "x_label"))
     scored = scored.where(F.col("score") >= THRESHOLD)
     top = F.max_by(F.struct("x_label", "score"), F.struct("score", -F.col("x_ord")))
     return scored.groupBy("label").agg(top.alias("_b")).select("label", "_b.x_label", "_b.score")
 
 
+def tasks(df: DataFrame) -> int:
+    """A set number of partitions for steps whose input is small in bytes but costly per row,
+    which would otherwise be coalesced into a few tasks."""
+    spark = df.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffles, spark.sparkContext.defaultParallelism)
+
+
 def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Distinct (label, x_label, x_ord): every pair that scores 90 or more, and few others.
 
     A key is over-full when more labels of both sides have it than refining their rows would
     cost, `fanout` times over. Over-full keys are never joined as they are but replaced by longer
-    ones, level by level, so candidates stay within a fixed number per signature row. Labels that
-    share everything that can be keyed are joined with the x rows of a key dealt out over tasks.
+    ones, level by level, so candidates stay within a fixed number per signature row. Keys that
+    stay busy (one side is long, or nothing is left to key on) are joined cell by cell.
     """
     n_labels, _ = size_and_length(labels)
     n_x, longest_x = size_and_length(x)
@@ -62,21 +72,19 @@ def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
         return one_row_per_pair(match(left, right))
     found = None
     for level in range(MAX_LEVELS + 1):
-        full = overfull_keys(left, right, fanout)
-        full = cut_lineage(full)
-        if full.isEmpty():
+        busy = cut_lineage(busy_keys(left, right, fanout))
+        if busy.isEmpty():
             found = union(found, match(left, right))
             break
-        found = union(found, match(left, right.join(full, "key", "left_anti")))
-        left = cut_lineage(left.join(full, "key", "left_semi"))
-        right = cut_lineage(right.join(full, "key", "left_semi"))
-        if level == MAX_LEVELS:
-            found = union(found, match_spread(left, right, full))
+        found = union(found, match(left, right.join(busy, "key", "left_anti")))
+        left = cut_lineage(left.join(busy, "key"))
+        right = cut_lineage(right.join(busy, "key"))
+        stays = ~F.col("full") | F.col("kind").isin(*FINAL_KINDS) | F.lit(level == MAX_LEVELS)
+        found = union(found, match_cells(left.where(stays), right.where(stays)))
+        if left.where(~stays).isEmpty():
             break
-        left, left_rest = split_refinable(left, True)
-        right, right_rest = split_refinable(right, False)
-        found = union(found, match_spread(left_rest, right_rest, full))
-        left, right = refine(left, True), refine(right, False)
+        left = refine(left.where(~stays).drop(*BUSY), True)
+        right = refine(right.where(~stays).drop(*BUSY), False)
     return one_row_per_pair(found)
 
 
@@ -97,14 +105,18 @@ def union(a: DataFrame | None, b: DataFrame) -> DataFrame:
     return b if a is None else a.unionAll(b)
 
 
-def overfull_keys(left: DataFrame, right: DataFrame, fanout: int) -> DataFrame:
-    """(key, n_x) of the keys whose pairs would cost more than longer keys."""
+BUSY = ["n_l", "n_x", "full"]
+
+
+def busy_keys(left: DataFrame, right: DataFrame, fanout: int) -> DataFrame:
+    """(key, n_l, n_x, full) of the keys with more pairs than a cell; `full` if longer keys would
+    cost less than the pairs."""
     limit = F.max(row_weight()) * fanout
     nl = left.groupBy("key").agg(F.count("*").alias("n_l"), limit.alias("limit"))
     nx = right.groupBy("key").agg(F.count("*").alias("n_x"))
-    nl = nl.where(F.col("n_l") > F.col("limit"))
-    nx = nx.where(F.col("n_x") > fanout)
-    return nl.join(nx, "key").where(F.col("n_x") > F.col("limit")).select("key", "n_x")
+    full = F.least("n_l", "n_x") > F.col("limit")
+    keys = nl.join(nx, "key").select("key", "n_l", "n_x", full.alias("full"))
+    return keys.where(F.col("full") | (F.col("n_l") * F.col("n_x") > CELL * CELL))
 
 
 def match(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -112,17 +124,23 @@ def match(left: DataFrame, right: DataFrame) -> DataFrame:
     return kept(l.join(r, (F.col("l.key") == F.col("r.key")) & may_match()))
 
 
-def match_spread(left: DataFrame, right: DataFrame, full: DataFrame) -> DataFrame:
-    """The same join with each key's x rows dealt out over salts and the others repeated."""
-    salts = full.withColumn("_salts", F.ceil(F.col("n_x") / ROWS_PER_SALT).cast("int"))
-    salts = salts.select("key", "_salts")
-    dealt = right.join(salts, "key")
-    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64("label"), F.col("_salts")).cast("int"))
-    spread = left.join(salts, "key")
-    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    l, r = spread.alias("l"), dealt.alias("r")
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l._salt") == F.col("r._salt"))
-    return kept(l.join(r, on & may_match()))
+def match_cells(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The same join with both sides of each key dealt into cells of about CELL x CELL pairs (or
+    longer ones if a side is short); a row is repeated once per cell it meets."""
+
+    def cells(own: str, other: str) -> Column:
+        size = F.greatest(F.lit(CELL), F.ceil(F.lit(CELL * CELL) / F.col(other)))
+        return F.ceil(F.col(own) / size).cast("int")
+
+    def deal(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("label"), cells(own, other)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), cells(other, own) - 1))
+        dealt = df.withColumn(f"_{own}", mine).withColumn(f"_{other}", each)
+        return dealt.repartition(tasks(df), "key", "_n_l", "_n_x")
+
+    l, r = deal(left, "n_l", "n_x").alias("l"), deal(right, "n_x", "n_l").alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "_n_l", "_n_x")]
+    return kept(l.join(r, same[0] & same[1] & same[2] & may_match()))
 
 
 def kept(pairs: DataFrame) -> DataFrame:
@@ -140,10 +158,8 @@ def may_match() -> Column:
     low, high = F.least(n, m), F.greatest(n, m)
     near = high < NEAR_RATIO * low
     kind = F.col("l.kind")
-    both = F.length("l.rest") + F.length("r.rest")
-    v = F.when(kind == "q", RAW).otherwise(TOKENS)
-    bound = F.coalesce(F.col("l.d"), F.floor(both / v).cast("int"))
-    edits = F.levenshtein(F.col("l.rest"), F.col("r.rest")) <= bound
+    both = F.length("l.text") + F.length("r.text")
+    bound = F.floor(both / F.when(kind == "q", RAW).otherwise(TOKENS))
     shorter_in = F.when(n < m, F.contains("l.label", "r.label")).otherwise(
         F.contains("r.label", "l.label")
     )
@@ -151,10 +167,24 @@ def may_match() -> Column:
     return (
         F.when(F.lower(kind).isin("a", "b"), far & shorter_in)
         .when(kind.isin("s", "X", "L"), near & token_sets_may_match())
-        .otherwise(near & edits)
+        .when(kind.isin("q", "u"), near & (F.levenshtein("l.text", "r.text") <= bound))
+        .otherwise(near & parts_may_match())
     )
 
 
+def parts_may_match() -> Column:
+    """Each pair of parts within its bound. The Levenshtein distance is at most the number of
+    inserts and deletes and at least half of it."""
+    pairs = F.arrays_zip(F.col("l.parts").alias("l"), F.col("r.parts").alias("r"))
+
+    def fits(p: Column) -> Column:
+        edits = F.levenshtein(p["l"]["t"], p["r"]["t"])
+        bound = p["l"]["b"]
+        return (edits <= bound) & (~p["l"]["e"] | (edits * 2 >= bound))
+
+    return F.forall(pairs, fits)
+
+
 def token_sets_may_match() -> Column:
     both = F.array_intersect("l.toks", "r.toks")
     only_l, only_r = F.array_except("l.toks", "r.toks"), F.array_except("r.toks", "l.toks")

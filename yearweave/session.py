@@ -26,3 +26,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table once to the shared folder and read it from there."""
+    path = f"{shared_dir(df.sparkSession)}/staged"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
