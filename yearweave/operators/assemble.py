@@ -42,6 +42,10 @@ def assemble(
         right = target.distinct().join(right, F.col("_l") == F.col("_s"))
         wide = wide.join(right.select("_e", "_tag", label), ["_e", "_tag"], "left")
     live = [label for label in labels if others[label] is not None]
+    # An entity that a source lacks has no array; zipping pads an empty one with nulls.
+    empty = F.array().cast("array<double>")
+    vals = [F.coalesce(F.col(label), empty).alias(label) for label in [x_label, *live]]
+    wide = wide.select("_e", *vals)
     cells = F.posexplode(F.arrays_zip(x_label, *live)).alias("_pos", "_v")
     rows = wide.select("_e", cells).where(F.col(f"_v.{x_label}").isNotNull())
     dead = F.lit(None).cast("double")
