@@ -4,6 +4,7 @@ import pytest
 
 from yearweave.functions.similarity import label_score
 from yearweave.operators.contract import build_matches, contract_columns, matched_rows, unmatched_rows
+from yearweave.operators import similarity_join as join
 from yearweave.operators.similarity_join import similarity_join
 
 SCORES = [
@@ -78,9 +79,12 @@ def varied(rnd, s):
     return s
 
 
-@pytest.mark.parametrize("seed,n,fanout", [(1, 220, 128), (2, 110, 1)])
-def test_blocked_join_equals_all_pairs(spark, seed, n, fanout):
-    """The small fan-out makes nearly every shared key over-full, so rows go through refinement."""
+@pytest.mark.parametrize("seed,n,fanout", [(1, 200, 128), (2, 90, 2)])
+def test_blocked_join_equals_all_pairs(spark, monkeypatch, seed, n, fanout):
+    """The small fan-out makes nearly every shared key over-full, so rows go through refinement;
+    what is left after two levels is joined in small cells."""
+    monkeypatch.setattr(join, "MAX_LEVELS", 2)
+    monkeypatch.setattr(join, "CELL", 8 if fanout < 10 else join.CELL)
     rnd = random.Random(seed)
     x = list(dict.fromkeys(random_label(rnd) for _ in range(n)))
     labels = list(dict.fromkeys(varied(rnd, rnd.choice(x)) for _ in range(n)))
@@ -89,11 +93,12 @@ def test_blocked_join_equals_all_pairs(spark, seed, n, fanout):
     assert {r.label: (r.x_label, r.score) for r in got} == brute_force(labels, x)
 
 
-def test_hot_prefix_is_refined(spark):
+def test_hot_prefix_is_refined(spark, monkeypatch):
     """All labels share a long prefix and suffix; only three characters tell them apart."""
+    monkeypatch.setattr(join, "MAX_LEVELS", 2)
     x = [f"Republic of {a}{b}{c} Island" for a in "abcde" for b in "fghij" for c in "klmno"]
     labels = [t.replace("Island", "Islnd") for t in x[::3]] + [t[:-1] for t in x[1::3]] + ["Repu"]
-    got = similarity_join(side(spark, labels), side(spark, x), fanout=2).collect()
+    got = similarity_join(side(spark, labels), side(spark, x), fanout=3).collect()
     assert {r.label: (r.x_label, r.score) for r in got} == brute_force(labels, x)
 
 

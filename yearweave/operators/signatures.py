@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yearweave.functions.similarity import sorted_tokens
+from yearweave.session import cut_lineage
 
 RAW, TOKENS = 10, 19
 LONG = 72
@@ -304,7 +305,8 @@ def refine_parts(df: DataFrame, probe: bool) -> DataFrame:
         return F.when(n > p.b, F.struct((n / (p.b + 1)).alias("room"), (-at).alias("at")))
 
     best = F.array_max(F.transform("parts", room))
-    df = df.withColumn("_next", -best["at"])
+    # Kept apart from the next step: one plan with both repeats these expressions many times.
+    df = cut_lineage(df.withColumn("_next", -best["at"]))
     ended = df.where(F.col("_next").isNull())
     ended = rows(ended, key=F.col("key"), kind=F.lit("Z"), parts=F.col("parts"))
     chosen = F.get("parts", F.col("_next"))

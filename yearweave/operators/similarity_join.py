@@ -83,8 +83,8 @@ def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
         found = union(found, match_cells(left.where(stays), right.where(stays)))
         if left.where(~stays).isEmpty():
             break
-        left = refine(left.where(~stays).drop(*BUSY), True)
-        right = refine(right.where(~stays).drop(*BUSY), False)
+        left = cut_lineage(refine(left.where(~stays).drop(*BUSY), True))
+        right = cut_lineage(refine(right.where(~stays).drop(*BUSY), False))
     return one_row_per_pair(found)
 
 
