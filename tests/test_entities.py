@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from yearweave.functions.similarity import label_score
+from yearweave.functions.similarity import label_score, one_word_ratios, ratio
 from yearweave.operators.contract import build_matches, contract_columns, matched_rows, unmatched_rows
 from yearweave.operators import similarity_join as join
 from yearweave.operators.similarity_join import similarity_join
@@ -30,6 +31,14 @@ def test_scores(a, b, score):
     assert label_score(b, a) == pytest.approx(score, abs=1e-4)
 
 
+def test_many_ratios_equal_single_ones():
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abé😀") for _ in range(rnd.randint(1, 63))) for _ in range(400)]
+    a, b = texts[:200], texts[200:]
+    got = one_word_ratios(np.array(a), np.array(b))
+    assert got.tolist() == [ratio(x, y) for x, y in zip(a, b)]
+
+
 def side(spark, labels):
     return spark.createDataFrame([(t, i) for i, t in enumerate(labels)], "label string, ord long")
 
