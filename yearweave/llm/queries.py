@@ -4,10 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from yearweave.llm.decontaminate import op6_decontaminate
 from yearweave.llm.language_id import op4_language_id
+from yearweave.llm.order_minhash import op10_order_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
+    "op6_decontaminate": op6_decontaminate,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLES: dict[str, str] = {}
