@@ -270,6 +270,17 @@ def _scan(index: Index):
     return run
 
 
+def _blocks(items: DataFrame, rate: float) -> Iterator[Index]:
+    """The items as indexes of about BLOCK_CHARS characters, fetched one by one."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    chars = items.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for k in range(blocks):
+        some = items.where(block == k).orderBy("item_id", "text").collect()
+        yield Index([(r["item_id"], r["text"]) for r in some], rate)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """(doc_id, item_id, start, end, edits, similarity) per document and item that it holds.
 
@@ -277,18 +288,30 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) ->
     item_id and text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    chars = items.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     out = None
-    for k in range(blocks):
-        some = items.where(block == k).orderBy("item_id", "text").collect()
-        found = docs.mapInArrow(_scan(Index([(r["item_id"], r["text"]) for r in some], rate)), _FOUND)
+    for index in _blocks(items, rate):
+        found = docs.mapInArrow(_scan(index), _FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _without(index: Index, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [not leaks(text.as_py(), index) for text in batch[at]]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
+    """The documents that hold no item. A filter per block of items, without a shuffle."""
+    at = docs.columns.index("text")
+    for index in _blocks(items, rate):
+        docs = docs.mapInArrow(_without(index, at), docs.schema)
+    return docs
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -28,6 +28,8 @@ from yearweave.errors import ParameterFailure
 DIMENSIONS = 1024
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
+#: Short clean texts score from about 0.07 upwards; below this nothing of a language is left.
+MIN_SCORE = 0.03
 _SEED = 20177
 #: Trigrams bound at a time; trigrams and texts judged at a time. They bound memory, not results.
 _SLICE, _TOGETHER, _TEXTS = 4096, 1 << 20, 256
@@ -226,6 +228,17 @@ def train_on_rest(docs: DataFrame) -> Model:
     return train(known.select("text", "lang"))
 
 
+def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents in a learned language; `und` and scores below `min_score` go.
+
+    Learned from the given rows that are not held out. All columns are carried, whatever their names.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    judged = predict(docs.select(row, "text"), train_on_rest(docs))
+    known = (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score)
+    return judged.where(known).select("row.*")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     judged = predict(docs.select("doc_id", "text"), train_on_rest(docs))

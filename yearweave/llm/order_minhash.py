@@ -250,5 +250,13 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("class_id").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each class. Rows without a doc_id stay, since no class can name them."""
+    kept = classes(docs).where("kept and doc_id is not null")
+    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    ours = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
+    return ours.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from yearweave.llm.decontaminate import op6_decontaminate
 from yearweave.llm.language_id import op4_language_id
 from yearweave.llm.order_minhash import op10_order_minhash
+from yearweave.llm.packing import op5_best_fit_packing
 from yearweave.llm.secret_scan import op2_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op4_language_id": op4_language_id,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontaminate": op6_decontaminate,
     "op10_order_minhash": op10_order_minhash,
 }
