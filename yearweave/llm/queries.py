@@ -9,9 +9,11 @@ from yearweave.llm.language_id import op4_language_id
 from yearweave.llm.order_minhash import op10_order_minhash
 from yearweave.llm.packing import op5_best_fit_packing
 from yearweave.llm.secret_scan import op2_secret_scan
+from yearweave.llm.substring_dedup import op3_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontaminate": op6_decontaminate,
