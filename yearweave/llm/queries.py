@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from yearweave.llm.decontaminate import op6_decontaminate
+from yearweave.llm.embedding_dedup import op8_embedding_dedup
 from yearweave.llm.language_id import op4_language_id
 from yearweave.llm.order_minhash import op10_order_minhash
 from yearweave.llm.packing import op5_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontaminate": op6_decontaminate,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op10_order_minhash": op10_order_minhash,
 }
 
