@@ -11,8 +11,11 @@ from yearweave.llm.order_minhash import op10_order_minhash
 from yearweave.llm.packing import op5_best_fit_packing
 from yearweave.llm.secret_scan import op2_secret_scan
 from yearweave.llm.substring_dedup import op3_substring_dedup
+from yearweave.llm.url_filter import ORACLE as URL_FILTER_SQL
+from yearweave.llm.url_filter import op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
@@ -22,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filter": URL_FILTER_SQL}
