@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from yearweave.llm.decontaminate import op6_decontaminate
 from yearweave.llm.embedding_dedup import op8_embedding_dedup
 from yearweave.llm.language_id import op4_language_id
+from yearweave.llm.license_scan import op9_license_scan
 from yearweave.llm.order_minhash import op10_order_minhash
 from yearweave.llm.packing import op5_best_fit_packing
 from yearweave.llm.secret_scan import op2_secret_scan
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontaminate": op6_decontaminate,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_order_minhash": op10_order_minhash,
 }
 
