@@ -10,6 +10,7 @@ from yearweave.llm.language_id import op4_language_id
 from yearweave.llm.license_scan import op9_license_scan
 from yearweave.llm.order_minhash import op10_order_minhash
 from yearweave.llm.packing import op5_best_fit_packing
+from yearweave.llm.quality import op7_quality
 from yearweave.llm.secret_scan import op2_secret_scan
 from yearweave.llm.substring_dedup import op3_substring_dedup
 from yearweave.llm.url_filter import ORACLE as URL_FILTER_SQL
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontaminate": op6_decontaminate,
+    "op7_quality": op7_quality,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_order_minhash": op10_order_minhash,
