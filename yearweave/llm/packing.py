@@ -256,7 +256,7 @@ def sequences(
             F.count("*").alias("rows"), F.countDistinct("shard", "bin").alias("bins")
         ).first()
         # over when one shard held all, or when dealing anew saved too little to go on
-        last = shards == 1 or (bins is not None and after["bins"] > 0.99 * bins)
+        last = shards == 1 or (bins is not None and after["bins"] > 0.999 * bins)
         done.append((packed if last else packed.where("full")).drop("full").withColumn("round", F.lit(k)))
         if last:
             break
