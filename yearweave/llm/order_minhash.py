@@ -7,13 +7,17 @@ shingles and keeps them in text order: texts collide where the same shingles com
 so collisions follow edit similarity. Candidates are verified by a banded alignment of the shingle
 sequences: with m shingles aligned in order, similarity is m / (n1 + n2 - m), and 0.8 or more links.
 
-Equal word sequences are one node from the start, so copies cost one row each. In a bucket every
-node meets one centre, drawn at random per bucket; members that end up in other classes than the
-rest of their bucket then meet all of it, so no colliding pair between classes stays untested. No
-bucket is ever gathered: centres come from a partial aggregate, pairs from joins.
-
-A pair needs two equal sketches of SKETCHES. At similarity 0.8 a sketch is equal with a chance of
-about 0.8^3, so about one pair in 70,000 at the threshold is missed, and fewer above it.
+Equal word sequences are one node from the start, so copies cost one row each. Nodes that share a
+sketch are in one family (connected components over "node - smallest node of its sketch", so no
+bucket is gathered and no pair is listed). Families are then compared in tiles of bounded rows and
+shingles: a large family is cut into parts, each pair of parts is one tile, small families share one.
+In a tile a matrix product of hashed shingle counts bounds what any pair can have in common from
+above; only pairs that can reach the threshold and are not yet connected in the tile are aligned. A
+tile returns a spanning forest of its links, so a group of copies costs its size in rows, not its
+square, and no link between two colliding texts is lost.
+
+A pair is missed if all SKETCHES differ. At similarity 0.8 a sketch is equal with a chance of about
+0.8^4, so about one pair in 40,000 at the threshold is missed, and fewer above it.
 
 Results for odd input: texts without a word (null, empty) are linked with nothing. A null doc_id is
 judged as a text, but cannot name a class: the class is the smallest id among its other members, or
@@ -36,10 +40,12 @@ from yearweave.session import stage
 WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 20
-TAKEN = 3
-#: Equal sketches that make a candidate.
-SHARED = 2
+TAKEN = 4
+#: Rows and shingles of a tile. They bound the memory of a task, not results.
+TILE_ROWS = 4096
+TILE_SHINGLES = 1 << 21
 _AT_ONCE = 1 << 20
+_STRIP, _SLICE = 512, 2048
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -174,36 +180,101 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool
     return m >= threshold * (total - m)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(batch["ga"], batch["gb"], strict=True)
-        keep = [similar(*(np.frombuffer(x.as_py(), np.uint32) for x in pair)) for pair in pairs]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
+def _counts(labels: list[np.ndarray], bins: int, first: int, many: int) -> np.ndarray:
+    """How many of each row's values fall into the bins first .. first + many."""
+    sizes = [len(x) for x in labels]
+    values = np.concatenate(labels) & np.uint32(bins - 1)
+    owner = np.repeat(np.arange(len(labels)), sizes)
+    keep = (values >= first) & (values < first + many)
+    place = owner[keep] * many + (values[keep].astype(np.int64) - first)
+    return np.bincount(place, minlength=len(labels) * many).reshape(-1, many).astype(np.float32)
 
-def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose lengths allow the similarity and that share enough sketches."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    # positions matter, but keys of different hash orders never meet by chance
-    common = F.size(F.array_intersect("ka", "kb"))
-    fits = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
-    return pairs.join(one, "a").join(two, "b").where(fits & (common >= SHARED)).select("a", "b")
 
+def forest(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that connect the same rows as all links do: of one list, or between two.
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that pass the alignment. Only texts of candidates are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
-    grams = stage(texts.mapInArrow(_gram_batches, "node bigint, grams binary"))
-    one = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    two = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb")
-    return stage(both.mapInArrow(_verified, "a bigint, b bigint"))
+    Rows are shingle sequences; results are (row of the first, row of the second list).
+    """
+    other = left if right is None else right
+    # labelled shingles are unique, so a product of bin counts is never below the common number
+    ours = [labelled(x.astype(U64)).astype(np.uint32) for x in left]
+    theirs = ours if right is None else [labelled(x.astype(U64)).astype(np.uint32) for x in other]
+    na, nb = (np.array([len(x) for x in rows], np.int64) for rows in (left, other))
+    bins = 1 << max(10, int(8 * max(na.mean(), nb.mean())).bit_length())
+    shift = 0 if right is None else len(left)
+    group = np.arange(shift + len(other))
+    out = []
+    for at in range(0, len(left), _STRIP):
+        strip = ours[at : at + _STRIP]
+        common = np.zeros((len(strip), len(other)), np.float32)
+        for first in range(0, bins, _SLICE):
+            many = min(_SLICE, bins - first)
+            common += _counts(strip, bins, first, many) @ _counts(theirs, bins, first, many).T
+        total = na[at : at + len(strip), None] + nb
+        common = np.minimum(common, np.minimum(na[at : at + len(strip), None], nb))
+        maybe = common * (1 + SIMILARITY) >= SIMILARITY * total - 1e-3
+        for k in range(len(strip)):
+            x = at + k
+            if right is None:
+                maybe[k, : x + 1] = False
+            places = np.flatnonzero(maybe[k] & (group[shift:] != group[x]))
+            # likeliest first; what gets connected on the way needs no alignment
+            for y in places[np.argsort(-common[k, places] / total[k, places], kind="stable")].tolist():
+                if group[shift + y] != group[x] and similar(left[x], other[y]):
+                    out.append((x, y))
+                    group[group == group[shift + y]] = group[x]
+    return out
+
+
+def _link(table: pa.Table) -> pa.Table:
+    """The links of a tile: of each family in it, or between two parts of one."""
+    table = table.sort_by([("family", "ascending"), ("node", "ascending")])
+    family = table["family"].to_numpy()
+    node = table["node"].to_numpy()
+    second = table["second"].to_numpy().astype(bool)
+    grams = [np.frombuffer(x.as_py(), np.uint32) for x in table["grams"]]
+    found: list[tuple[int, int]] = []
+    edges = np.flatnonzero(np.diff(family)) + 1
+    for lo, hi in zip([0, *edges], [*edges, len(family)], strict=True):
+        rows = np.arange(lo, hi)
+        one, two = rows[~second[lo:hi]], rows[second[lo:hi]]
+        links = forest([grams[i] for i in one], [grams[i] for i in two] if len(two) else None)
+        two = two if len(two) else one
+        found += [(int(node[one[x]]), int(node[two[y]])) for x, y in links]
+    return pa.table(
+        {"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())}
+    )
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links that connect each family's texts. Only texts of members are read again."""
+    wanted = members.select(F.col("node").alias("member"))
+    texts = docs.join(wanted, F.col("doc_id") == F.col("member"), "left_semi").dropDuplicates(["doc_id"])
+    grams = texts.mapInArrow(_gram_batches, "node bigint, grams binary")
+    rows = grams.join(members, "node").select(
+        "node", F.col("component").alias("family"), "grams", (F.octet_length("grams") / 4).alias("n")
+    )
+    rows = stage(rows)
+    size = F.greatest(F.count("*") / TILE_ROWS, F.sum("n") / TILE_SHINGLES)
+    sizes = rows.groupBy("family").agg(F.ceil(size).cast("int").alias("parts"))
+    total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shards = int(total // TILE_SHINGLES) + 1
+    whole = F.col("parts") <= 1
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rows = rows.join(sizes, "family").withColumn("part", part)
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1))
+    rows = rows.withColumn("other", other)
+    tiles = rows.select(
+        F.when(~whole, F.col("family")).alias("alone"),
+        F.when(whole, F.pmod(F.xxhash64("family"), F.lit(shards))).alias("shard"),
+        F.least("part", "other").alias("i"),
+        F.greatest("part", "other").alias("j"),
+        (F.col("part") > F.col("other")).alias("second"),
+        "family",
+        "node",
+        "grams",
+    )
+    return stage(tiles.groupBy("alone", "shard", "i", "j").applyInArrow(_link, "a bigint, b bigint"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -217,30 +288,10 @@ def classes(docs: DataFrame) -> DataFrame:
         named.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     )
     places = nodes.select("node", F.explode("keys").alias("key"))
-    centres = (
-        places.groupBy("key")
-        .agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "key")).alias("centre"))
-        .where("size > 1")
-    )
-    met = places.join(centres, "key")
-    star = met.where("node != centre").select(*_ordered("node", "centre")).distinct()
-    star = stage(_plausible(star, nodes))
-    links = _linked(star, docs)
-
-    # Buckets whose members are in more than one class: each member outside the bucket's first
-    # class meets every member of another class.
-    own = components(links, "a", "b").withColumnRenamed("node", "n_")
-    met = met.join(own, F.col("node") == F.col("n_"), "left")
-    met = stage(met.select("key", "node", F.coalesce("component", "node").alias("class")))
-    spread = met.groupBy("key").agg(F.min("class").alias("main"), F.max("class").alias("other"))
-    met = met.join(spread.where("main != other"), "key")
-    rest = met.where("class != main").select("key", F.col("node").alias("x"), F.col("class").alias("cx"))
-    apart = met.select("key", "node", "class").join(rest, "key").where("class != cx")
-    apart = apart.select(*_ordered("node", "x")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _linked(stage(_plausible(apart, nodes)), docs)
-
-    found = components(links.unionByName(more), "a", "b")
-    # One id may name several texts: their digests' smallest ids are linked through it.
+    shared = places.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size"))
+    met = places.join(shared.where("size > 1"), "key")
+    members = components(met, "node", "low")
+    found = components(_links(members, docs), "a", "b")
     owner = nodes.join(found, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("class_id")
     )
