@@ -10,8 +10,8 @@ by a hash, and scores every document; those of THRESHOLD or more are kept.
 Pattern counts cover all documents; only the fit of the scorer is on the sample. The model is SLOTS
 numbers. Whole texts are read.
 
-Results for odd input: null and empty texts have no words; they score what their statistics and votes
-say (the labeller of length calls them bad). An empty table gives an empty result. Rows are judged
+Results for odd input: null texts and texts without a word have posterior and score 0, so they are
+not kept. An empty table gives an empty result. Rows are judged
 alone but for the model, so repeated rows and null ids change nothing else. With one kind of document
 only, the accuracies cannot be told apart and stay near their start, so nearly all are kept or
 rejected by the majority of votes.
@@ -255,9 +255,10 @@ def _score(weights: np.ndarray, soft: dict[int, float]):
                     z += np.bincount(owner, weights[slots], len(some)) / np.maximum(counts, 1)
                 for i, text in enumerate(some):
                     s = statistics(text)
-                    z[i] += weights[_bins(s)].sum()
-                    posterior.append(soft.get(pattern(votes(s)), 0.5))
-                scores += (1 / (1 + np.exp(-np.clip(z, -60, 60)))).tolist()
+                    z[i] += weights[_bins(s)].sum() if s[0] else -np.inf
+                    posterior.append(soft.get(pattern(votes(s)), 0.5) if s[0] else 0.0)
+                score = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+                scores += np.where(np.isneginf(z), 0.0, score).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
