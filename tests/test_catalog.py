@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from yearweave.plans.catalog import QUERIES
+from yearweave.plans.oracles import ORACLES
 
 TABLES = [p.stem for p in sorted(Path("/root/testdata/sf0.001").glob("*.parquet"))]
 
@@ -29,14 +31,15 @@ def canonical(rows, columns):
 
 
 def test_registry_is_complete():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf_dir, name):
-    df = entry.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     got = canonical(df.collect(), df.columns)
-    cursor = duck.execute(entry.oracle_sql()[name])
+    cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert got == canonical(cursor.fetchall(), columns)

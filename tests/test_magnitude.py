@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from yearweave.errors import SuffixTableFailure
 from yearweave.functions.magnitude import BILLION_FACTORS, SI_FACTORS, parse_magnitude
-from yearweave.sources.suffix_tables import suffix_factors, suffix_problems
+from yearweave.sources.suffix_tables import magnitudes, suffix_factors, suffix_problems
 
 CASES = [
     ("2.5M", 2500000.0, False),
@@ -68,3 +68,18 @@ def test_suffix_table_must_be_numeric_and_present(spark):
         suffix_factors(table, "data_x")
     with pytest.raises(SuffixTableFailure):
         suffix_factors(table.where("source = 'none'"), "data_x")
+
+
+def test_suffixes_joined_as_data(spark):
+    rows = [("default", "k", "1000"), ("default", "G", "1e9"), ("own", "B", "1e9"), ("own", "z", "many")]
+    table = spark.createDataFrame(rows, "source string, symbol string, factor string")
+    texts = ["7G", "7B", "7k", "7", "x", "NaN", None, "7z"]
+    cells = spark.createDataFrame(
+        [(s, t) for s in ("own", "other", "default") for t in texts], "source string, text string"
+    )
+    got = {(r.source, r.text): (r.value, r.unknown_suffix) for r in magnitudes(cells, table).collect()}
+    assert len(got) == 24
+    assert got["own", "7G"] == (None, True) and got["own", "7B"] == (7e9, False)
+    assert got["other", "7G"] == (7e9, False) == got["default", "7G"] and got["other", "7B"][1]
+    assert got["own", "7z"] == (None, True) and got["other", "7"] == (7.0, False)
+    assert got["other", None] == (None, False) and not got["own", "NaN"][1]

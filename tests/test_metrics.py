@@ -72,3 +72,11 @@ def test_frames_keep_every_point(spark):
     out = frames(df, year_metrics(df, 3))
     assert out.count() == 6
     assert {(r.year, r.insufficient) for r in out.collect()} == {(2000, False), (2001, True)}
+
+
+def test_each_scale_is_guarded_by_its_own_count(spark):
+    rows = [(2000, float(i), (float(i) if i > 2 else None), float(i * i)) for i in range(1, 7)]
+    core = spark.createDataFrame(rows, "year int, data_x double, data_x_log double, data_y double")
+    row = year_metrics(core, 5).first()
+    assert row.n == 6 and not row.insufficient and row.slope_lin is not None
+    assert row.slope_log is None and row.r_log is None

@@ -79,7 +79,7 @@ def test_schema_type_and_order(spark):
     )
 
 
-TEXTS = [("", "len_min"), ("   \n\t  ", "allowed"), ("a" * 101, "len_max"), ("clean", None), (" clean ", None)]
+TEXTS = [("", "len_min"), ("   \n\t  ", "len_min"), ("a" * 101, "len_max"), ("clean", None), (" clean ", None)]
 
 
 @pytest.mark.parametrize("text,rule", TEXTS)
@@ -119,3 +119,10 @@ def test_safe_identifiers(spark):
     assert sanitize_columns(df.withColumnRenamed("v", "1 v!")).columns == ["_1_v"]
     with pytest.raises(ValueError):
         sanitize_columns(df.withColumn("v_", F.lit(1)))
+
+
+def test_text_rules_strip_all_white_space(spark):
+    df = spark.createDataFrame([(1, "   \n\t  "), (2, " a "), (3, "")], "k int, t string")
+    rules = quality.text_rules("t", len_min=1, len_max=1, allowed=["a"])
+    found = {(r.k, r.rule) for r in quality.violations(df, "k", rules).collect()}
+    assert found == {(1, "len_min"), (3, "len_min"), (1, "allowed"), (3, "allowed")}

@@ -2,7 +2,7 @@ import pytest
 
 from yearweave.errors import ContractFailure, SourceFailure
 from yearweave.sources.contract_files import read_contract, reuse_or_build, write_contract
-from yearweave.sources.load import Axis, SourceSpec, load_sources
+from yearweave.sources.load import Axis, SourceSpec, load_sources, load_violations
 from yearweave.sources.sinks import register, write_csv, write_parquet
 from yearweave.sources.wide_csv import ragged_rows, read_wide_csv
 
@@ -86,7 +86,7 @@ def test_missing_files(spark, tmp_path):
 
 
 def test_axis_bounds_must_be_ordered():
-    for start, end in [(2050, 1800), (2000, 1800), (1800, 1800), (2001, 2000)]:
+    for start, end in [(1996, 1995), (7, 7), (0, -1), (-3, -30), (10_000, 1)]:
         with pytest.raises(ValueError):
             Axis("country", "year", start, end)
 
@@ -151,3 +151,44 @@ def test_sinks(spark, tmp_path):
         register(core, "core_rows")
         register(core, "core_table", persist=True)
     assert spark.table("core_rows").count() == spark.table("core_table").count() == 3
+
+
+def test_longer_rows_are_found_wherever_the_extra_field_is(spark, write):
+    body = 'A,1,2,3,,9\nB,1\nC,1,2,3\n"D, x",1,2,\nE,1,2,3,\n"F ""q"", y",1,2,3\nG,1,,3\n'
+    df = read_wide_csv(spark, write("r.csv", "country,2000,2001,2002\n" + body))
+    assert sorted(r.country for r in ragged_rows(df).collect()) == ["A", "E"]
+    assert ragged_rows(df).count() == 2
+    assert df.where("country = 'G'").first()["2001"] is None
+
+
+def test_line_breaks_inside_quotes(spark, write):
+    path = write("m.csv", 'country,2000,2001,2002\n"Congo\nDem",1,2,3\nB,1,2,3\n')
+    spec = SourceSpec("s", path, multi_line=True)
+    names = [r.label for r in load_sources(spark, [spec], AXIS).sources["s"].entities().collect()]
+    assert names == ["Congo\nDem", "B"]
+
+
+def test_several_files(spark, tmp_path):
+    for name, text in (("1", "country,2000,2001,2002,pos\nA,1,2,3,2\n"), ("2", "country,2000,2001,2002,pos\nB,1,2,3,1\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    with pytest.raises(SourceFailure):
+        load_sources(spark, [SourceSpec("s", str(tmp_path))], AXIS)
+    spec = SourceSpec("s", str(tmp_path), order_by="pos")
+    rows = load_sources(spark, [spec], AXIS).sources["s"].entities().orderBy("ord").collect()
+    assert [r.label for r in rows] == ["B", "A"]
+    (tmp_path / "3.csv").write_text("country,2002,2001,2000,pos\nC,1,2,3,3\n")
+    with pytest.raises(SourceFailure) as e:
+        load_sources(spark, [spec], AXIS)
+    assert e.value.reason == "read_failure"
+
+
+def test_all_violations_of_a_load_are_a_table(spark, write):
+    path = write("v.csv", "country,2000,2001,2002\nA,1,2X,3\nA,1,2,3Y1\nB,1,2,3\nB,1X,2,3,\n,1,2,3\n")
+    rows = load_violations(spark, [SourceSpec("s", path), SourceSpec("none")], AXIS).collect()
+    assert {(r.source, r.reason, r.value, r.n) for r in rows} == {
+        ("s", "duplicate_or_null_keys", "A", 2),
+        ("s", "duplicate_or_null_keys", "B", 2),
+        ("s", "duplicate_or_null_keys", None, 1),
+        ("s", "longer_than_header", "B", 1),
+        ("s", "unknown_suffix", "X", 2),
+    }

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from yearweave.errors import ContractFailure
 from yearweave.operators.similarity_join import FANOUT, similarity_join
+from yearweave.session import stage
 
 EXACT_SCORE = 100.0
 FUZZY_SCORE = 90.0
@@ -80,7 +81,8 @@ def build_matches(
             for c in triple:
                 contract = contract.withColumn(c, F.lit(None).cast(schema[c].dataType))
             continue
-        matched = classify(similarity_join(labels, x, fanout))
+        # winners, losers and orphans, and each file of the contract, read the same matches
+        matched = stage(classify(similarity_join(labels, x, fanout)))
         claims = matched.where(F.col("x_label").isNotNull())
         winner = F.struct("label", "match_type", "confidence")
         winners = claims.groupBy("x_label").agg(

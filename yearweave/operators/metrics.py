@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from yearweave.session import stage
+
 # Sketch accuracy and band half-width as rank shares; below FEW values the band is everything.
 ACCURACY = 10_000
 BAND = 0.002
@@ -58,10 +60,20 @@ def year_metrics(
     for scale, column in (("lin", x), ("log", f"{x}_log")):
         n, *metrics = metric_aggregates(column, y)
         aggs += [n.alias(f"n_{scale}"), *[m.alias(f"{c}_{scale}") for m, c in zip(metrics, METRICS)]]
-    stats = core.groupBy(axis).agg(*aggs).withColumn("_ok", F.col("n_lin") >= min_points)
-    names = [f"{c}_{scale}" for scale in ("lin", "log") for c in METRICS]
-    kept = [guarded(F.col(c), F.col("_ok")).alias(c) for c in names]
-    return stats.select(axis, F.col("n_lin").alias("n"), (~F.col("_ok")).alias("insufficient"), *kept)
+    stats = core.groupBy(axis).agg(*aggs)
+    # each scale by its own count: x without a logarithm is missing on the log scale only
+    kept = [
+        guarded(F.col(f"{c}_{scale}"), F.col(f"n_{scale}") >= min_points).alias(f"{c}_{scale}")
+        for scale in ("lin", "log")
+        for c in METRICS
+    ]
+    short = (F.col("n_lin") < min_points).alias("insufficient")
+    return stats.select(axis, F.col("n_lin").alias("n"), short, *kept)
+
+
+def short_axis_values(metrics: DataFrame, axis: str = "year") -> DataFrame:
+    """The axis values whose metrics are withheld, with their number of points."""
+    return metrics.where("insufficient").select(axis, "n")
 
 
 def group_quantiles(df: DataFrame, group: str, col: str, probs: dict[str, float]) -> DataFrame:
@@ -119,8 +131,9 @@ def year_dispersion(
 ) -> DataFrame:
     """Spread of x, log x and y per axis value over the complete cases: standard deviation and
     interquartile range."""
-    cases = complete_cases(core, x, y)
     columns = {"x": x, "x_log": f"{x}_log", "y": y}
+    # seven aggregates read the cases, so the canonical table is made once and written
+    cases = stage(complete_cases(core, x, y).select(axis, *columns.values()))
     out = cases.groupBy(axis).agg(
         F.count("*").alias("n"),
         *[F.stddev_samp(c).alias(f"sd_{s}") for s, c in columns.items()],

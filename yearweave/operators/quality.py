@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from yearweave.errors import NonPositiveFailure
 from yearweave.functions.magnitude import SI_FACTORS, unknown_symbol
 from yearweave.functions.names import axis_value, overlap_columns
+from yearweave.functions.similarity import SPACE
+
+# White space of any kind at either end.
+STRIP = rf"\A{SPACE}|{SPACE}\z"
 
 
 def first_column_problem(columns: list[str], entity: str) -> tuple[str, str] | None:
@@ -169,7 +173,7 @@ def text_rules(
     allowed: list[str] | None = None,
     strip: bool = True,
 ) -> list[Rule]:
-    text = F.trim(column) if strip else F.col(column)
+    text = F.regexp_replace(column, STRIP, "") if strip else F.col(column)
     rules = []
     if len_min is not None:
         rules.append(Rule(column, "len_min", F.length(text) < len_min))

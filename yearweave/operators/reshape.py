@@ -15,12 +15,6 @@ def to_long(df: DataFrame, entity: str, cols: list[str], axis: str, value: str)
     )
 
 
-def parse_long(long: DataFrame, value: str, factors: dict[str, float] = SI_FACTORS) -> DataFrame:
-    """Magnitude text to double on the long form: one expression, however many columns."""
-    parsed = long.withColumn(value, magnitude_value(F.col(value), factors))
-    return parsed.where(F.col(value).isNotNull())
-
-
 def axis_cells(columns: list[str], start: int, end: int) -> Column:
     """The row's cells as one string array over start..end, null where a column is missing."""
     by_value = {axis_value(c): c for c in overlap_columns(columns, start, end)}

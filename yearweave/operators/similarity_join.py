@@ -29,14 +29,19 @@ def similarity_join(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
 
     Labels are unique within each side. Among equal scores the first x label by `ord` wins.
     """
+    equal, rest = equal_labels(labels, x)
+    x = x.where(F.col("label").isNotNull() & (F.col("label") != ""))
+    best = best_partner(candidate_pairs(rest.where(F.col("label") != ""), x, fanout))
+    return equal.unionByName(rest.join(best, "label", "left").select(*equal.columns))
+
+
+def equal_labels(labels: DataFrame, x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, ord, x_label, score) of the labels that an x label equals, and (label, ord) of the rest."""
     labels = labels.where(F.col("label").isNotNull())
     x = x.where(F.col("label").isNotNull() & (F.col("label") != ""))
     same = labels.join(x.select(F.col("label").alias("x_label")), F.col("label") == F.col("x_label"), "left")
     equal = same.where(F.col("x_label").isNotNull()).withColumn("score", F.lit(100.0))
-    open_labels = same.where(F.col("x_label").isNull() & (F.col("label") != "")).drop("x_label")
-    best = best_partner(candidate_pairs(open_labels, x, fanout))
-    rest = same.where(F.col("x_label").isNull()).drop("x_label").join(best, "label", "left")
-    return equal.unionByName(rest.select(*equal.columns))
+    return equal, same.where(F.col("x_label").isNull()).drop("x_label")
 
 
 def best_partner(pairs: DataFrame) -> DataFrame:

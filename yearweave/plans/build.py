@@ -2,15 +2,19 @@
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from yearweave.errors import NonPositiveFailure, ParameterFailure
 from yearweave.functions.magnitude import SI_FACTORS
 from yearweave.operators.assemble import assemble
 from yearweave.operators.contract import build_matches
+from yearweave.operators.metrics import frames, short_axis_values, year_metrics
 from yearweave.sources.contract_files import reuse_or_build
-from yearweave.sources.load import Axis, Loaded, SourceSpec, load_sources
-from yearweave.session import shared_dir
+from yearweave.session import shared_dir, stage
+from yearweave.sources.load import Axis, Loaded, SourceSpec, load_sources, load_violations
+from yearweave.sources.sinks import write_parquet
 
 # The allowed range of the minimum number of points per axis value.
 MIN_POINTS = (2, 100)
@@ -20,8 +24,13 @@ MIN_POINTS = (2, 100)
 class Build:
     core: DataFrame
     contract: DataFrame
+    conflicts: DataFrame
     report: DataFrame
     loaded: Loaded
+    violations: DataFrame
+
+
+CONFLICTS = "source string, x_label string, label string, match_type string, confidence double, winner string"
 
 
 def check_min_points(min_points: int) -> int:
@@ -43,7 +52,7 @@ def build_core_table(
     """The first spec is the x source, which sets the entities and must be positive.
 
     A contract found at `contract_path` is used as it is; otherwise one is built by matching
-    labels and written there first (or to a fresh shared folder).
+    labels and written there first (or to a fresh shared folder), with its conflicts beside it.
     """
     x_spec, *other_specs = specs
     if not x_spec.mandatory:
@@ -51,21 +60,23 @@ def build_core_table(
     loaded = load_sources(spark, specs, axis, default_factors)
     x = loaded.sources[x_spec.label]
     others = {s.label: loaded.sources[s.label] for s in other_specs}
-    contract = reuse_or_build(
-        spark,
-        contract_path or shared_dir(spark),
-        list(others),
-        lambda: build_matches(
-            x.entities(),
-            {label: s and s.entities() for label, s in others.items()},
-            on_conflict,
-            x_spec.label,
-        ).contract,
-        x_spec.label,
-        contract_format,
-    )
     if x.n_non_positive:
         raise NonPositiveFailure(f"{x.n_non_positive} values of '{x_spec.label}' are <= 0")
+    path = contract_path or shared_dir(spark)
+
+    def match() -> DataFrame:
+        labels = {label: s and s.entities() for label, s in others.items()}
+        found = build_matches(x.entities(), labels, on_conflict, x_spec.label)
+        found.conflicts.write.mode("overwrite").parquet(f"{path}/conflicts")
+        return found.contract
+
+    contract = reuse_or_build(spark, path, list(others), match, x_spec.label, contract_format)
+    try:
+        conflicts = spark.read.schema(CONFLICTS).parquet(f"{path}/conflicts")
+    except AnalysisException as e:  # a contract from elsewhere
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        conflicts = spark.createDataFrame([], CONFLICTS)
     core = assemble(
         x.arrays(),
         {label: s and s.arrays() for label, s in others.items()},
@@ -75,4 +86,52 @@ def build_core_table(
         axis.start,
         x_spec.label,
     )
-    return Build(core, contract, loaded.report(spark), loaded)
+    violations = load_violations(spark, specs, axis, default_factors)
+    return Build(core, contract, conflicts, loaded.report(spark), loaded, violations)
+
+
+@dataclass(frozen=True)
+class Results:
+    """The tables of a run, each read back from its file."""
+
+    core: DataFrame
+    metrics: DataFrame
+    frames: DataFrame
+    report: DataFrame
+
+
+def missing_report(core: DataFrame, optional: list[str], axis: Axis) -> DataFrame:
+    """(source, reason, detail, n): per optional source how many entities, and how many axis
+    values, have no value at all."""
+    out = None
+    for reason, column in (("missing_entities", axis.entity), ("missing_axis_values", axis.name)):
+        some = core.groupBy(column).agg(*[F.count(c).alias(c) for c in optional])
+        counts = some.agg(*[F.count_if(F.col(c) == 0).alias(c) for c in optional])
+        rows = counts.unpivot([], optional, "source", "n").where("n > 0")
+        rows = rows.select("source", F.lit(reason).alias("reason"), F.lit(column).alias("detail"), "n")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def run_all(run: Build, axis: Axis, path: str, min_points: int = 5, x: str = "data_x", y: str = "data_y") -> Results:
+    """Writes core, metrics, frames and one report below `path` and reads them back.
+
+    The report has a row per warning: sources that were not loaded, violations of loaded data,
+    entities and axis values that optional sources miss, and axis values with too few points.
+    """
+    spark, least = run.core.sparkSession, check_min_points(min_points)
+    core = stage(run.core)
+    metrics = stage(year_metrics(core, least, axis.name, x, y))
+    optional = [s for s, mandatory, *_ in run.loaded.rows if not mandatory and run.loaded.sources[s]]
+    rows = run.report.where("status != 'loaded'").select("source", "reason", "detail", F.lit(1).cast("long").alias("n"))
+    rows = rows.unionAll(run.violations.select("source", "reason", F.col("value").alias("detail"), "n"))
+    if optional:
+        rows = rows.unionAll(missing_report(core, optional, axis))
+    short = short_axis_values(metrics, axis.name)
+    rows = rows.unionAll(short.select(F.lit(y), F.lit("too_few_points"), F.col(axis.name).cast("string"), "n"))
+    write_parquet(core, f"{path}/core", axis.name, axis.entity)
+    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    write_parquet(frames(core, metrics, axis.name), f"{path}/frames", axis.name, axis.entity)
+    rows.write.mode("overwrite").parquet(f"{path}/report")
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("core", "metrics", "frames", "report")}
+    return Results(**tables)

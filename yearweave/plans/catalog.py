@@ -1,12 +1,15 @@
 """The registered queries: name -> function of (session, table folder)."""
 
+import uuid
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yearweave.functions.magnitude import parse_magnitude
+from yearweave.errors import SourceFailure
+from yearweave.functions.magnitude import SI_FACTORS, parse_magnitude
 from yearweave.functions.names import overlap_columns, safe_identifier
 from yearweave.operators import quality
 from yearweave.operators.contract import (
@@ -16,9 +19,15 @@ from yearweave.operators.contract import (
     seed_contract,
     unmatched_rows,
 )
-from yearweave.operators.metrics import axis_metrics, frames, year_dispersion, year_metrics
+from yearweave.operators.metrics import (
+    axis_metrics,
+    frames,
+    short_axis_values,
+    year_dispersion,
+    year_metrics,
+)
 from yearweave.operators.reshape import to_long
-from yearweave.operators.similarity_join import similarity_join
+from yearweave.operators.similarity_join import equal_labels, similarity_join
 from yearweave.plans.inputs import (
     AXIS,
     YEARS,
@@ -34,11 +43,12 @@ from yearweave.plans.inputs import (
     table,
     whole,
 )
-from yearweave.session import shared_dir
+from yearweave.plans.build import run_all
+from yearweave.session import shared_dir, stage
 from yearweave.sources.contract_files import read_contract, write_contract
-from yearweave.sources.load import SourceSpec, load_sources
-from yearweave.sources.sinks import write_csv, write_parquet
-from yearweave.sources.suffix_tables import suffix_problems
+from yearweave.sources.load import SourceSpec, load_sources, load_violations
+from yearweave.sources.sinks import register, write_csv, write_parquet
+from yearweave.sources.suffix_tables import magnitudes, suffix_problems
 from yearweave.sources.wide_csv import ragged_rows, read_wide_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,8 +227,9 @@ def value_violations(spark: SparkSession, sf: str) -> DataFrame:
             quality.order_rule("p_size", "p_partkey"),
         ],
     )
+    blank = F.when(F.col("doc_id") % 7 == 0, F.lit("   \n\t\u00a0\u2003 ")).otherwise(F.concat(F.lit("\t"), "lang"))
     documents = quality.violations(
-        table(spark, sf, "documents"),
+        table(spark, sf, "documents").withColumn("lang", blank),
         "doc_id",
         [
             *quality.text_rules("lang", len_min=1, len_max=2, allowed=["en", "de"]),
@@ -228,8 +239,9 @@ def value_violations(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, rows in (("customer", customer), ("part", part), ("documents", documents)):
         key, *rest = rows.columns
-        doubles = F.col("column") == "c_acctbal"
-        shown = F.when(~doubles, F.col("value")).alias("value")
+        # doubles as numbers, since engines write them differently
+        shown = F.coalesce(F.round(F.col("value").try_cast("double"), 2).cast("string"), F.col("value"))
+        shown = F.when(F.col("column") == "c_acctbal", shown).otherwise(F.col("value")).alias("value")
         named = rows.select(F.lit(name).alias("table_name"), F.col(key).cast("bigint").alias("key"), "column", "rule", shown)
         out = named if out is None else out.unionAll(named)
     return out
@@ -247,11 +259,10 @@ def sanitize_values(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def entities_exact(spark: SparkSession, sf: str) -> DataFrame:
     names = customer_names(spark, sf)
-    labels = customer_variants(names).select(F.col("label").alias("data_y"))
-    seeded = seed_contract(names, "data_x")
-    kind = F.when(F.col("data_y").isNotNull(), "exact").alias("data_y_match_type")
-    both = seeded.join(labels, F.col("data_x") == F.col("data_y"), "left")
-    return both.select("data_x", "data_y", kind)
+    found, _ = equal_labels(customer_variants(names), names)
+    kinds = classify(found).select(F.col("x_label").alias("data_x"), F.col("label").alias("data_y"), "match_type")
+    both = seed_contract(names, "data_x").join(kinds, "data_x", "left")
+    return both.select("data_x", "data_y", F.col("match_type").alias("data_y_match_type"))
 
 
 def matched_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,24 +326,37 @@ def contract_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 # Per-year analytics
 
 
+def readable(df: DataFrame) -> DataFrame:
+    """Metrics with about seven significant digits: slopes on large x are tiny numbers."""
+    metric = ("intercept", "r", "r2")
+    small = [c for c in df.columns if c.startswith("slope")]
+    names = [c for c in df.columns if c.removesuffix("_lin").removesuffix("_log") in metric]
+    scaled = df.withColumns({c: F.round(F.col(c) * 1e12, 0) for c in small})
+    return rounded(scaled, *names, digits=6)
+
+
 @query
 def year_metrics_lin(spark: SparkSession, sf: str) -> DataFrame:
     core = nation_build(spark, sf).core
-    out = axis_metrics(core, "year", "data_x", "data_y", 18)
-    return rounded(out, "slope", "intercept", "r", "r2", digits=6)
+    return readable(axis_metrics(core, "year", "data_x", "data_y", 5))
 
 
 @query
 def year_metrics_log(spark: SparkSession, sf: str) -> DataFrame:
     core = nation_build(spark, sf).core
-    out = axis_metrics(core, "year", "data_x_log", "data_y", 18)
-    return rounded(out, "slope", "intercept", "r", "r2", digits=6)
+    return readable(axis_metrics(core, "year", "data_x_log", "data_y", 5))
+
+
+@query
+def year_metrics_short(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations without a hole number 18 or more in one or a few years only."""
+    core = nation_build(spark, sf).core
+    return short_axis_values(axis_metrics(core, "year", "data_x", "data_y", 18))
 
 
 @query
 def year_metrics_customers(spark: SparkSession, sf: str) -> DataFrame:
-    out = year_metrics(customer_core(spark, sf), 5)
-    return rounded(out, *[c for c in out.columns if c.endswith(("_lin", "_log"))], digits=6)
+    return readable(year_metrics(customer_core(spark, sf), 5))
 
 
 @query
@@ -343,24 +367,27 @@ def dispersion_by_year(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def frames_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    core = customer_core(spark, sf)
-    out = frames(core, year_metrics(core, 5))
-    digits = ["data_x_log", *[c for c in out.columns if c.endswith(("_lin", "_log"))]]
-    return rounded(out, *digits, digits=6)
+    core = stage(customer_core(spark, sf))
+    return rounded(readable(frames(core, year_metrics(core, 5))), "data_x_log", digits=6)
 
 
 # Files
 
 
-def customer_csv(spark: SparkSession, sf: str, ragged: bool) -> str:
-    """The wide customer table as CSV text; `ragged` adds a field to every third row."""
+def customer_csv(spark: SparkSession, sf: str, ragged: bool, files: int = 0) -> str:
+    """The wide customer table as CSV text. `ragged` adds a field to every third row, by turns a
+    filled one, an empty and a filled one, and an empty one."""
     wide = customer_wide(spark, sf)
     cells = [F.coalesce(F.col(str(y)).cast("string"), F.lit("")) for y in YEARS]
-    line = F.concat_ws(",", F.concat(F.lit('"Customer, '), "o_custkey", F.lit('"')), *cells)
+    name = F.concat(F.lit('"Customer, '), "o_custkey", F.lit('"'))
+    line = F.concat_ws(",", name, *cells, F.col("o_custkey").cast("string"))
     if ragged:
-        line = F.when(F.col("o_custkey") % 3 == 0, F.concat(line, F.lit(",9"))).otherwise(line)
+        extra = F.element_at(F.array(F.lit(",9"), F.lit(",,9"), F.lit(",")), (F.col("o_custkey") / 3 % 3 + 1).cast("int"))
+        line = F.when(F.col("o_custkey") % 3 == 0, F.concat(line, extra)).otherwise(line)
     path = f"{shared_dir(spark)}/wide"
-    header = ",".join(["country", *map(str, YEARS)])
+    header = ",".join(["country", *map(str, YEARS), "custkey"])
+    if files:
+        wide = wide.repartition(files, "o_custkey")
     wide.select(line.alias(header)).write.options(header=True, quote="\u0000", escapeQuotes=False).option(
         "delimiter", "\u0001"
     ).csv(path)
@@ -369,27 +396,62 @@ def customer_csv(spark: SparkSession, sf: str, ragged: bool) -> str:
 
 @query
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    spec = SourceSpec("cents", customer_csv(spark, sf, ragged=False), profile="clean")
+    spec = SourceSpec("cents", customer_csv(spark, sf, ragged=False), profile="clean", order_by="custkey")
     return load_sources(spark, [spec], AXIS).sources["cents"].long()
 
 
 @query
 def csv_dusty(spark: SparkSession, sf: str) -> DataFrame:
-    spec = SourceSpec("cents", customer_csv(spark, sf, ragged=True), profile="dusty")
+    spec = SourceSpec("cents", customer_csv(spark, sf, ragged=True), profile="dusty", order_by="custkey")
     return load_sources(spark, [spec], AXIS).sources["cents"].long()
 
 
 @query
 def csv_ragged_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return ragged_rows(read_wide_csv(spark, customer_csv(spark, sf, ragged=True))).select("country")
+    path = customer_csv(spark, sf, ragged=True)
+    return ragged_rows(read_wide_csv(spark, path, order_by="custkey")).select("country")
+
+
+@query
+def csv_multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels with a line break inside their quotes."""
+    wide = customer_wide(spark, sf)
+    cells = [F.coalesce(F.col(str(y)).cast("string"), F.lit("")) for y in YEARS]
+    lines = wide.select("o_custkey", F.concat_ws(",", F.concat(F.lit('"Customer,\n'), "o_custkey", F.lit('"')), *cells).alias("line"))
+    header = spark.createDataFrame([(-1, ",".join(["country", *map(str, YEARS)]))], "o_custkey long, line string")
+    # a file with line breaks inside quotes cannot be split, so it is one file
+    whole_file = lines.unionByName(header).repartition(1).sortWithinPartitions("o_custkey").select("line")
+    path = f"{shared_dir(spark)}/lines"
+    whole_file.write.text(path)
+    spec = SourceSpec("cents", path, multi_line=True)
+    return load_sources(spark, [spec], AXIS).sources["cents"].long()
+
+
+@query
+def csv_many_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Several files with the same header are one source in the order of a column; a file with
+    another header is refused, as are several files without an order column."""
+    path = customer_csv(spark, sf, ragged=False, files=3)
+    found = load_sources(spark, [SourceSpec("cents", path, order_by="custkey")], AXIS).sources["cents"]
+    other = path.removesuffix("wide") + "other"
+    wide = customer_wide(spark, sf).select(F.col("o_custkey").alias("country"), *map(str, reversed(YEARS)), F.col("o_custkey").alias("custkey"))
+    wide.write.options(header=True).csv(other)
+    mixed = [
+        SourceSpec("other_header", path.removesuffix("wide") + "*/part-*", mandatory=False, order_by="custkey"),
+        SourceSpec("no_order", path, mandatory=False),
+    ]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        report = load_sources(spark, mixed, AXIS).report(spark)
+    refused = report.select(F.col("source").alias("label"), F.lit(None).cast("long").alias("ord"), "reason")
+    return found.entities().withColumn("reason", F.lit(None).cast("string")).unionAll(refused)
 
 
 @query
 def core_to_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_dir(spark)}/core"
     write_parquet(customer_core(spark, sf), path, "year", "country")
-    kept = spark.read.parquet(path).where(F.col("year").between(1996, 1998))
-    return kept.select("country", "year", "data_x", "data_y")
+    return rounded(spark.read.parquet(path), "data_x_log")
 
 
 @query
@@ -398,4 +460,110 @@ def core_to_csv(spark: SparkSession, sf: str) -> DataFrame:
     write_csv(customer_core(spark, sf), path, "year", "country")
     schema = "country string, year int, data_x double, data_x_log double, data_y double, extra_data_point double, extra_data_x double"
     back = spark.read.schema(schema).options(header=True, escape='"').csv(path)
-    return back.select("country", "year", "data_x", "data_y", "extra_data_point")
+    # part files in the order of their names, rows in the order of the files
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    back = back.withColumn("place", place)
+    before = F.lag(F.struct("country", "year")).over(Window.partitionBy("place.file_name").orderBy("place"))
+    ends = back.groupBy("place.file_name").agg(F.min(F.struct("country", "year")).alias("first"), F.max(F.struct("country", "year")).alias("last"))
+    follows = F.lag("last").over(Window.orderBy("file_name"))
+    apart = ends.withColumn("after", follows).where("after > first").count()
+    ordered = F.coalesce(before < F.struct("country", "year"), F.lit(True)) & F.lit(apart == 0)
+    return rounded(back.withColumn("ordered", ordered).drop("place"), "data_x_log")
+
+
+# Tables of the session, suffix tables as data, and the report of a whole run
+
+
+@query
+def table_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """A view that is registered twice shows the second table."""
+    register(table(spark, sf, "region"), "yearweave_view")
+    register(table(spark, sf, "nation"), "yearweave_view")
+    return spark.table("yearweave_view")
+
+
+@query
+def catalog_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for a table of the session's catalog, which outlives its source."""
+    name = f"yearweave_{uuid.uuid4().hex}"
+    register(table(spark, sf, "region"), name, persist=True)
+    register(table(spark, sf, "customer"), name, persist=True)
+    return spark.table(name)
+
+
+@query
+def suffix_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Magnitudes by suffix tables held as data: flag N has a table of its own, with B where the
+    default has G, so it knows no k either."""
+    default = [("default", s, str(f)) for s, f in SI_FACTORS.items()]
+    own = [("N", ("B" if s == "G" else s), str(f)) for s, f in SI_FACTORS.items() if s != "k"]
+    suffixes = spark.createDataFrame([*default, *own], "source string, symbol string, factor string")
+    number = whole(F.col("l_extendedprice") / 1000)
+    symbol = F.element_at(F.array(*[F.lit(s) for s in ("k", "G", "B", "", "x")]), (F.col("l_orderkey") % 5 + 1).cast("int"))
+    cells = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("source"), F.concat(number, symbol).alias("text")
+    )
+    return magnitudes(cells, suffixes)
+
+
+def faulty_specs(spark: SparkSession, sf: str) -> list[SourceSpec]:
+    """Optional sources that each fail one check."""
+    wide = customer_wide(spark, sf)
+    cells = [F.col(str(y)).cast("string").alias(str(y)) for y in YEARS]
+    rows = wide.select(F.col("o_custkey").cast("string").alias("country"), *cells, F.col("o_custkey").alias("pos"))
+    third = F.when(F.col("pos") % 3 == 0, F.lit(None).cast("string")).otherwise((F.col("pos") % 100).cast("string"))
+    odd = F.when(F.col("pos") % 5 == 0, F.concat(F.col("1996"), F.lit("Q"))).otherwise(F.col("1996"))
+    options = {"mandatory": False, "order_by": "pos"}
+    return [
+        SourceSpec("first_column", table=rows.withColumnRenamed("country", "land"), **options),
+        SourceSpec("outside", table=rows.select("country", F.col("1995").alias("1900"), "pos"), **options),
+        SourceSpec("keys", table=rows.withColumn("country", third), **options),
+        SourceSpec("suffix", table=rows.withColumn("1996", odd), **options),
+        SourceSpec("missing", f"{sf}/no_such_file.csv", mandatory=False),
+        SourceSpec("none", mandatory=False),
+        SourceSpec("good", table=rows, **options),
+    ]
+
+
+@query
+def load_report_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        report = load_sources(spark, faulty_specs(spark, sf), AXIS).report(spark)
+    return report.select("source", "mandatory", "status", "reason")
+
+
+@query
+def load_violations_all(spark: SparkSession, sf: str) -> DataFrame:
+    return load_violations(spark, faulty_specs(spark, sf), AXIS)
+
+
+@query
+def overlap_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A mandatory source whose axis columns run backwards fails, with its reason."""
+    wide = customer_wide(spark, sf).select(F.col("o_custkey").alias("country"), *map(str, reversed(YEARS)), F.col("o_custkey").alias("pos"))
+    try:
+        load_sources(spark, [SourceSpec("backwards", table=wide, order_by="pos")], AXIS)
+        reason = None
+    except SourceFailure as e:
+        reason = e.reason
+    return wide.agg(F.lit(reason).alias("reason"), F.count("*").alias("n"))
+
+
+@query
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All warnings of a written run over nations, without one optional source."""
+    run = nation_build(spark, sf, dead="extra_data_point")
+    return run_all(run, AXIS, f"{shared_dir(spark)}/run", 18).report
+
+
+@query
+def run_frames(spark: SparkSession, sf: str) -> DataFrame:
+    run = nation_build(spark, sf)
+    out = run_all(run, AXIS, f"{shared_dir(spark)}/run", 5).frames
+    return rounded(readable(out), "data_x_log", digits=6)
+
+
+@query
+def run_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(part_build(spark, sf, contested=True).conflicts, "confidence")

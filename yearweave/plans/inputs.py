@@ -1,6 +1,6 @@
 """Wide sources, label sets and canonical tables derived from the given tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yearweave.operators.assemble import assemble
@@ -12,6 +12,8 @@ from yearweave.sources.contract_files import write_contract
 from yearweave.sources.load import Axis, SourceSpec
 
 YEARS = list(range(1995, 2002))
+# Wider than the axis on both sides, so that the engine has to choose its columns.
+SHIP_YEARS = list(range(1994, 2004))
 OTHERS = ["data_y", "extra_data_point", "extra_data_x"]
 AXIS = Axis("country", "year", YEARS[0], YEARS[-1])
 
@@ -121,10 +123,12 @@ def customer_core(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
 
+    # three sources read the pivot, so the orders are scanned and shuffled once
+    wide = stage(wide.join(customer, F.col("o_custkey") == F.col("c_custkey")))
+
     def source(role: str, label: Column) -> DataFrame:
         cells = [F.col(f"{y}_{role}").alias(str(y)) for y in YEARS]
-        rows = wide.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        named = rows.select(label.alias("country"), *cells)
+        named = wide.select(label.alias("country"), *cells)
         return to_axis_array(named, "country", YEARS[0], YEARS[-1])
 
     alias = F.concat(F.lit("cust "), F.col("c_custkey").cast("string"))
@@ -187,18 +191,16 @@ def customer_variants(names: DataFrame) -> DataFrame:
     return names.select(other.alias("label"), "ord").groupBy("label").agg(F.min("ord").alias("ord"))
 
 
-def part_build(spark: SparkSession, sf_dir: str) -> Build:
+def part_build(spark: SparkSession, sf_dir: str, contested: bool = False) -> Build:
     """A run whose contract comes from label matching: revenue and units per part name and ship
     year, the units listed under the varied names."""
     lineitem = table(spark, sf_dir, "lineitem")
     lineitem = lineitem.select("l_partkey", "l_quantity", "l_extendedprice", F.year("l_shipdate").alias("yr"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    years = F.col("yr").between(YEARS[0], YEARS[-1])
     wide = (
-        lineitem.where(years)
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("p_name")
-        .pivot("yr", YEARS)
+        .pivot("yr", SHIP_YEARS)
         .agg(
             F.concat(whole(F.sum(F.floor("l_extendedprice").cast("bigint")) / 1000), F.lit("k")).alias("x"),
             F.sum(F.col("l_quantity").cast("bigint")).cast("string").alias("y"),
@@ -206,9 +208,15 @@ def part_build(spark: SparkSession, sf_dir: str) -> Build:
     )
     names = part_names(spark, sf_dir)
     wide = stage(wide.join(names, F.col("p_name") == F.col("label")))
-    x = wide.select(F.col("p_name").alias("country"), *[F.col(f"{y}_x").alias(str(y)) for y in YEARS], "ord")
+    x = wide.select(F.col("p_name").alias("country"), *[F.col(f"{y}_x").alias(str(y)) for y in SHIP_YEARS], "ord")
     varied = wide.drop("label").join(part_variants(names), "ord")
-    y = varied.select(F.col("label").alias("country"), *[F.col(f"{y}_y").alias(str(y)) for y in YEARS], "ord")
+    if contested:
+        # every unchanged name again, after all others, with its words swapped
+        again = varied.where(F.col("ord") % 4 == 0).withColumn("label", swapped(F.col("label")))
+        varied = varied.unionByName(again.withColumn("ord", F.col("ord") + (1 << 40)))
+        latest = Window.partitionBy("label").orderBy(F.col("ord").desc())
+        varied = varied.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    y = varied.select(F.col("label").alias("country"), *[F.col(f"{y}_y").alias(str(y)) for y in SHIP_YEARS], "ord")
     specs = [
         SourceSpec("data_x", table=x, order_by="ord"),
         SourceSpec("data_y", table=y, order_by="ord"),

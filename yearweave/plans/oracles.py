@@ -42,10 +42,8 @@ core AS (
   FROM cents JOIN customer ON o_custkey = c_custkey)"""
 
 ORACLES["core_table_customers"] = f"WITH {CUSTOMERS} SELECT * FROM core"
-ORACLES["core_to_parquet"] = f"""WITH {CUSTOMERS}
-SELECT country, year, data_x, data_y FROM core WHERE year BETWEEN 1996 AND 1998"""
-ORACLES["core_to_csv"] = f"""WITH {CUSTOMERS}
-SELECT country, year, data_x, data_y, extra_data_point FROM core"""
+ORACLES["core_to_parquet"] = ORACLES["core_table_customers"]
+ORACLES["core_to_csv"] = f"WITH {CUSTOMERS} SELECT *, true AS ordered FROM core"
 
 TEXTS = """
 texts AS (
@@ -84,6 +82,13 @@ for _name in ("csv_roundtrip", "csv_dusty"):
     ORACLES[_name] = f"""WITH {CUSTOMERS}
     SELECT 'Customer, ' || o_custkey AS country, yr AS year, CAST(spend AS DOUBLE) AS cents
     FROM cents"""
+ORACLES["csv_multiline"] = f"""WITH {CUSTOMERS}
+SELECT 'Customer,' || chr(10) || o_custkey AS country, yr AS year, CAST(spend AS DOUBLE) AS cents
+FROM cents"""
+ORACLES["csv_many_files"] = """
+SELECT DISTINCT 'Customer, ' || o_custkey AS label, CAST(o_custkey AS BIGINT) AS ord,
+       CAST(NULL AS VARCHAR) AS reason FROM orders
+UNION ALL SELECT 'other_header', NULL, 'read_failure' UNION ALL SELECT 'no_order', NULL, 'read_failure'"""
 ORACLES["csv_ragged_rows"] = """
 SELECT 'Customer, ' || o_custkey AS country FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey"""
 
@@ -113,10 +118,22 @@ SELECT * FROM (
                    (SELECT count(n_chars) FROM documents)
   UNION ALL SELECT 'lang', 'out_of_order', '1', '2', (SELECT count(lang) FROM documents)
   UNION ALL SELECT 'text', 'out_of_order', '2', '1', (SELECT count(text) FROM documents))"""
-ORACLES["value_violations"] = """
+STRIP = (
+    r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+
+
+def strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{STRIP}|{STRIP}$', '', 'g')"
+
+
+ORACLES["value_violations"] = f"""
+WITH docs AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0
+  THEN '   ' || chr(10) || chr(9) || chr(160) || chr(8195) || ' ' ELSE chr(9) || lang END AS lang
+  FROM documents)
 SELECT 'customer' AS table_name, c_custkey AS key, 'c_acctbal' AS "column", 'min' AS rule,
-       CAST(NULL AS VARCHAR) AS value FROM customer WHERE c_acctbal < 0
-UNION ALL SELECT 'customer', c_custkey, 'c_acctbal', 'max', NULL FROM customer
+       CAST(round(c_acctbal, 2) AS VARCHAR) AS value FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT 'customer', c_custkey, 'c_acctbal', 'max', CAST(round(c_acctbal, 2) AS VARCHAR) FROM customer
   WHERE c_acctbal > 9000
 UNION ALL SELECT 'customer', c_custkey, 'c_mktsegment', 'allowed', c_mktsegment FROM customer
   WHERE trim(c_mktsegment) NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')
@@ -128,12 +145,12 @@ UNION ALL SELECT 'part', p_partkey, 'p_size', 'min', CAST(p_size AS VARCHAR) FRO
   WHERE p_size < 3
 UNION ALL SELECT 'part', p_partkey, 'p_size', 'below_p_partkey', CAST(p_size AS VARCHAR) FROM part
   WHERE p_size >= p_partkey
-UNION ALL SELECT 'documents', doc_id, 'lang', 'len_min', lang FROM documents
-  WHERE length(trim(lang)) < 1
-UNION ALL SELECT 'documents', doc_id, 'lang', 'len_max', lang FROM documents
-  WHERE length(trim(lang)) > 2
-UNION ALL SELECT 'documents', doc_id, 'lang', 'allowed', lang FROM documents
-  WHERE trim(lang) NOT IN ('en', 'de')
+UNION ALL SELECT 'documents', doc_id, 'lang', 'len_min', lang FROM docs
+  WHERE length({strip('lang')}) < 1
+UNION ALL SELECT 'documents', doc_id, 'lang', 'len_max', lang FROM docs
+  WHERE length({strip('lang')}) > 2
+UNION ALL SELECT 'documents', doc_id, 'lang', 'allowed', lang FROM docs
+  WHERE {strip('lang')} NOT IN ('en', 'de')
 UNION ALL SELECT 'documents', doc_id, 'source', 'type', source FROM documents
   WHERE source IS NOT NULL AND TRY_CAST(source AS INTEGER) IS NULL"""
 ORACLES["sanitize_values"] = r"""
@@ -284,12 +301,12 @@ LEFT JOIN named d ON d.label = w.label AND d.yr = c.yr"""
 
 
 def metric(x: str, digits: int = 6) -> dict[str, str]:
-    """Regression of data_y on x, null where undefined."""
-    def clean(v: str) -> str:
-        return f"CASE WHEN isnan({v}) OR isinf({v}) THEN NULL ELSE round({v}, {digits}) END"
+    """Regression of data_y on x, null where undefined; slopes, tiny on large x, times 1e12."""
+    def clean(v: str, scale: str = "", digits: int = digits) -> str:
+        return f"CASE WHEN isnan({v}) OR isinf({v}) THEN NULL ELSE round({v}{scale}, {digits}) END"
 
     return {
-        "slope": clean(f"regr_slope(data_y, {x})"),
+        "slope": clean(f"regr_slope(data_y, {x})", " * 1e12", 0),
         "intercept": clean(f"regr_intercept(data_y, {x})"),
         "r": clean(f"corr(data_y, {x})"),
         "r2": clean(f"regr_r2(data_y, {x})"),
@@ -309,8 +326,10 @@ def unrounded(ctes: str) -> str:
     return ctes.replace(RAW_LOG[0], RAW_LOG[2]).replace(RAW_LOG[1], RAW_LOG[3])
 
 
-ORACLES["year_metrics_lin"] = f"WITH {unrounded(NATIONS)} {year_metrics('data_x', 18)}"
-ORACLES["year_metrics_log"] = f"WITH {unrounded(NATIONS)} {year_metrics('data_x_log', 18)}"
+ORACLES["year_metrics_lin"] = f"WITH {unrounded(NATIONS)} {year_metrics('data_x', 5)}"
+ORACLES["year_metrics_log"] = f"WITH {unrounded(NATIONS)} {year_metrics('data_x_log', 5)}"
+SHORT = """SELECT year, count(data_y) AS n FROM core GROUP BY year HAVING count(data_y) < 18"""
+ORACLES["year_metrics_short"] = f"WITH {NATIONS} {SHORT}"
 
 
 def both_metrics() -> str:
@@ -323,6 +342,51 @@ def both_metrics() -> str:
     return f"SELECT year, {n} AS n, {n} < 5 AS insufficient, {', '.join(cols)} FROM core GROUP BY year"
 
 
+ORACLES["run_report"] = f"""WITH {NATIONS}, short AS ({SHORT})
+SELECT 'extra_data_point' AS source, 'no_path' AS reason, 'no path given' AS detail, CAST(1 AS BIGINT) AS n
+UNION ALL SELECT 'data_y', 'too_few_points', CAST(year AS VARCHAR), n FROM short"""
+ORACLES["run_frames"] = f"""WITH {unrounded(NATIONS)}, metrics AS ({both_metrics()})
+SELECT core.* REPLACE (round(data_x_log, 6) AS data_x_log), metrics.* EXCLUDE (year)
+FROM core LEFT JOIN metrics USING (year)"""
+ORACLES["run_conflicts"] = f"""
+WITH xs AS ({PART_NAMES}),
+ls AS (SELECT label, max(ord) AS ord FROM ({PART_VARIANTS} UNION ALL
+       SELECT {SWAP}, ord + (1::BIGINT << 40) FROM xs WHERE ord % 4 = 0) GROUP BY 1), {best_matches()},
+won AS (SELECT x_label, max_by(label, ord) AS label FROM classed WHERE x_label IS NOT NULL GROUP BY 1)
+SELECT 'data_y' AS source, c.x_label, c.label, c.match_type, c.confidence, w.label AS winner
+FROM classed c JOIN won w ON w.x_label = c.x_label WHERE c.label <> w.label"""
+ORACLES["table_replace"] = "SELECT * FROM nation"
+ORACLES["catalog_table"] = "SELECT * FROM customer"
+ORACLES["suffix_source"] = """
+WITH cells AS (
+  SELECT l_orderkey, l_linenumber, l_returnflag AS source,
+         CAST(floor(l_extendedprice / 1000) AS BIGINT) AS v,
+         ['k', 'G', 'B', '', 'x'][l_orderkey % 5 + 1] AS symbol FROM lineitem),
+known AS (
+  SELECT *, CASE WHEN symbol = '' THEN 1.0 WHEN source = 'N' AND symbol = 'B' THEN 1e9
+    WHEN source <> 'N' AND symbol = 'k' THEN 1e3 WHEN source <> 'N' AND symbol = 'G' THEN 1e9
+    END AS factor FROM cells)
+SELECT l_orderkey, l_linenumber, source, v || symbol AS text, v * factor::DOUBLE AS value,
+       factor IS NULL AS unknown_suffix FROM known"""
+FAULTY = """
+keys AS (SELECT o_custkey AS k, count(CASE WHEN year(o_orderdate) = 1996 THEN 1 END) AS n FROM orders GROUP BY 1),
+names AS (SELECT CASE WHEN k % 3 <> 0 THEN CAST(k % 100 AS VARCHAR) END AS value FROM keys),
+bad AS (
+  SELECT 'keys' AS source, 'duplicate_or_null_keys' AS reason, value, count(*) AS n FROM names
+  GROUP BY value HAVING count(*) > 1 OR value IS NULL
+  UNION ALL SELECT 'suffix', 'unknown_suffix', 'Q', count(*) FROM keys WHERE k % 5 = 0 AND n > 0
+  HAVING count(*) > 0)"""
+ORACLES["load_violations_all"] = f"WITH {FAULTY} SELECT * FROM bad"
+ORACLES["load_report_dropped"] = f"""WITH {FAULTY}, found AS (
+  SELECT source, max(reason) AS reason FROM bad GROUP BY 1
+  UNION ALL SELECT * FROM (VALUES ('first_column', 'wrong_entity_column'), ('outside', 'no_overlap_column'),
+    ('missing', 'file_not_found'), ('none', 'no_path')))
+SELECT s.source, false AS mandatory, f.reason,
+       CASE WHEN f.reason IS NULL THEN 'loaded' WHEN f.reason = 'no_path' THEN 'skipped' ELSE 'dropped' END AS status
+FROM (VALUES ('first_column'), ('outside'), ('keys'), ('suffix'), ('missing'), ('none'), ('good')) AS s(source)
+LEFT JOIN found f ON f.source = s.source"""
+ORACLES["overlap_order"] = """
+SELECT 'overlap_order' AS reason, count(DISTINCT o_custkey) AS n FROM orders"""
 ORACLES["year_metrics_customers"] = f"WITH {unrounded(CUSTOMERS)} {both_metrics()}"
 ORACLES["frames_by_year"] = f"""WITH {unrounded(CUSTOMERS)}, metrics AS ({both_metrics()})
 SELECT core.* REPLACE (round(data_x_log, 6) AS data_x_log), metrics.* EXCLUDE (year)

@@ -8,6 +8,7 @@ before it is used.
 import warnings
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,12 @@ from pyspark.sql import functions as F
 from yearweave.errors import SourceFailure
 from yearweave.functions.magnitude import SI_FACTORS, magnitude_value, unknown_symbol
 from yearweave.functions.names import overlap_columns
-from yearweave.operators.quality import first_column_problem, overlap_problem
+from yearweave.operators.quality import (
+    duplicate_keys,
+    first_column_problem,
+    overlap_problem,
+    unknown_suffixes,
+)
 from yearweave.operators.reshape import to_axis_array, to_long
 from yearweave.sources.wide_csv import ORD, OVERFLOW, as_strings, read_wide_csv
 
@@ -24,7 +30,11 @@ REPORT_SCHEMA = "source string, mandatory boolean, status string, reason string,
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """One wide source: a CSV path, or a table already in Spark with its row-order column."""
+    """One wide source: a CSV path, or a table already in Spark.
+
+    `order_by` names the column that orders the rows: for a table always, for a CSV path where it
+    holds several files. `factors` replaces the default suffix table for this source.
+    """
 
     label: str
     path: str = ""
@@ -33,6 +43,7 @@ class SourceSpec:
     factors: dict[str, float] | None = None
     table: DataFrame | None = None
     order_by: str = ""
+    multi_line: bool = False
 
 
 @dataclass(frozen=True)
@@ -90,7 +101,7 @@ class Loaded:
 def open_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     if spec.table is not None:
         return as_strings(spec.table, spec.order_by)
-    return read_wide_csv(spark, spec.path, spec.profile)
+    return read_wide_csv(spark, spec.path, spec.profile, spec.multi_line, spec.order_by)
 
 
 def gate(df: DataFrame, entity: str, cols: list[str], factors: dict[str, float]) -> Row:
@@ -147,6 +158,8 @@ def judge(
     except AnalysisException as e:
         missing = e.getCondition() == "PATH_NOT_FOUND"
         return None, "file_not_found" if missing else "read_failure", str(e).split("\n")[0]
+    except Py4JJavaError as e:  # a file that cannot be read, such as one with another header
+        return None, "read_failure", str(e.java_exception.getMessage()).split("\n")[0]
     except (PySparkException, ValueError) as e:
         return None, "read_failure", str(e).split("\n")[0]
     if seen.n_ragged:
@@ -163,6 +176,42 @@ def judge(
     return Source(spec.label, df, axis, factors, seen.n_low), "", ""
 
 
+VIOLATION_SCHEMA = "source string, reason string, value string, n bigint"
+
+
+def load_violations(
+    spark: SparkSession,
+    specs: list[SourceSpec],
+    axis: Axis,
+    default_factors: dict[str, float] = SI_FACTORS,
+) -> DataFrame:
+    """(source, reason, value, n): every repeated or null key, every suffix without a factor, and
+    every key with a row longer than the header. Sources that cannot be read give no rows."""
+    out = spark.createDataFrame([], VIOLATION_SCHEMA)
+    for spec in specs:
+        factors = spec.factors if spec.factors is not None else default_factors
+        if spec.table is None and not spec.path.strip():
+            continue
+        try:
+            df = open_source(spark, spec)
+            cols = overlap_columns(df.columns, axis.start, axis.end)
+        except (PySparkException, ValueError):
+            continue
+        if axis.entity not in df.columns:
+            continue
+        label, key = F.lit(spec.label).alias("source"), F.col(f"`{axis.entity}`")
+        keys = duplicate_keys(df.select(key.alias("value")), ["value"])
+        out = out.unionAll(keys.select(label, F.lit("duplicate_or_null_keys"), "value", "n"))
+        if OVERFLOW in df.columns:
+            longer = df.where(F.col(OVERFLOW).isNotNull()).groupBy(key.alias("value")).count()
+            out = out.unionAll(longer.select(label, F.lit("longer_than_header"), "value", "count"))
+        if cols:
+            cells = to_long(df, axis.entity, cols, axis.name, "_text")
+            found = unknown_suffixes(cells, "_text", factors)
+            out = out.unionAll(found.select(label, F.lit("unknown_suffix"), "symbol", "n_cells"))
+    return out
+
+
 def load_sources(
     spark: SparkSession,
     specs: list[SourceSpec],

@@ -4,8 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yearweave.errors import SuffixTableFailure
-
-MAX_SYMBOLS = 10_000
+from yearweave.functions.magnitude import number_part, suffix_part
 
 
 def suffix_problems(table: DataFrame) -> DataFrame:
@@ -14,10 +13,32 @@ def suffix_problems(table: DataFrame) -> DataFrame:
     return table.where(number.isNull() | F.col("symbol").isNull())
 
 
+def magnitudes(cells: DataFrame, table: DataFrame, text: str = "text", default: str = "default") -> DataFrame:
+    """`cells` (with columns source and `text`) and `value`, `unknown_suffix`, by joining the suffix
+    table, whatever its size. A source's own table, where it has one, replaces the default.
+
+    Symbols that read as a double (`NaN`) count as that double.
+    """
+    rows = table.select("source", "symbol", F.col("factor").cast("string").try_cast("double").alias("factor"))
+    own = rows.withColumnRenamed("factor", "_own")
+    owners = rows.select("source", F.lit(True).alias("_has_own")).distinct()
+    shared = rows.where(F.col("source") == default).select("symbol", F.col("factor").alias("_shared"))
+    out = cells.withColumn("symbol", suffix_part(F.col(text)))
+    out = out.join(own, ["source", "symbol"], "left").join(owners, "source", "left")
+    out = out.join(shared, "symbol", "left")
+    factor = F.when(F.col("_has_own"), F.col("_own")).otherwise(F.col("_shared"))
+    factor = F.coalesce(factor, F.col("symbol").try_cast("double"))
+    bare = F.col("symbol").isNull()
+    value = number_part(F.col(text)) * F.when(bare, F.lit(1.0)).otherwise(factor)
+    return out.select(
+        *cells.columns, value.alias("value"), (~bare & factor.isNull()).alias("unknown_suffix")
+    )
+
+
 def suffix_factors(table: DataFrame, source: str, default: str = "default") -> dict[str, float]:
     """The source's own table if it has one (it replaces the default), else the default.
 
-    The chosen table becomes a literal map, so its size is checked before it is fetched.
+    For `SourceSpec.factors`, which is a literal map in the plan; `magnitudes` joins instead.
     """
     rows = table.where(F.col("source").isin(source, default))
     own = F.max((F.col("source") == source).cast("int")).alias("own")
@@ -25,9 +46,7 @@ def suffix_factors(table: DataFrame, source: str, default: str = "default") -> d
         rows = rows.where(F.col("source") == source)
     if not suffix_problems(rows).isEmpty():
         raise SuffixTableFailure(f"suffix table for '{source}' has non-numeric factors")
-    fetched = rows.select("symbol", F.col("factor").cast("double")).limit(MAX_SYMBOLS + 1).collect()
+    fetched = rows.select("symbol", F.col("factor").cast("double")).collect()
     if not fetched:
         raise SuffixTableFailure(f"no suffix table for '{source}' and no default")
-    if len(fetched) > MAX_SYMBOLS:
-        raise SuffixTableFailure(f"suffix table for '{source}' exceeds {MAX_SYMBOLS} symbols")
     return {symbol: factor for symbol, factor in fetched}

@@ -5,27 +5,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ORD = "_ord"
+#: The raw text of a row that has not as many fields as the header.
 OVERFLOW = "_overflow"
 # The reader profiles. True means fields beyond the header are cut.
 PROFILES = {"clean": False, "dusty": True}
 
 
 def read_wide_csv(
-    spark: SparkSession, path: str, profile: str = "clean", multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    profile: str = "clean",
+    multi_line: bool = False,
+    order_by: str = "",
 ) -> DataFrame:
     """The table's string columns, then `_ord` (row order) and, for `clean`, `_overflow`.
 
-    `_overflow` holds the first field beyond the header; a row with a value there is ragged.
-    Rows shorter than the header are padded with nulls. `_ord` follows the file order within
-    one file; it is taken right after the scan, before anything can move rows.
+    `_overflow` holds the text of a row with more fields than the header, wherever the extra ones
+    are and even if they are empty. Rows shorter than the header are padded with nulls. `multi_line`
+    allows line breaks inside quotes. All files must have the same header: a scan that meets another
+    one fails. `_ord` follows a single file, taken right after the scan, before anything can move
+    rows. Rows of several files have no common order, so they need `order_by`, an integer column.
     """
     if profile not in PROFILES:
         raise ValueError(f"unknown profile '{profile}', expected one of {sorted(PROFILES)}")
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
-    header = spark.read.options(**options).csv(path).columns
-    fields = header if PROFILES[profile] else [*header, OVERFLOW]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in fields])
-    scan = spark.read.schema(schema).options(mode="PERMISSIVE", **options).csv(path)
+    first = spark.read.options(**options).csv(path)
+    header = first.columns
+    if not order_by and len(first.inputFiles()) > 1:
+        raise ValueError("several files have no common row order: name an order column")
+    if order_by and order_by not in header:
+        raise ValueError(f"no order column '{order_by}' in the header")
+    cut = PROFILES[profile]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    # every field is parsed whatever is selected later, or misfits would go unseen
+    options |= {"mode": "PERMISSIVE", "enforceSchema": False, "columnPruning": False}
+    if not cut:
+        schema = schema.add(OVERFLOW, T.StringType())
+        options["columnNameOfCorruptRecord"] = OVERFLOW
+    scan = spark.read.schema(schema).options(**options).csv(path)
+    if not cut:
+        # of the rows that do not fit, the short ones are fine
+        unquoted = F.regexp_replace(OVERFLOW, '"([^"]|"")*"', "")
+        longer = F.size(F.split(unquoted, ",", -1)) > len(header)
+        # (a query on the corrupt text alone is refused, so a field takes part)
+        longer &= F.coalesce(F.length(f"`{header[0]}`"), F.lit(0)) >= 0
+        scan = scan.withColumn(OVERFLOW, F.when(longer, F.col(OVERFLOW)))
+    if order_by:
+        return scan.withColumn(ORD, F.col(order_by).cast("long"))
     return scan.withColumn(ORD, F.monotonically_increasing_id())
 
 
