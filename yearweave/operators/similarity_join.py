@@ -3,7 +3,13 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yearweave.functions.similarity import FAR_RATIO, NEAR_RATIO, THRESHOLD, label_scores
+from yearweave.functions.similarity import (
+    FAR_RATIO,
+    NEAR_RATIO,
+    THRESHOLD,
+    TOKEN_WEIGHT,
+    label_scores,
+)
 from yearweave.operators.signatures import (
     FINAL_KINDS,
     LONG,
@@ -14,14 +20,15 @@ from yearweave.operators.signatures import (
     refine,
     row_weight,
 )
-from yearweave.session import cut_lineage
+from yearweave.session import cut_lineage, stage
 
-FANOUT = 128
+# Pairs that cost as much to check as one signature row costs to make and move.
+FANOUT = 8
 MAX_LEVELS = 12
 # Rows per side of one cell, when the pairs of a key are dealt out over tasks.
 CELL = 256
-# With a side this small no key can pair a label with more than SMALL others.
-SMALL = 64
+# Nothing but the raw ratio scores above this.
+TOKENS_AT_MOST = 100.0 * TOKEN_WEIGHT
 
 
 def similarity_join(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -31,10 +38,40 @@ def similarity_join(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
     """
     equal, rest = equal_labels(labels, x)
     x = x.where(F.col("label").isNotNull() & (F.col("label") != ""))
-    best = best_partner(candidate_pairs(rest.where(F.col("label") != ""), x, fanout))
+    open_labels = stage(rest.where(F.col("label") != ""))
+    nearest = stage(best_partner(close_pairs(open_labels, x)).where(cannot_be_beaten()))
+    far = open_labels.join(nearest.select("label"), "label", "left_anti")
+    best = nearest.unionByName(best_partner(candidate_pairs(far, x, fanout)))
     return equal.unionByName(rest.join(best, "label", "left").select(*equal.columns))
 
 
+def close_pairs(labels: DataFrame, x: DataFrame) -> DataFrame:
+    """Distinct (label, x_label, x_ord) of all pairs that become equal when at most one character is
+    left out of either. A key is shared only by labels that are one character longer, or it itself."""
+
+    def shortened(df: DataFrame) -> DataFrame:
+        n = F.length("label")
+        without = F.transform(
+            F.sequence(F.lit(1), n),
+            lambda i: F.concat(F.substr("label", F.lit(1), i - 1), F.substr("label", i + 1)),
+        )
+        texts = F.array_distinct(F.concat(F.array("label"), without))
+        return df.select("label", "ord", F.explode(F.transform(texts, lambda t: F.xxhash64(t))).alias("key"))
+
+    l, r = shortened(labels).alias("l"), shortened(x).alias("r")
+    pairs = l.join(r, F.col("l.key") == F.col("r.key")).select(
+        F.col("l.label").alias("label"), F.col("r.label").alias("x_label"), F.col("r.ord").alias("x_ord")
+    )
+    return pairs.distinct()
+
+
+def cannot_be_beaten() -> Column:
+    """The score is above all that a pair with three or more edits, or sorted tokens, can reach."""
+    n = F.length("label")
+    longest = F.floor(n * (RAW + 1) / (RAW - 1))
+    return (F.col("score") > TOKENS_AT_MOST) & (F.col("score") > (1 - F.lit(3) / (n + longest)) * 100)
+
+
 def equal_labels(labels: DataFrame, x: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(label, ord, x_label, score) of the labels that an x label equals, and (label, ord) of the rest."""
     labels = labels.where(F.col("label").isNotNull())
@@ -64,17 +101,14 @@ def tasks(df: DataFrame) -> int:
 def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Distinct (label, x_label, x_ord): every pair that scores 90 or more, and few others.
 
-    A key is over-full when more labels of both sides have it than refining their rows would
-    cost, `fanout` times over. Over-full keys are never joined as they are but replaced by longer
+    A key is over-full when its pairs cost more to check than refining its rows would. Over-full keys are never joined as they are but replaced by longer
     ones, level by level, so candidates stay within a fixed number per signature row. Keys that
     stay busy (one side is long, or nothing is left to key on) are joined cell by cell.
     """
-    n_labels, _ = size_and_length(labels)
-    n_x, longest_x = size_and_length(x)
-    left = first_rows(labels, True, longest_x > LONG)
-    right = first_rows(x, False, longest_x > LONG)
-    if min(n_labels, n_x) <= SMALL:
-        return one_row_per_pair(match(left, right))
+    longest_x = x.agg(F.coalesce(F.max(F.length("label")), F.lit(0)).alias("n")).first()["n"]
+    # read by the key counts, by the join of the quiet keys and by the busy ones
+    left = stage(first_rows(labels, True, longest_x > LONG))
+    right = stage(first_rows(x, False, longest_x > LONG))
     found = None
     for level in range(MAX_LEVELS + 1):
         busy = cut_lineage(busy_keys(left, right, fanout))
@@ -93,11 +127,6 @@ def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
     return one_row_per_pair(found)
 
 
-def size_and_length(df: DataFrame) -> tuple[int, int]:
-    longest = F.coalesce(F.max(F.length("label")), F.lit(0))
-    return tuple(df.agg(F.count("*"), longest).first())
-
-
 def one_row_per_pair(found: DataFrame) -> DataFrame:
     """Distinct pairs. Pairs by containment all score the same, so only the first x stays."""
     pair = F.when(~F.col("contains"), F.col("x_label"))
@@ -116,10 +145,10 @@ BUSY = ["n_l", "n_x", "full"]
 def busy_keys(left: DataFrame, right: DataFrame, fanout: int) -> DataFrame:
     """(key, n_l, n_x, full) of the keys with more pairs than a cell; `full` if longer keys would
     cost less than the pairs."""
-    limit = F.max(row_weight()) * fanout
+    limit = F.max(row_weight()) * fanout  # checks that refining one row may cost
     nl = left.groupBy("key").agg(F.count("*").alias("n_l"), limit.alias("limit"))
     nx = right.groupBy("key").agg(F.count("*").alias("n_x"))
-    full = F.least("n_l", "n_x") > F.col("limit")
+    full = F.col("n_l") * F.col("n_x") > F.col("limit") * (F.col("n_l") + F.col("n_x"))
     keys = nl.join(nx, "key").select("key", "n_l", "n_x", full.alias("full"))
     return keys.where(F.col("full") | (F.col("n_l") * F.col("n_x") > CELL * CELL))
 
