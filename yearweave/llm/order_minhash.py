@@ -248,7 +248,8 @@ def _link(table: pa.Table) -> pa.Table:
 
 def _links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): links that connect each family's texts. Only texts of members are read again."""
-    wanted = members.select(F.col("node").alias("member"))
+    # a sort-merge join at every size: no list of ids is ever sent to all tasks
+    wanted = members.select(F.col("node").alias("member")).hint("merge")
     texts = docs.join(wanted, F.col("doc_id") == F.col("member"), "left_semi").dropDuplicates(["doc_id"])
     grams = texts.mapInArrow(_gram_batches, "node bigint, grams binary")
     rows = grams.join(members, "node").select(
@@ -304,7 +305,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class. Rows without a doc_id stay, since no class can name them."""
     kept = classes(docs).where("kept and doc_id is not null")
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct().hint("merge")
     ours = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
     return ours.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
