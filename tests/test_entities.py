@@ -143,3 +143,15 @@ def test_dead_source_is_a_typed_null(spark):
     ]
     assert rows(out.contract) == [("Congo", None, None, None, "Congo", "exact", 1.0)]
     assert rows(build_matches(x, {"data_y": None}).conflicts) == []
+
+
+def test_close_pairs_are_those_within_one_character_left_out_of_each(spark):
+    rnd = random.Random(6)
+    labels = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(60)})
+    x = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(60)})
+
+    def near(a):
+        return {a, *(a[:i] + a[i + 1 :] for i in range(len(a)))}
+
+    got = {(r.label, r.x_label) for r in join.close_pairs(side(spark, labels), side(spark, x)).collect()}
+    assert got == {(a, b) for a in labels for b in x if near(a) & near(b)}
