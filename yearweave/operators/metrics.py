@@ -6,10 +6,11 @@ from pyspark.sql import Window
 
 from yearweave.session import stage
 
-# Sketch accuracy and band half-width as rank shares; below FEW values the band is everything.
+# Distinct values that one band may leave to be ranked by one task, and the steps in which a wider
+# band is narrowed (well above the sketch's own error).
+MOST = 10_000
+STEPS = 256
 ACCURACY = 10_000
-BAND = 0.002
-FEW = 1000
 
 
 def complete_cases(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -76,54 +77,64 @@ def short_axis_values(metrics: DataFrame, axis: str = "year") -> DataFrame:
     return metrics.where("insufficient").select(axis, "n")
 
 
-def group_quantiles(df: DataFrame, group: str, col: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles per group, linearly interpolated, without gathering a group in one task.
+def group_quantiles(
+    df: DataFrame, group: str, columns: list[str], probs: dict[str, float], most: int = MOST
+) -> DataFrame:
+    """Exact quantiles per group, linearly interpolated: (group, <column>_<prob name>, ...).
 
-    A bounded sketch first gives, per group and quantile, a narrow band of values that must hold
-    it. One aggregate counts the rows below the band and the distinct values inside; only those
-    few are ranked.
+    All columns and quantiles share each pass. A quantile's band starts as the whole range and is
+    narrowed by a sketch of the values inside, to about a hundredth per round, until every band has
+    at most `most` distinct values; only these are ranked. So no task ever holds more, whatever the
+    size of a group, and small groups need no round at all.
     """
-    values = df.select(group, F.col(col).alias("_v")).where(F.col("_v").isNotNull())
-    names = list(probs)
-    edges = [edge for p in probs.values() for edge in (max(p - BAND, 0.0), min(p + BAND, 1.0))]
-    bands = values.groupBy(group).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, ACCURACY).alias("_edges"),
-    )
-    few = F.col("_n") < FEW
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("q"),
-                (F.lit(p) * (F.col("_n") - 1)).alias("at"),
-                F.when(few, F.col("_min")).otherwise(F.col("_edges")[2 * i]).alias("low"),
-                F.when(few, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]).alias("high"),
-            )
-            for i, (name, p) in enumerate(probs.items())
-        ]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("s"), F.col(c).alias("v")) for c in columns]))
+    values = df.select(F.col(group).alias("g"), each.alias("e")).select("g", "e.s", "e.v")
+    values = stage(values.where(F.col("v").isNotNull()))
+    items = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(float(p)).alias("p")) for q, p in probs.items()])
+    bands = values.groupBy("g", "s").agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
     )
-    wanted = bands.select(group, items.alias("_items"))
-    joined = values.join(wanted, group)
-    each = joined.select(group, "_v", F.explode("_items").alias("_q"))
-    below = F.col("_v") < F.col("_q.low")
-    inside = each.where(F.col("_v") <= F.col("_q.high")).select(
-        group,
-        F.col("_q.q").alias("q"),
-        F.col("_q.at").alias("at"),
-        F.when(~below, F.col("_v")).alias("v"),
+    at = F.col("i.p") * (F.col("n") - 1)
+    bands = bands.withColumn("i", F.explode(items)).select("g", "s", "i.q", at.alias("at"), "low", "high")
+    grid = [k / STEPS for k in range(STEPS + 1)]
+    below, inside = F.col("v") < F.col("low"), F.col("v").between(F.col("low"), F.col("high"))
+    while True:
+        bands = stage(bands)
+        met = values.join(bands, ["g", "s"])
+        wide = met.where(inside).groupBy("g", "s", "q").agg(F.approx_count_distinct("v", 0.02).alias("d"))
+        if not wide.where(F.col("d") > 0.9 * most).take(1):
+            break
+        per_band = met.groupBy("g", "s", "q", "at", "low", "high").agg(
+            F.count_if(below).alias("below"),
+            F.count_if(inside).alias("n"),
+            F.percentile_approx(F.when(inside, F.col("v")), grid, ACCURACY).alias("edges"),
+        )
+        step = (F.col("at") - F.col("below")) / F.col("n") * STEPS
+        first = F.greatest(F.floor(step) - 2, F.lit(0)).cast("int")
+        last = F.least(F.ceil(step + STEPS / F.col("n")) + 2, F.lit(STEPS)).cast("int")
+        bands = per_band.select(
+            "g", "s", "q", "at", F.get("edges", first).alias("low"), F.get("edges", last).alias("high")
+        )
+        # a band of one value, or one that no longer shrinks, is as narrow as it can be
+        shrunk = per_band.join(bands.withColumnsRenamed({"low": "l", "high": "h"}), ["g", "s", "q", "at"])
+        if not shrunk.where((F.col("l") > F.col("low")) | (F.col("h") < F.col("high"))).take(1):
+            break
+    counted = (
+        met.where(F.col("v") <= F.col("high"))
+        .select("g", "s", "q", "at", F.when(~below, F.col("v")).alias("v"))
+        .groupBy("g", "s", "q", "at", "v")
+        .agg(F.count("*").alias("c"))
     )
-    counted = inside.groupBy(group, "q", "at", "v").agg(F.count("*").alias("c"))
-    order = Window.partitionBy(group, "q").orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("c").over(order))
-    first, last = F.floor("at"), F.ceil("at")
-    ranked = ranked.where(F.col("v").isNotNull())
-    low = F.min(F.when(F.col("upto") > first, F.col("v")))
-    high = F.min(F.when(F.col("upto") > last, F.col("v")))
+    order = Window.partitionBy("g", "s", "q").orderBy(F.col("v").asc_nulls_first())
+    ranked = counted.withColumn("upto", F.sum("c").over(order)).where(F.col("v").isNotNull())
+    low = F.min(F.when(F.col("upto") > F.floor("at"), F.col("v")))
+    high = F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v")))
     value = low + (high - low) * (F.max("at") - F.floor(F.max("at")))
-    per_q = ranked.groupBy(group, "q").agg(value.alias("value"))
-    return per_q.groupBy(group).pivot("q", names).agg(F.first("value"))
+    found = ranked.groupBy("g", "s", "q").agg(value.alias("value"))
+    name = F.concat_ws("_", "s", "q")
+    names = [f"{c}_{q}" for c in columns for q in probs]
+    out = found.withColumn("name", name).groupBy("g").pivot("name", names)
+    return out.agg(F.first("value")).withColumnRenamed("g", group)
 
 
 def year_dispersion(
@@ -132,16 +143,14 @@ def year_dispersion(
     """Spread of x, log x and y per axis value over the complete cases: standard deviation and
     interquartile range."""
     columns = {"x": x, "x_log": f"{x}_log", "y": y}
-    # seven aggregates read the cases, so the canonical table is made once and written
     cases = stage(complete_cases(core, x, y).select(axis, *columns.values()))
     out = cases.groupBy(axis).agg(
         F.count("*").alias("n"),
         *[F.stddev_samp(c).alias(f"sd_{s}") for s, c in columns.items()],
     )
-    for s, c in columns.items():
-        quartiles = group_quantiles(cases, axis, c, {"q1": 0.25, "q3": 0.75})
-        iqr = (F.col("q3") - F.col("q1")).alias(f"iqr_{s}")
-        out = out.join(quartiles.select(axis, iqr), axis, "left")
+    quartiles = group_quantiles(cases, axis, list(columns.values()), {"q1": 0.25, "q3": 0.75})
+    spread = [(F.col(f"{c}_q3") - F.col(f"{c}_q1")).alias(f"iqr_{s}") for s, c in columns.items()]
+    out = out.join(quartiles.select(axis, *spread), axis, "left")
     enough = F.col("n") >= min_points
     names = [f"{kind}_{s}" for s in columns for kind in ("sd", "iqr")]
     return out.select(axis, "n", *[guarded(F.col(c), enough).alias(c) for c in names])
