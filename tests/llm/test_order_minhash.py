@@ -36,8 +36,7 @@ def test_alignment():
         one, two = np.array(a, np.uint32), np.array(b, np.uint32)
         assert O.aligned(one, two, len(a) + len(b)) == common(a, b)
         if b:
-            m, total = common(a, b), len(a) + len(b)
-            assert O.similar(one, two) == (m >= 0.8 * (total - m))
+            assert O.similar(one, two) == (10 * common(a, b) >= 8 * max(len(a), len(b)))
 
 
 def test_occurrences_are_told_apart():
@@ -47,13 +46,20 @@ def test_occurrences_are_told_apart():
     assert (O.labelled(np.array([5, 5, 5], np.uint64)) == out[[0, 2, 3]]).all()
 
 
-def shingles(text):
-    return O.shingles(Words([(text or "").encode()], FOLDED).hashes())
+def words_of(text):
+    return Words([(text or "").encode()], FOLDED).hashes().astype(np.uint32)
 
 
-def all_pairs(rows):
+def ordered_jaccard(a, b):
+    """Whether the five-word shingles that stand in the same order are 0.8 of all shingles."""
+    one, two = (O.shingles(x.astype(np.uint64)).astype(np.uint32) for x in (a, b))
+    m = O.aligned(one, two, len(one) + len(two))
+    return m >= 0.8 * (len(one) + len(two) - m)
+
+
+def all_pairs(rows, linked=O.similar):
     """Classes from every pair of texts: smallest doc_id of each, None for texts without a word."""
-    grams = [shingles(t).astype(np.uint32) for _, t in rows]
+    words = [words_of(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -61,19 +67,36 @@ def all_pairs(rows):
             x = parent[x]
         return x
 
-    bags = [Counter(g.tolist()) for g in grams]
+    bags = [Counter(w.tolist()) for w in words]
     for i in range(len(rows)):
         for j in range(i):
-            least = 0.8 * max(len(grams[i]), len(grams[j]))
-            if not len(grams[i]) or not len(grams[j]) or (bags[i] & bags[j]).total() < least * 0.99:
+            least = 0.8 * max(len(words[i]), len(words[j]))
+            if not len(words[i]) or not len(words[j]) or (bags[i] & bags[j]).total() < least * 0.99:
                 continue
-            if O.similar(grams[i], grams[j]):
+            if find(i) != find(j) and linked(words[i], words[j]):
                 parent[find(i)] = find(j)
     smallest = {}
     for i, (doc, _) in enumerate(rows):
-        if doc is not None and len(grams[i]):
+        if doc is not None and len(words[i]):
             smallest[find(i)] = min(doc, smallest.get(find(i), doc))
-    return [smallest.get(find(i)) if len(grams[i]) else doc for i, (doc, _) in enumerate(rows)]
+    return [smallest.get(find(i)) if len(words[i]) else doc for i, (doc, _) in enumerate(rows)]
+
+
+def together(rows, classes):
+    """Pairs (first of class, member) that a partition holds together."""
+    first = {}
+    return {(first.setdefault(c, i), i) for (i, _), c in zip(rows, classes, strict=True) if c is not None}
+
+
+def holds_between(rows, got):
+    """Every pair with shingle similarity 0.8 or more is together, and only linked texts are."""
+    got = [got[i] for i, _ in rows]
+    of = {i: c for (i, _), c in zip(rows, got, strict=True)}
+    strict, loose = all_pairs(rows, ordered_jaccard), all_pairs(rows)
+    assert all(of[a] == of[b] for a, b in together(rows, strict))
+    wide = {i: c for (i, _), c in zip(rows, loose, strict=True)}
+    assert all(wide[a] == wide[b] for a, b in together(rows, got))
+    return len(set(strict)), len(set(got)), len(set(loose))
 
 
 def family(rnd, words, copies, share):
@@ -101,15 +124,17 @@ def copies():
 
 
 @pytest.mark.parametrize("rows", [4096, 7])
-def test_classes_are_those_of_all_pairs(spark, copies, monkeypatch, rows):
+def test_classes_lie_between_those_of_all_pairs(spark, copies, monkeypatch, rows):
     monkeypatch.setattr(O, "TILE_ROWS", rows)
     df = spark.createDataFrame(copies, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in O.classes(df).collect()}
-    assert got == dict(zip([i for i, _ in copies], all_pairs(copies), strict=True))
+    strict, found, loose = holds_between(copies, got)
+    # of the links between the two measures, nearly all are found but for the shortest texts
+    assert found - loose <= 4 < strict - loose
 
 
 def test_the_forest_connects_what_links_do(copies):
-    grams = [shingles(t).astype(np.uint32) for _, t in copies[:60]]
+    grams = [words_of(t) for _, t in copies[:60]]
     links = {(i, j) for i in range(60) for j in range(i + 1, 60) if O.similar(grams[i], grams[j])}
     found = set(O.forest(grams))
     assert found <= links and len(found) < 60
@@ -141,7 +166,6 @@ def test_a_null_id_joins_a_class_but_does_not_name_it(spark):
 def test_the_registered_query(spark, sf_dir):
     got = O.op10_order_minhash(spark, sf_dir)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    assert {r.doc_id: r.class_id for r in got.collect()} == dict(
-        zip([i for i, _ in docs], all_pairs(docs), strict=True)
-    )
+    strict, found, loose = holds_between(docs, {r.doc_id: r.class_id for r in got.collect()})
+    assert found - loose <= 0.1 * (strict - loose)
     assert got.where(F.col("kept") != (F.col("doc_id") == F.col("class_id"))).count() == 0
