@@ -1,9 +1,8 @@
 import random
 
-import numpy as np
 import pytest
 
-from yearweave.functions.similarity import label_score, one_word_ratios, ratio
+from yearweave.functions.similarity import label_score, ratio, ratios, score_pairs
 from yearweave.operators.contract import build_matches, contract_columns, matched_rows, unmatched_rows
 from yearweave.operators import similarity_join as join
 from yearweave.operators.similarity_join import similarity_join
@@ -35,7 +34,7 @@ def test_many_ratios_equal_single_ones():
     rnd = random.Random(5)
     texts = ["".join(rnd.choice("abé😀") for _ in range(rnd.randint(1, 63))) for _ in range(400)]
     a, b = texts[:200], texts[200:]
-    got = one_word_ratios(np.array(a), np.array(b))
+    got = ratios(a, b)
     assert got.tolist() == [ratio(x, y) for x, y in zip(a, b)]
 
 
@@ -155,3 +154,20 @@ def test_close_pairs_are_those_within_one_character_left_out_of_each(spark):
 
     got = {(r.label, r.x_label) for r in join.close_pairs(side(spark, labels), side(spark, x)).collect()}
     assert got == {(a, b) for a in labels for b in x if near(a) & near(b)}
+
+
+def test_batch_scores_are_those_of_single_pairs():
+    rnd = random.Random(8)
+    parts = ["rep", "of", "the", "congo", "korea", "south", "a", "ab", "é", "x" * 40, "\x00", "1"]
+
+    def label():
+        return rnd.choice([" ", "  ", "\t"]).join(rnd.choice(parts) for _ in range(rnd.randint(0, 5)))
+
+    pairs = [(label(), label()) for _ in range(3000)]
+    for text, _ in pairs[:500]:
+        words = text.split()
+        rnd.shuffle(words)
+        pairs += [(text, " ".join(words)), (text, text + rnd.choice(["", "s", " x"])), (text, text[1:])]
+    got = score_pairs([x for x, _ in pairs], [y for _, y in pairs])
+    assert got.tolist() == [label_score(x, y) for x, y in pairs]
+    assert sum(got > 0) > 500 and len(score_pairs([], [])) == 0

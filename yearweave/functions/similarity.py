@@ -89,34 +89,87 @@ def label_score(a: str, b: str) -> float:
     return 0.0
 
 
-def one_word_ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """`ratio` of many pairs of short texts at once: the rows of `common_length` side by side."""
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """`common_length` of many pairs at once. The batch form works on 64-bit words, so texts of 64 or
+    more characters (and texts with NUL, which arrays of text cut) go one by one; same result."""
+    out = np.zeros(len(a), np.int64)
+    whole = [max(len(x), len(y)) < 64 and "\x00" not in x and "\x00" not in y for x, y in zip(a, b)]
+    batch = np.flatnonzero(whole)
+    if len(batch):
+        out[batch] = _short_common_lengths(np.array([a[i] for i in batch]), np.array([b[i] for i in batch]))
+    for i in np.flatnonzero(~np.array(whole, bool)):
+        out[i] = common_length(a[i], b[i])
+    return out
+
+
+def _short_common_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rows of `common_length` side by side."""
     n, m = np.char.str_len(a), np.char.str_len(b)
-    wide = int(n.max())
+    wide = max(int(n.max()), 1)
     left = a.astype(f"U{wide}").view(np.uint32).reshape(len(a), wide)
-    right = b.astype(f"U{int(m.max())}").view(np.uint32).reshape(len(b), -1)
+    right = b.astype(f"U{max(int(m.max()), 1)}").view(np.uint32).reshape(len(b), -1)
     bits = np.left_shift(np.uint64(1), np.arange(wide, dtype=np.uint64))
     full = np.left_shift(np.uint64(1), n.astype(np.uint64)) - np.uint64(1)
     row = full.copy()
     for ch in right.T:
         hit = ((left == ch[:, None]) * bits).sum(axis=1, dtype=np.uint64) & row
         row = np.where(ch == 0, row, (row + hit | row - hit) & full)
-    common = n - np.bitwise_count(row)
-    total = n + m
-    return (1.0 - (total - 2 * common) / total) * 100.0
+    return n - np.bitwise_count(row)
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """`ratio` of many pairs."""
+    total = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
+    some = np.maximum(total, 1)
+    return np.where(total > 0, (1.0 - (some - 2 * common_lengths(a, b)) / some) * 100.0, 0.0)
+
+
+def token_scores(a: list[str], b: list[str]) -> np.ndarray:
+    """`token_score` of many pairs: three alignments per pair, all of them in batches."""
+    ta, tb = [sorted(x.split()) for x in a], [sorted(x.split()) for x in b]
+    best = ratios([" ".join(t) for t in ta], [" ".join(t) for t in tb])
+    sets = [(set(x), set(y)) for x, y in zip(ta, tb)]
+    both = [" ".join(sorted(x & y)) for x, y in sets]
+    only_a = [" ".join(sorted(x - y)) for x, y in sets]
+    only_b = [" ".join(sorted(y - x)) for x, y in sets]
+    common = common_lengths(only_a, only_b)
+    for i, (x, y) in enumerate(sets):
+        if not x or not y:
+            continue
+        if both[i] and (x <= y or y <= x):
+            best[i] = 100.0
+            continue
+        gap, k = (1 if both[i] else 0), len(both[i])
+        n, m = k + gap + len(only_a[i]), k + gap + len(only_b[i])
+        found = [share(len(only_a[i]) + len(only_b[i]) - 2 * int(common[i]), n + m)]
+        if both[i]:
+            found += [share(z - k, z + k) for z in (n, m)]
+        best[i] = max(best[i], *found)
+    return best
 
 
 @F.pandas_udf(T.DoubleType())
 def label_scores(a: pd.Series, b: pd.Series) -> pd.Series:
-    n, m = a.str.len(), b.str.len()
-    low, high = np.minimum(n, m), np.maximum(n, m)
-    blank = a.str.contains(r"[\s\x00]") | b.str.contains(r"[\s\x00]")
-    # Without white space the tokens are the text itself and add nothing to its ratio.
-    short = (~blank & (a != b) & (low > 0) & (high < 64) & (high < NEAR_RATIO * low)).to_numpy(bool)
+    return pd.Series(score_pairs(a.tolist(), b.tolist()))
+
+
+def score_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """`label_score` of many pairs, aligned in batches."""
     out = np.zeros(len(a))
-    if short.any():
-        scores = one_word_ratios(a[short].to_numpy(str), b[short].to_numpy(str))
-        out[short] = np.where(scores >= THRESHOLD, scores, 0.0)
-    rest = ~short
-    out[rest] = [label_score(x, y) for x, y in zip(a[rest], b[rest])]
-    return pd.Series(out)
+    near = []
+    for i, (x, y) in enumerate(zip(a, b)):
+        low, high = sorted((len(x), len(y)))
+        if low and x != y and high < NEAR_RATIO * low:
+            near.append(i)
+        else:
+            out[i] = label_score(x, y)  # equal, empty or a matter of containment
+    if near:
+        left, right = [a[i] for i in near], [b[i] for i in near]
+        scores = ratios(left, right)
+        several = [x.split() != [x] or y.split() != [y] for x, y in zip(left, right)]
+        tokens = np.flatnonzero((scores < TOKEN_WEIGHT * 100.0) & np.array(several))
+        if len(tokens):
+            found = token_scores([left[i] for i in tokens], [right[i] for i in tokens])
+            scores[tokens] = np.maximum(scores[tokens], TOKEN_WEIGHT * found)
+        out[near] = np.where(scores >= THRESHOLD, scores, 0.0)
+    return out
