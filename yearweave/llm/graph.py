@@ -11,14 +11,29 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+#: Partitions that a node's links are dealt to, by their other end.
+SALTS = 8
+
+
+def _with_minimum(links: DataFrame, salts: int) -> DataFrame:
+    """(u, v, m): each link with the smallest v of its u."""
+    low = links.groupBy("u").agg(F.min("v").alias("m"))
+    if salts == 1:
+        return links.join(low, "u")
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    return dealt.join(low, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): every linked node with the smallest node that links reach.
 
     Nodes without a link are not listed; links with a null end or to themselves are ignored.
     Each round hangs every node's larger neighbours, then its smaller ones, onto its smallest
-    neighbour; rounds grow with the logarithm of the longest path. A node's links are only ever
-    joined and aggregated (partial minimum first), so a hub never meets in one list. Each round is
-    written to the shared folder, so a lost executor costs one round at most.
+    neighbour; rounds grow with the logarithm of the longest path. Minima are aggregated partially
+    before they are shuffled, and a node's links meet its minimum in SALTS separate partitions, which
+    Spark can split further, so a hub is never gathered in one task. Each round is written to the
+    shared folder, so a lost executor costs one round at most.
     """
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     now = stage(
@@ -29,13 +44,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = _fingerprint(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u"))
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(
+        large = _with_minimum(both, SALTS).where(F.col("v") > F.col("u"))
+        large = large.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        # a hub is the smallest of its links by now, so it is a v here and no u has many links
+        small = _with_minimum(large, 1).select(
             F.explode(
                 F.array(
                     F.struct(F.col("u").alias("u"), F.col("m").alias("v")),

@@ -14,8 +14,9 @@ sketch are in one family (connected components over "node - smallest node of its
 bucket is gathered and no pair is listed). Families are then compared in tiles of bounded rows and
 words: a large family is cut into parts, each pair of parts is one tile, small families share one.
 In a tile a matrix product of hashed word counts bounds what any pair can have in common from above; only pairs that can reach the threshold and are not yet connected in the tile are aligned. A
-tile returns a spanning forest of its links, so a group of copies costs its size in rows, not its
-square, and no link between two colliding texts is lost.
+tile returns the classes of its families, or, for parts of a large family, a spanning forest of its
+links, so a group of copies costs its size in rows, not its square, and no link between two colliding
+texts is lost.
 
 A pair is missed if all SKETCHES differ. A sketch is equal with a chance of about J^3, J the Jaccard
 similarity of the labelled shingles. At J = 0.8 no pair in a billion is missed. Scattered edits break
@@ -226,13 +227,31 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> lis
     return out
 
 
+def _roots(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(row, smallest row it is connected to) of all linked rows."""
+    parent = {x: x for link in links for x in link}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        x, y = sorted((find(x), find(y)))
+        parent[y] = x
+    return [(x, find(x)) for x in parent]
+
+
 def _link(table: pa.Table) -> pa.Table:
-    """The links of a tile: of each family in it, or between two parts of one."""
+    """(a, b, whole): of each family that is in one tile the members and their classes, of two parts
+    of one the links."""
     table = table.sort_by([("family", "ascending"), ("node", "ascending")])
     family = table["family"].to_numpy()
     node = table["node"].to_numpy()
     second = table["second"].to_numpy().astype(bool)
     words = [np.frombuffer(x.as_py(), np.uint32) for x in table["words"]]
+    whole = not table["alone"][0].is_valid
     found: list[tuple[int, int]] = []
     edges = np.flatnonzero(np.diff(family)) + 1
     for lo, hi in zip([0, *edges], [*edges, len(family)], strict=True):
@@ -240,14 +259,15 @@ def _link(table: pa.Table) -> pa.Table:
         one, two = rows[~second[lo:hi]], rows[second[lo:hi]]
         links = forest([words[i] for i in one], [words[i] for i in two] if len(two) else None)
         two = two if len(two) else one
-        found += [(int(node[one[x]]), int(node[two[y]])) for x, y in links]
-    return pa.table(
-        {"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())}
-    )
+        # rows are in the order of their nodes, so the smallest row is the smallest node
+        links = [(int(one[x]), int(two[y])) for x, y in links]
+        found += [(int(node[x]), int(node[y])) for x, y in (_roots(links) if whole else links)]
+    columns = [pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)]
+    return pa.table({"a": columns[0], "b": columns[1], "whole": pa.array([whole] * len(found), pa.bool_())})
 
 
-def _links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): links that connect each family's texts. Only texts of members are read again."""
+def _found(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of all linked nodes. Only texts of members are read again."""
     # a sort-merge join at every size: no list of ids is ever sent to all tasks
     wanted = members.select(F.col("node").alias("member")).hint("merge")
     texts = docs.join(wanted, F.col("doc_id") == F.col("member"), "left_semi").dropDuplicates(["doc_id"])
@@ -275,7 +295,10 @@ def _links(members: DataFrame, docs: DataFrame) -> DataFrame:
         "node",
         "words",
     )
-    return stage(tiles.groupBy("alone", "shard", "i", "j").applyInArrow(_link, "a bigint, b bigint"))
+    links = tiles.groupBy("alone", "shard", "i", "j").applyInArrow(_link, "a bigint, b bigint, whole boolean")
+    links = stage(links)
+    classes_of = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return classes_of.unionByName(components(links.where("not whole"), "a", "b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -292,7 +315,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = places.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size"))
     met = places.join(shared.where("size > 1"), "key")
     members = components(met, "node", "low")
-    found = components(_links(members, docs), "a", "b")
+    found = _found(members, docs)
     owner = nodes.join(found, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("class_id")
     )
