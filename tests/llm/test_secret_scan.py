@@ -102,3 +102,30 @@ def test_no_rows(no_docs):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = S.op2_secret_scan(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize(
+    ("before", "value", "after"),
+    [
+        ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8vLmT2Ws", ""),
+        ("db_credential=", "Zk93TqLm2RxVb7YcNw4HsPd8", ""),
+        ("https://x.org/a?sig=", "Zk93TqLm2RxVb7YcNw4HsPd8", "&v=1"),
+        ("/srv/app_x/", "Zk93TqLm2RxVb7YcNw4HsPd8", " end"),
+        ("key==", "Zk93TqLm2RxVb7YcNw4HsPd8q/+1==", "."),
+        ("files/of/the/department/", "Zk93TqLm2RxVb7YcNw4HsPd8", "-in-the-old-archive"),
+    ],
+)
+def test_glued_values_are_found(spark, before, value, after):
+    df = spark.createDataFrame([(1, f"{before}{value}{after}")], "doc_id long, text string")
+    ((_, found, random_spans),) = spans_of(df)
+    assert found == []
+    a, b = len(before), len(before) + len(value)
+    assert any(start <= a and b <= end for start, end in random_spans)
+    assert value not in S.redact(df).first().text
+
+
+def test_spans_inside_others_go(spark):
+    rows = [([(5, 9), (0, 10), (8, 20), (30, 40), (0, 4)],), ([],)]
+    df = spark.createDataFrame(rows, "a array<struct<start: bigint, end: bigint>>")
+    got = [[tuple(s) for s in r.b] for r in df.select(S._outermost(F.col("a")).alias("b")).collect()]
+    assert got == [[(0, 10), (8, 20), (30, 40)], []]

@@ -4,8 +4,10 @@ Base kinds are patterns: `assign` (a named value), `access` (an access key id) a
 of hexadecimal digits); each finds its leftmost, non-overlapping matches.
 
 The kind `random` comes from a battery of randomness tests on every run of MIN_RUN or more key
-characters. Its encoding is inferred from the characters used (hexadecimal, base32, base36, base62,
-base64, ...). Under the hypothesis "drawn evenly from the encoding's alphabet" three two-sided tests
+characters: the maximal runs of letters and digits, of these with `+/`, and of these with `-_`, so a
+value is tested by itself whatever name, key or path it is glued to. `=` belongs to a run only as
+padding at its end. A run's encoding is inferred from the characters used (hexadecimal, base32, base36,
+base62, base64, ...). Under the hypothesis "drawn evenly from the encoding's alphabet" three two-sided tests
 are made: chi-squared evenness of the alphabet, runs above and below its middle, and serial
 correlation of neighbours; the smallest of the three p-values, times three, is the run's p.
 
@@ -16,7 +18,8 @@ text of that length would fall below t with a chance of 99 %. p-values are count
 power of ten, so the control needs a small aggregate, not a sort of all runs. Decimal numbers and
 runs of one case of letters that are too short for that never qualify.
 
-Spans are [start, end) in code points. `random` spans that touch a base span are left out. Null texts
+Spans are [start, end) in code points. `random` spans that touch a base span are left out, and so are
+those inside a longer `random` span; runs of different alphabets may overlap in part. Null texts
 count as empty. Rows are judged alone but for the thresholds, so repeated rows and null ids change
 nothing else; tables without runs have no thresholds and no `random` spans. Columns of any name are
 carried along.
@@ -38,7 +41,9 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_RUN = 20
-RUN = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+#: Up to six `=` that no key character follows.
+_PADDING = r"(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+RUNS = tuple(rf"[A-Za-z0-9{more}]{{{MIN_RUN},}}{_PADDING}" for more in ("", "+/", "_-"))
 RATE = 0.01
 STEPS = 20
 #: A normal variable exceeds this with a chance of 1 %.
@@ -252,6 +257,20 @@ def _thresholds(tested: DataFrame, rate: float) -> dict[int, float]:
     return out
 
 
+def _outermost(spans: Column) -> Column:
+    """array<struct<start, end>>, sorted: the spans that no other one holds."""
+    ordered = F.array_sort(F.transform(spans, lambda r: F.struct(r["start"], (-r["end"]).alias("back"))))
+    ordered = F.transform(ordered, lambda r: F.struct(r["start"], (-r["back"]).alias("end")))
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    start = F.struct(F.lit(-1).cast("long").alias("at"), none.alias("kept"))
+
+    def step(acc: Column, r: Column) -> Column:
+        kept = F.when(r["end"] > acc["at"], F.concat(acc["kept"], F.array(r))).otherwise(acc["kept"])
+        return F.struct(F.greatest(acc["at"], r["end"]).alias("at"), kept.alias("kept"))
+
+    return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
+
+
 def scan(docs: DataFrame, keep: list[str], rate: float = RATE) -> DataFrame:
     """(row, base, random): a struct of the columns to keep, and the spans found in column text.
 
@@ -262,7 +281,10 @@ def scan(docs: DataFrame, keep: list[str], rate: float = RATE) -> DataFrame:
     df = _places(df, "assign", ASSIGN, 2)
     df = _places(df, "access", ACCESS)
     df = _places(df, "hex", HEX)
-    df = _places(df, "runs", RUN)
+    for i, pattern in enumerate(RUNS):
+        df = _places(df, f"runs_{i}", pattern)
+    # a run that is maximal in several alphabets is one run
+    runs = F.array_distinct(F.concat(*[F.col(f"runs_{i}") for i in range(len(RUNS))]))
 
     def tagged(name: str) -> Column:
         spans = F.col(name)
@@ -272,7 +294,7 @@ def scan(docs: DataFrame, keep: list[str], rate: float = RATE) -> DataFrame:
         return F.transform(spans, lambda s: F.struct(s["start"], number.alias("kind_no"), s["end"]))
 
     base = F.array_sort(F.concat(*[tagged(name) for name in KINDS[:3]]))
-    df = stage(df.select("row", base.alias("base"), _battery(F.col("runs")).alias("tested")))
+    df = stage(df.select("row", base.alias("base"), _battery(runs).alias("tested")))
     limits = _thresholds(df, rate)
 
     def limit(r: Column) -> Column:
@@ -286,6 +308,7 @@ def scan(docs: DataFrame, keep: list[str], rate: float = RATE) -> DataFrame:
 
     chosen = F.filter("tested", lambda r: (r["p"] > limit(r)) & (r["text_p"] <= limit(r)) & free(r))
     number = F.lit(KINDS.index("random"))
+    chosen = _outermost(chosen)
     chosen = F.transform(chosen, lambda r: F.struct(r["start"], number.alias("kind_no"), r["end"]))
     return df.select("row", "base", chosen.alias("random"))
 
