@@ -96,3 +96,23 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     rows = P.sequences(odd_docs).collect()
     holds(rows, [r[:2] for r in odd_rows])
     assert P.sequences(no_docs).collect() == []
+
+
+def test_the_ids_rebuild_documents_and_sequences(spark, odd_docs, odd_rows):
+    rows = P.sequences(odd_docs, shard=5).collect()
+    for doc, text, *_ in odd_rows:
+        ids = P.token_ids(text).tolist()
+        for k, (at, n) in enumerate(P.cuts(len(ids))):
+            same = [r for r in rows if (r.doc_id, r.piece, r.start, r.length) == (doc, k, at, n)]
+            assert any(r.ids == ids[at : at + n] for r in same)
+    filled = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == len(filled[r.sequence_id])
+        filled[r.sequence_id] += r.ids
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    assert all(len(ids) <= P.LENGTH for ids in filled.values())
+
+
+def test_the_query_keeps_its_columns(spark, sf_dir):
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert P.op5_best_fit_packing(spark, sf_dir).columns == columns

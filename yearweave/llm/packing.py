@@ -8,7 +8,8 @@ two for one, whenever the sum of squared fills grows, until small bins run empty
 Pieces are dealt to shards of about SHARD pieces, each packed on its own. What lies in underfull bins
 is then dealt anew to fewer shards and packed again, round after round, until one shard holds it or a
 round saves nothing. So no task ever holds more than a shard, whatever the corpus, and what shards
-lose at their edges is won back. Tokens never move: rows are (document, piece, length, checksum).
+lose at their edges is won back. Packing moves only (key, length): the ids are written once when
+tokenising, and what is packed gets them back by a join on the unique key of its piece.
 
 Ids: byte-level BPE of a public vocabulary. `tokenizers` is the reference for the ids; the same
 vocabulary in `tiktoken` gives the same ids at four times the speed and is what runs. The text of the
@@ -36,7 +37,13 @@ SHARD = 20_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _END_OF_TEXT = "<|endoftext|>"
 _SPECIAL_ID = 50256
-_PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+_PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids array<int>"
+_SEQUENCES = (
+    "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
+    "sequence_id bigint, offset bigint, ids array<int>"
+)
+#: Ids in a batch of pieces, so that no batch outgrows memory.
+_BATCH = 1 << 21
 
 
 @functools.cache
@@ -71,22 +78,44 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(0, first), *((at, length) for at in range(first, n, length))]
 
 
+def _rows(rows: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+    ends = np.cumsum([0, *(len(x) for x in ids)]).astype(np.int32)
+    columns.append(pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32)))
+    return pa.RecordBatch.from_arrays(columns, names=("doc_id", "piece", "start", "length", "ids"))
+
+
 def _tokenise(vocabulary: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, parts, held = [], [], 0
             for doc, text in zip(batch[0].to_pylist(), batch[1], strict=True):
                 ids = token_ids(text.as_py(), vocabulary)
                 for k, (at, n) in enumerate(cuts(len(ids), length)):
-                    rows.append((doc, k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32")
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    rows.append((doc, k, at, n))
+                    parts.append(ids[at : at + n])
+                    held += n
+                    if held >= _BATCH:
+                        yield _rows(rows, parts)
+                        rows, parts, held = [], [], 0
+            if rows:
+                yield _rows(rows, parts)
 
     return run
 
 
+def _with_checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ids_crc32, from the ids themselves as unsigned 32-bit numbers, low byte first."""
+    names = [part.split()[0] for part in _SEQUENCES.split(", ")]
+    for batch in batches:
+        ids = batch["ids"]
+        values, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
+        sums = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        columns = [pa.array(sums, pa.int64()) if n == "ids_crc32" else batch[n] for n in names]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 class Bins:
     """Bins of one shard: items by number, sizes, and the underfull bins ordered by fill."""
 
@@ -222,7 +251,7 @@ def _pack_shard(length: int):
     return run
 
 
-_PACKED = f"{_PIECES}, shard bigint, bin bigint, offset bigint, full boolean"
+_PACKED = "key bigint, length bigint, shard bigint, bin bigint, offset bigint, full boolean"
 
 
 def _deal(pieces: DataFrame, count: int, shard: int) -> tuple[DataFrame, int]:
@@ -235,17 +264,20 @@ def _deal(pieces: DataFrame, count: int, shard: int) -> tuple[DataFrame, int]:
 def sequences(
     docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, shard: int = SHARD
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids), a row per piece.
 
-    `docs` needs doc_id and text. sequence_id is unique per sequence, offsets are gapless from 0.
+    `docs` needs doc_id and text. sequence_id is unique per sequence, offsets are gapless from 0, so a
+    sequence is the ids of its rows in the order of their offsets. ids_crc32 is a checksum of the ids.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = stage(docs.mapInArrow(_tokenise(vocabulary, length), _PIECES))
+    pieces = docs.mapInArrow(_tokenise(vocabulary, length), _PIECES)
+    # the key is written with the row, so it stays the piece's own whoever reads it
+    pieces = stage(pieces.withColumn("key", F.monotonically_increasing_id()))
     whole = pieces.where(F.col("length") == length)
     whole = whole.withColumn("round", F.lit(0)).withColumn("shard", F.lit(0).cast("long"))
     whole = whole.withColumn("bin", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    done = [whole]
-    rest = pieces.where(F.col("length") < length)
+    done = None
+    rest = pieces.where(F.col("length") < length).select("key", "length")
     count, bins, k = rest.count(), None, 0
     while True:
         k += 1
@@ -257,27 +289,27 @@ def sequences(
         ).first()
         # over when one shard held all, or when dealing anew saved too little to go on
         last = shards == 1 or (bins is not None and after["bins"] > 0.999 * bins)
-        done.append((packed if last else packed.where("full")).drop("full").withColumn("round", F.lit(k)))
+        part = (packed if last else packed.where("full")).drop("full", "length")
+        part = part.withColumn("round", F.lit(k))
+        done = part if done is None else done.unionByName(part)
         if last:
             break
-        rest, count, bins = left.select("doc_id", "piece", "start", "length", "ids_crc32"), after["rows"], after["bins"]
-    out = None
-    for part in done:
-        part = part.select(
-            "doc_id",
-            "piece",
-            "start",
-            "length",
-            "ids_crc32",
-            # round, shard and bin name a sequence: bins of a shard are fewer than 2^20
-            (F.col("round").cast("long") * F.lit(1 << 57) + F.col("shard") * F.lit(1 << 20) + F.col("bin")).alias(
-                "sequence_id"
-            ),
-            "offset",
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+        rest, count, bins = left.select("key", "length"), after["rows"], after["bins"]
+    out = whole.unionByName(pieces.where(F.col("length") < length).join(done, "key"))
+    out = out.select(
+        "doc_id",
+        "piece",
+        "start",
+        "length",
+        # round, shard and bin name a sequence: bins of a shard are fewer than 2^20
+        (F.col("round").cast("long") * F.lit(1 << 57) + F.col("shard") * F.lit(1 << 20) + F.col("bin")).alias(
+            "sequence_id"
+        ),
+        "offset",
+        "ids",
+    )
+    return out.mapInArrow(_with_checksums, _SEQUENCES)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return sequences(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
