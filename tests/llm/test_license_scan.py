@@ -104,3 +104,17 @@ def test_the_registered_query(spark, sf_dir):
     rows = L.op9_license_scan(spark, sf_dir).collect()
     assert len(rows) == len(docs)
     assert all(tuple(r)[1:6] == base(docs[r.doc_id]) for r in rows)
+
+
+def test_detections_have_spans(spark):
+    text = "Über all: licensed under the MIT License. CC-BY, cc by"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = L.licenses(df).first()
+    words = WORD.findall(fold(text))
+    spans = [(d.label, " ".join(words[d.start : d.end]), d.base) for d in row.detections]
+    assert spans == [
+        ("mit", "licensed under the mit license", False),
+        ("cc-by", "cc by", True),
+        ("cc-by", "cc by", True),
+    ]
+    assert "detections" not in L._FOUND

@@ -75,3 +75,16 @@ def test_the_tables(spark, sf_dir):
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert same([r[:2] for r in odd_rows], odd_docs, 100_000) == 1
     assert S.repeats_removed(no_docs).collect() == []
+
+
+def test_texts_and_spans(spark, rows):
+    numbered = [(i, text) for i, (_, text) in enumerate(rows)]
+    df = spark.createDataFrame(numbered, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.deduplicated(df, 1500).collect()}
+    for doc, n, n_removed, digest in direct(numbered):
+        r = got[doc]
+        words = re.findall(r"[^\x20\x09-\x0D]+", numbered[doc][1] or "")
+        gone = [i for s in r.removed for i in range(s.start, s.end)]
+        assert len(words) == r.n_words == n and len(gone) == len(set(gone)) == n_removed
+        assert r.text == " ".join(w for i, w in enumerate(words) if i not in set(gone))
+        assert hashlib.sha256(r.text.encode()).hexdigest() == digest

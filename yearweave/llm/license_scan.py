@@ -177,31 +177,53 @@ def _places(text: bytes, phrase: bytes) -> list[int]:
     return out
 
 
+def _numbers(text, blank, places: list[int]) -> dict[int, int]:
+    """The number of blanks before each place, in one pass over the text."""
+    out, n, at = {}, 0, 0
+    for place in sorted(set(places)):
+        n += text.count(blank, at, place)
+        out[place], at = n, place
+    return out
+
+
+def detect(text: bytes, scanner: Scanner) -> list[tuple[str, int, int, float, bool]]:
+    """(label, start, end, weight, base) of what is found in words joined by blanks, ends included.
+
+    Spans are [start, end) in words.
+    """
+    out = []
+    for phrase, label in BASE:
+        places = _places(text, f" {phrase} ".encode())
+        numbers, n = _numbers(text, b" ", places), len(phrase.split())
+        out += [(label, numbers[x], numbers[x] + n, BASE_WEIGHT, True) for x in places]
+    decoded = text.decode("utf-8", "replace")
+    left = survivors(scanner.detections(decoded))
+    numbers = _numbers(decoded, " ", [place for a, b, _, _ in left for place in (a, b)])
+    for a, b, _, number in left:
+        rule = scanner.rules[number]
+        out.append((rule.label, numbers[a] - 1, numbers[b], rule.weight, False))
+    return sorted(out, key=lambda d: (d[1], d[2], d[0], d[4]))
+
+
 def judge(raw: bytes, scanner: Scanner) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score) of a text in UTF-8."""
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of UTF-8.
+
+    All but n_words is derived from the detections.
+    """
     words = raw.translate(FOLDED).split()
-    if not words:
-        return 0, 0, None, None, "", "", 0.0
     text = b" " + b" ".join(words) + b" "
-    if not any(core in text for core in scanner.core):
-        return len(words), 0, None, None, "", "", 0.0
+    if not words or not any(core in text for core in scanner.core):
+        return len(words), 0, None, None, "", "", 0.0, []
+    found = detect(text, scanner)
+    starts = [start for _, start, _, _, base in found if base]
+    base_labels = {label for label, _, _, _, base in found if base}
     weights: dict[str, float] = {}
-    base: set[str] = set()
-    n, first, last = 0, None, None
-    for phrase, label in BASE:
-        places = _places(text, f" {phrase} ".encode())
-        if places:
-            base.add(label)
-            weights[label] = BASE_WEIGHT
-            n += len(places)
-            low, high = text.count(b" ", 0, places[0]), text.count(b" ", 0, places[-1])
-            first = low if first is None else min(first, low)
-            last = high if last is None else max(last, high)
-    for _, _, _, number in survivors(scanner.detections(text.decode("utf-8", "replace"))):
-        rule = scanner.rules[number]
-        weights[rule.label] = max(weights.get(rule.label, 0.0), rule.weight)
-    score = 1.0 - float(np.prod([1.0 - w for w in weights.values()])) if weights else 0.0
-    return len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(weights)), score
+    for label, _, _, weight, _ in found:
+        weights[label] = max(weights.get(label, 0.0), weight)
+    score = 1.0 - float(np.prod([1.0 - weights[label] for label in sorted(weights)])) if weights else 0.0
+    first, last = (min(starts), max(starts)) if starts else (None, None)
+    labels = ",".join(sorted(base_labels)), ",".join(sorted(weights))
+    return len(words), len(starts), first, last, *labels, score, found
 
 
 _FOUND = (
@@ -209,7 +231,12 @@ _FOUND = (
     "base_labels string, labels string, score double"
 )
 _NAMES = [part.split()[0] for part in _FOUND.split(", ")]
-_KINDS = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
+_SPAN = ("label", "start", "end", "weight", "base")
+_SPANS = pa.list_(
+    pa.struct(list(zip(_SPAN, (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)))
+)
+_KINDS = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), _SPANS]
+_DETECTIONS = "detections array<struct<label: string, start: bigint, end: bigint, weight: double, base: boolean>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,16 +244,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch[1].cast(pa.binary())
         rows = [judge(x.as_py() or b"", scanner) for x in texts]
+        rows = [(*r[:-1], [dict(zip(_SPAN, d, strict=True)) for d in r[-1]]) for r in rows]
         columns = [batch[0]]
         columns += [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS[1:])]
-        yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+        yield pa.RecordBatch.from_arrays(columns, names=[*_NAMES, "detections"])
 
 
 def licenses(docs: DataFrame) -> DataFrame:
-    """A row per row of `docs` (doc_id and text): counts, word places, labels and score."""
+    """A row per row of `docs` (doc_id and text): counts, word places, labels, score and detections.
+
+    Detections are sorted spans of words, [start, end), with label and weight; the rest derives from them.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_scan, _FOUND)
+    return docs.mapInArrow(_scan, f"{_FOUND}, {_DETECTIONS}")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("detections")

@@ -25,7 +25,6 @@ input: a null text has no words; rows with a null doc_id, and repeats within one
 neither removed nor a reason to remove; repeated rows have the same doc_id, hence the same result.
 """
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,8 @@ CHUNK = 16 << 20
 #: Bytes that a row counts for besides its text, so that empty texts are dealt out too.
 ROW_WEIGHT = 100
 _ANCHOR_BITS = 48
-_RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+_RESULT = "doc_id bigint, n_words bigint, text string, removed array<struct<start: bigint, end: bigint>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _ROWS = "bucket bigint, chunk bigint, hashes binary, flags binary"
 _HITS = "chunk bigint, hashes binary"
 _WINDOWS = "bucket bigint, chunk bigint, high binary, low binary, least binary, most binary"
@@ -304,7 +304,7 @@ def _remove(table: pa.Table, answers: pa.Table) -> pa.Table:
     )
     order = np.argsort(high, kind="stable")
     high, low, owner = high[order], low[order], owner[order]
-    rows = []
+    docs_out, counts, texts, spans = [], [], [], []
     for ids, some in Texts(table).groups():
         words = Words(some, WHITE)
         total = int(words.counts.sum())
@@ -334,15 +334,26 @@ def _remove(table: pa.Table, answers: pa.Table) -> pa.Table:
             out = removed[at : at + n]
             if out.any():
                 kept = [kept[i] for i in np.flatnonzero(~out)]
-            digest = hashlib.sha256(b" ".join(kept)).hexdigest()
-            rows.append(
-                {"doc_id": doc, "n_words": int(n), "n_removed": int(out.sum()), "kept_sha256": digest}
-            )
-    return _batches(rows, _schema(_RESULT))
-
-
-def repeats_removed(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256), a row per row of `docs` (doc_id and text)."""
+            docs_out.append(doc)
+            counts.append(int(n))
+            texts.append(b" ".join(kept))
+            edges = np.flatnonzero(np.diff(out.astype(np.int8), prepend=0, append=0)).tolist()
+            spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
+    columns = {
+        "doc_id": pa.array(docs_out, pa.int64()),
+        "n_words": pa.array(counts, pa.int64()),
+        "text": pa.array(texts, pa.binary()).cast(pa.string()),
+        "removed": pa.array(spans, _SPANS),
+    }
+    return pa.table(columns)
+
+
+def deduplicated(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_words, text, removed), a row per row of `docs` (doc_id and text).
+
+    `text` is the words that stay, joined by blanks; `removed` are the spans of words that went, as
+    sorted [start, end) among the n_words of the old text.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weight = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_WEIGHT
     size = docs.agg(F.sum(weight).alias("n")).first()["n"] or 0
@@ -357,5 +368,14 @@ def repeats_removed(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return by_chunk.cogroup(owners.groupBy("chunk")).applyInArrow(_remove, _RESULT)
 
 
+def repeats_removed(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256), derived from the texts and spans of deduplicated()."""
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    kept = F.sha2(F.col("text").cast("binary"), 256)
+    return deduplicated(docs, chunk).select(
+        "doc_id", "n_words", gone.alias("n_removed"), kept.alias("kept_sha256")
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
