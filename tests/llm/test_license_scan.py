@@ -118,3 +118,36 @@ def test_detections_have_spans(spark):
         ("cc-by", "cc by", True),
     ]
     assert "detections" not in L._FOUND
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("SPDX-License-Identifier: ISC", "isc"),
+        ("SPDX-License-Identifier: Zlib", "zlib"),
+        ("SPDX-License-Identifier: BSL-1.0", "bsl-1.0"),
+        ("SPDX-License-Identifier: PostgreSQL", "postgresql"),
+        ("SPDX-License-Identifier: Artistic-2.0", "artistic-2.0"),
+        ("SPDX-License-Identifier: OFL-1.1", "ofl-1.1"),
+        ("SPDX-License-Identifier: MS-PL", "ms-pl"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", "apache-2.0,mit"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+        ("Redistribution and use in source and binary forms, with or without modification", "bsd"),
+        ("This program is free software: you can redistribute it and/or modify it", "gpl"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("https://www.mozilla.org/MPL/2.0/", "mpl-2.0"),
+        ("permission to redistribute is free of charge", ""),
+    ],
+)
+def test_signatures_without_a_license_name(scanner, text, labels):
+    assert L.judge(text.encode(), scanner)[5] == labels
+
+
+def test_every_signature_is_gated_by_its_own_words(scanner):
+    assert len(scanner.rules) == len({(r.label, r.pattern.pattern) for r in scanner.rules}) == 531
+    signatures = len(L.NAMES) + len(L.SPDX) + len(L.VARIANTS) + len(L.BODIES)
+    assert signatures == 248
+    for _, pattern, *_, gate in (*L.VARIANTS, *L.BODIES):
+        assert gate in re.sub(r"licen\[sc\]e", "license", pattern)
