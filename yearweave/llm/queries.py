@@ -13,6 +13,7 @@ from yearweave.llm.packing import op5_best_fit_packing
 from yearweave.llm.quality import op7_quality
 from yearweave.llm.secret_scan import op2_secret_scan
 from yearweave.llm.substring_dedup import op3_substring_dedup
+from yearweave.llm.token_alignment import op12_token_alignment
 from yearweave.llm.token_counts import op13_token_counts
 from yearweave.llm.url_filter import ORACLE as URL_FILTER_SQL
 from yearweave.llm.url_filter import op1_url_filter
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_order_minhash": op10_order_minhash,
+    "op12_token_alignment": op12_token_alignment,
     "op13_token_counts": op13_token_counts,
 }
 
