@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from yearweave.llm.decontaminate import op6_decontaminate
 from yearweave.llm.embedding_dedup import op8_embedding_dedup
+from yearweave.llm.hard_negatives import ORACLE as HARD_NEGATIVES_SQL
+from yearweave.llm.hard_negatives import op11_hard_negatives
 from yearweave.llm.language_id import op4_language_id
 from yearweave.llm.license_scan import op9_license_scan
 from yearweave.llm.order_minhash import op10_order_minhash
@@ -29,8 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_order_minhash": op10_order_minhash,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_token_alignment": op12_token_alignment,
     "op13_token_counts": op13_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": URL_FILTER_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": URL_FILTER_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}
