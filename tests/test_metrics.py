@@ -2,6 +2,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from yearweave.operators.metrics import (
     axis_metrics,
@@ -53,11 +54,44 @@ def test_quantiles_are_exact(spark, n):
     values = [float(rnd.choice([1, 2, 2, 2, rnd.randint(0, 10**6)])) for _ in range(n)]
     df = spark.createDataFrame([(1, v) for v in values], "g int, v double")
     want = statistics.quantiles(values, n=4, method="inclusive") if n > 1 else values * 3
-    for most in (10_000, 40):  # 40: several rounds of narrowing
-        r = group_quantiles(df, "g", ["v"], {"q1": 0.25, "q2": 0.5, "q3": 0.75}, most).first()
+    for accuracy in (10_000, 200, 20):  # below n the sketch brackets the quantiles
+        r = group_quantiles(df, "g", ["v"], {"q1": 0.25, "q2": 0.5, "q3": 0.75}, accuracy).first()
         assert [r.v_q1, r.v_q2, r.v_q3] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("kind", ["equal", "two", "skewed", "near"])
+def test_quantiles_of_odd_distributions(spark, kind):
+    rnd = random.Random(kind)
+    n = 20_000
+    draw = {
+        "equal": lambda i: 7.0,
+        "two": lambda i: float(i % 4 == 0),
+        "skewed": lambda i: 10.0 ** rnd.uniform(-300, 300),
+        "near": lambda i: 1.0 + i * 2.0**-50,
+    }[kind]
+    values = {g: [draw(i) for i in range(n if g else 50)] for g in (0, 1)}
+    rows = [(g, v, -v) for g, some in values.items() for v in some] + [(1, None, 5.0), (2, None, None)]
+    df = spark.createDataFrame(rows, "g int, v double, w double").repartition(7)
+    got = {r.g: r for r in group_quantiles(df, "g", ["v", "w"], {"q1": 0.25, "hi": 0.999}, 500).collect()}
+    for g, some in values.items():
+        some.sort()
+        for name, p in (("v_q1", 0.25), ("v_hi", 0.999)):
+            at = p * (len(some) - 1)
+            low, high = some[int(at)], some[min(int(at) + 1, len(some) - 1)]
+            assert got[g][name] == pytest.approx(low + (high - low) * (at - int(at)))
+    assert 2 not in got or got[2].v_q1 is None
+
+
+def test_quantiles_rank_only_a_bracket(spark):
+    """What is put in order is the brackets' values: two passes over the table, no other."""
+    df = spark.range(200_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    out = group_quantiles(df, "g", ["v"], {"q1": 0.25, "q3": 0.75}, 1000)
+    even = out.where("g = 0").first()
+    assert (even.v_q1, even.v_q3) == (49999.5, 149998.5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 200000") <= 2 and "BroadcastNestedLoop" not in plan
+
+
 def test_dispersion(spark):
     df = core(spark, {2000: POINTS, 2001: POINTS[:1]})
     got = {r.year: r for r in year_dispersion(df, 3).collect()}

@@ -6,11 +6,10 @@ from pyspark.sql import Window
 
 from yearweave.session import stage
 
-# Distinct values that one band may leave to be ranked by one task, and the steps in which a wider
-# band is narrowed (well above the sketch's own error).
-MOST = 10_000
-STEPS = 256
+# The sketch's ranks are wrong by at most one part in ACCURACY; a bracket leaves MARGIN such parts on
+# either side: one for each end's own error, one for the ranks between which a quantile lies.
 ACCURACY = 10_000
+MARGIN = 3
 
 
 def complete_cases(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -77,64 +76,60 @@ def short_axis_values(metrics: DataFrame, axis: str = "year") -> DataFrame:
     return metrics.where("insufficient").select(axis, "n")
 
 
-def group_quantiles(
-    df: DataFrame, group: str, columns: list[str], probs: dict[str, float], most: int = MOST
-) -> DataFrame:
+def group_quantiles(df: DataFrame, group: str, columns: list[str], probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """Exact quantiles per group, linearly interpolated: (group, <column>_<prob name>, ...).
 
-    All columns and quantiles share each pass. A quantile's band starts as the whole range and is
-    narrowed by a sketch of the values inside, to about a hundredth per round, until every band has
-    at most `most` distinct values; only these are ranked. So no task ever holds more, whatever the
-    size of a group, and small groups need no round at all.
+    Two passes over `df`, whatever its size and distribution. The first brackets each quantile: a
+    mergeable sketch gives values whose ranks are wrong by at most one part in `accuracy`, so a margin of
+    MARGIN such parts on either side holds the quantile; a group of up to `accuracy` values is its own
+    bracket. The second counts the values below each bracket and the equal values inside it, combined
+    before they are shuffled; only distinct values of a bracket, a share of about 2 * MARGIN / accuracy
+    of its group, are put in order. A row meets its group's brackets once, as one row.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("s"), F.col(c).alias("v")) for c in columns]))
-    values = df.select(F.col(group).alias("g"), each.alias("e")).select("g", "e.s", "e.v")
-    values = stage(values.where(F.col("v").isNotNull()))
-    items = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(float(p)).alias("p")) for q, p in probs.items()])
-    bands = values.groupBy("g", "s").agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-    )
-    at = F.col("i.p") * (F.col("n") - 1)
-    bands = bands.withColumn("i", F.explode(items)).select("g", "s", "i.q", at.alias("at"), "low", "high")
-    grid = [k / STEPS for k in range(STEPS + 1)]
-    below, inside = F.col("v") < F.col("low"), F.col("v").between(F.col("low"), F.col("high"))
-    while True:
-        bands = stage(bands)
-        met = values.join(bands, ["g", "s"])
-        wide = met.where(inside).groupBy("g", "s", "q").agg(F.approx_count_distinct("v", 0.02).alias("d"))
-        if not wide.where(F.col("d") > 0.9 * most).take(1):
-            break
-        per_band = met.groupBy("g", "s", "q", "at", "low", "high").agg(
-            F.count_if(below).alias("below"),
-            F.count_if(inside).alias("n"),
-            F.percentile_approx(F.when(inside, F.col("v")), grid, ACCURACY).alias("edges"),
-        )
-        step = (F.col("at") - F.col("below")) / F.col("n") * STEPS
-        first = F.greatest(F.floor(step) - 2, F.lit(0)).cast("int")
-        last = F.least(F.ceil(step + STEPS / F.col("n")) + 2, F.lit(STEPS)).cast("int")
-        bands = per_band.select(
-            "g", "s", "q", "at", F.get("edges", first).alias("low"), F.get("edges", last).alias("high")
-        )
-        # a band of one value, or one that no longer shrinks, is as narrow as it can be
-        shrunk = per_band.join(bands.withColumnsRenamed({"low": "l", "high": "h"}), ["g", "s", "q", "at"])
-        if not shrunk.where((F.col("l") > F.col("low")) | (F.col("h") < F.col("high"))).take(1):
-            break
-    counted = (
-        met.where(F.col("v") <= F.col("high"))
-        .select("g", "s", "q", "at", F.when(~below, F.col("v")).alias("v"))
-        .groupBy("g", "s", "q", "at", "v")
-        .agg(F.count("*").alias("c"))
-    )
-    order = Window.partitionBy("g", "s", "q").orderBy(F.col("v").asc_nulls_first())
+    step = MARGIN / accuracy
+    ends = [e for p in probs.values() for e in (max(0.0, p - step), min(1.0, p + step))]
+    aggs = []
+    for k, c in enumerate(columns):
+        aggs += [
+            F.count(c).alias(f"_n{k}"),
+            F.min(c).alias(f"_low{k}"),
+            F.max(c).alias(f"_high{k}"),
+            F.percentile_approx(c, ends, accuracy).alias(f"_ends{k}"),
+        ]
+    sketched = df.groupBy(group).agg(*aggs)
+    bands = []
+    for k in range(len(columns)):
+        n, small = F.col(f"_n{k}"), F.col(f"_n{k}") <= accuracy
+        for i, p in enumerate(probs.values()):
+            low = F.when(small, F.col(f"_low{k}")).otherwise(F.col(f"_ends{k}")[2 * i])
+            high = F.when(small, F.col(f"_high{k}")).otherwise(F.col(f"_ends{k}")[2 * i + 1])
+            bands.append(F.struct((F.lit(float(p)) * (n - 1)).alias("at"), low.alias("low"), high.alias("high")))
+    # a row per group
+    bands = stage(sketched.select(F.col(group).alias("g"), F.array(*bands).alias("_bands")))
+    cells = []
+    for k, c in enumerate(columns):
+        for i, q in enumerate(probs):
+            band = F.col("_bands")[k * len(probs) + i]
+            v = F.col(c)
+            cells.append(
+                F.struct(
+                    F.lit(f"{c}_{q}").alias("name"),
+                    band["at"].alias("at"),
+                    F.when(v >= band["low"], v).alias("v"),  # null: below the bracket
+                    (v <= band["high"]).alias("inside"),
+                )
+            )
+    met = df.select(F.col(group).alias("g"), *columns).join(bands, "g")
+    each = F.explode(F.filter(F.array(*cells), lambda cell: cell["inside"]))
+    counted = met.select("g", each.alias("e")).groupBy("g", "e.name", "e.at", "e.v").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("g", "name").orderBy(F.col("v").asc_nulls_first())
     ranked = counted.withColumn("upto", F.sum("c").over(order)).where(F.col("v").isNotNull())
     low = F.min(F.when(F.col("upto") > F.floor("at"), F.col("v")))
     high = F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v")))
     value = low + (high - low) * (F.max("at") - F.floor(F.max("at")))
-    found = ranked.groupBy("g", "s", "q").agg(value.alias("value"))
-    name = F.concat_ws("_", "s", "q")
+    found = ranked.groupBy("g", "name").agg(value.alias("value"))
     names = [f"{c}_{q}" for c in columns for q in probs]
-    out = found.withColumn("name", name).groupBy("g").pivot("name", names)
-    return out.agg(F.first("value")).withColumnRenamed("g", group)
+    return found.groupBy("g").pivot("name", names).agg(F.first("value")).withColumnRenamed("g", group)
 
 
 def year_dispersion(

@@ -19,6 +19,7 @@ from yearweave.operators.contract import (
     seed_contract,
     unmatched_rows,
 )
+from yearweave.operators.frame_chunks import compact_frames, unfolded_frames
 from yearweave.operators.metrics import (
     axis_metrics,
     frames,
@@ -371,6 +372,23 @@ def frames_by_year(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(readable(frames(core, year_metrics(core, 5))), "data_x_log", digits=6)
 
 
+@query
+def frames_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """The same frames, written as chunks and unfolded again."""
+    core = stage(customer_core(spark, sf))
+    chunks = stage(compact_frames(core, year_metrics(core, 5), size=500))
+    return rounded(readable(unfolded_frames(chunks)), "data_x_log", digits=6)
+
+
+@query
+def frame_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """What the chunks of the frames hold."""
+    core = stage(customer_core(spark, sf))
+    chunks = compact_frames(core, year_metrics(core, 5), size=500)
+    ends = F.col("points")[0]["country"].alias("first_country"), F.element_at("points", -1)["country"].alias("last_country")
+    return chunks.select("year", "chunk", "n_points", "x_min", "x_max", "y_min", "y_max", *ends, F.col("metrics.n").alias("n"))
+
+
 # Files
 
 

@@ -391,6 +391,14 @@ ORACLES["year_metrics_customers"] = f"WITH {unrounded(CUSTOMERS)} {both_metrics(
 ORACLES["frames_by_year"] = f"""WITH {unrounded(CUSTOMERS)}, metrics AS ({both_metrics()})
 SELECT core.* REPLACE (round(data_x_log, 6) AS data_x_log), metrics.* EXCLUDE (year)
 FROM core LEFT JOIN metrics USING (year)"""
+ORACLES["frames_compact"] = ORACLES["frames_by_year"]
+ORACLES["frame_chunks"] = f"""WITH {unrounded(CUSTOMERS)}, metrics AS ({both_metrics()}),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY year ORDER BY data_x NULLS LAST, country NULLS LAST) - 1) // 500 AS chunk
+           FROM core)
+SELECT year, chunk, count(*) AS n_points, min(data_x) AS x_min, max(data_x) AS x_max, min(data_y) AS y_min,
+       max(data_y) AS y_max, arg_min(country, (data_x IS NULL, data_x, country)) AS first_country,
+       arg_max(country, (data_x IS NULL, data_x, country)) AS last_country, any_value(metrics.n) AS n
+FROM ranked LEFT JOIN metrics USING (year) GROUP BY year, chunk"""
 _SPREAD = ", ".join(
     f"CASE WHEN count(*) >= 5 THEN round(stddev_samp({c}), 4) END AS sd_{s}, "
     f"CASE WHEN count(*) >= 5 THEN round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 4) END"
