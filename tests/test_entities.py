@@ -89,9 +89,8 @@ def varied(rnd, s):
 
 @pytest.mark.parametrize("seed,n,fanout", [(1, 200, 128), (2, 90, 2)])
 def test_blocked_join_equals_all_pairs(spark, monkeypatch, seed, n, fanout):
-    """The small fan-out makes nearly every shared key over-full, so rows go through refinement;
-    what is left after two levels is joined in small cells."""
-    monkeypatch.setattr(join, "MAX_LEVELS", 2)
+    """The small fan-out makes nearly every shared key over-full, so rows go through refinement to its
+    end; keys that stay busy are joined in small cells."""
     monkeypatch.setattr(join, "CELL", 8 if fanout < 10 else join.CELL)
     rnd = random.Random(seed)
     x = list(dict.fromkeys(random_label(rnd) for _ in range(n)))
@@ -101,9 +100,45 @@ def test_blocked_join_equals_all_pairs(spark, monkeypatch, seed, n, fanout):
     assert {r.label: (r.x_label, r.score) for r in got} == brute_force(labels, x)
 
 
-def test_hot_prefix_is_refined(spark, monkeypatch):
+@pytest.mark.parametrize("fanout", [1, 8])
+def test_one_token_in_all_labels(spark, fanout):
+    """The token is the last that is keyed on: what follows it is nothing, so it makes no level of its own."""
+    rnd = random.Random(9)
+    rare = [f"w{i}" for i in range(40)]
+    x = list(dict.fromkeys("the " + " ".join(rnd.sample(rare, rnd.randint(1, 4))) for _ in range(60))) + ["the"]
+    labels = list(dict.fromkeys(varied(rnd, rnd.choice(x)) for _ in range(60))) + ["the the", "THE"]
+    labels = [t for t in dict.fromkeys(labels) if t]
+    got = similarity_join(side(spark, labels), side(spark, x), fanout).collect()
+    assert {r.label: (r.x_label, r.score) for r in got} == brute_force(labels, x)
+
+
+def test_tokens_are_ordered_by_frequency(spark):
+    labels = side(spark, ["the big congo", "the big chad", "the peru the", " "])
+    counts = join.token_frequencies(labels, labels)
+    got = {r.label: r.toks for r in join.rare_first(labels, counts).collect()}
+    assert got == {
+        "the big congo": ["congo", "big", "the"],
+        "the big chad": ["chad", "big", "the"],
+        "the peru the": ["peru", "the"],
+        " ": [],
+    }
+
+
+def test_a_very_long_label_changes_nothing_else(spark):
+    rnd = random.Random(10)
+    x = list(dict.fromkeys(random_label(rnd) for _ in range(60)))
+    labels = list(dict.fromkeys(varied(rnd, rnd.choice(x)) for _ in range(60)))
+    long_label = " ".join(rnd.choice(WORDS) + str(rnd.randint(0, 999)) for _ in range(1500))[:10_000]
+    near = long_label[:4000] + "#" + long_label[4003:9000] + "xy" + long_label[9000:]
+    before = similarity_join(side(spark, labels), side(spark, x)).collect()
+    after = similarity_join(side(spark, [*labels, near]), side(spark, [*x, long_label])).collect()
+    found = {r.label: (r.x_label, r.score) for r in after}
+    assert found.pop(near)[0] == long_label
+    assert found == {r.label: (r.x_label, r.score) for r in before}
+
+
+def test_hot_prefix_is_refined(spark):
     """All labels share a long prefix and suffix; only three characters tell them apart."""
-    monkeypatch.setattr(join, "MAX_LEVELS", 2)
     x = [f"Republic of {a}{b}{c} Island" for a in "abcde" for b in "fghij" for c in "klmno"]
     labels = [t.replace("Island", "Islnd") for t in x[::3]] + [t[:-1] for t in x[1::3]] + ["Repu"]
     got = similarity_join(side(spark, labels), side(spark, x), fanout=3).collect()

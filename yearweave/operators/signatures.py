@@ -8,7 +8,8 @@ allowed):
            between their sorted tokens (t, v = 19). One side is cut in d + 1 segments; one of
            them must be intact in the other (Pass-Join; Li, Deng, Wang, Feng, VLDB 2011).
     q, u   the same two for an x label longer than LONG: fixed-size chunks at a coarse position.
-    s      a shared token (token sets).
+    s      a shared token (token sets). Tokens are taken rare ones first, by a table of their
+           frequencies on both sides, so a token that nearly all labels have is followed by few others.
     a, b   the shorter label (a: the probing one, b: the x one) begins with a text of a
            power-of-two length that the longer label contains.
 
@@ -23,9 +24,9 @@ longer keys, each again necessary for the pair.
 
     r, t, d   the shift, every part without edits, and an intact segment of one more part; a row
               whose parts are too short for that becomes family Z
-    s         one more shared token, or none: then either side is (nearly) used up (families X
-              and L), or the remaining tokens are within the edit bound (family d)
-    q, u      the full r, t keys
+    s         one more shared token, a more frequent one, or none: then either side is (nearly) used
+              up (families X and L), or the remaining tokens are within the edit bound (family d)
+    q, u      the full r, t keys, as long as these cost less than the pairs
     a, b      the whole shorter label (families A, B)
 """
 
@@ -33,12 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yearweave.functions.similarity import sorted_tokens
+from yearweave.operators.skew import split_join
 from yearweave.session import cut_lineage
 
 RAW, TOKENS = 10, 19
 LONG = 72
 CLASS_STEP = 1.25
-STATE = ["key", "kind", "label", "ord", "parts", "delta", "text", "toks", "used", "at"]
+STATE = ["key", "kind", "label", "ord", "parts", "delta", "toks", "used", "at", "id"]
+#: Families whose rows name their label by `id`, a hash of it: long labels have many rows.
+BY_ID = ("q", "u")
 SEGMENT_KINDS = ("r", "t", "d")
 FINAL_KINDS = ("X", "L", "A", "B", "Z")
 # A text pair still to be aligned: at most `b` edits (exactly `b` if `e`), the probing side longer
@@ -52,10 +56,10 @@ def rows(df: DataFrame, **columns: Column) -> DataFrame:
         "ord": "long",
         "parts": PARTS,
         "delta": "int",
-        "text": "string",
         "toks": "array<string>",
         "used": "array<string>",
         "at": "int",
+        "id": "long",
     }
     out = []
     for c in STATE:
@@ -206,7 +210,10 @@ def long_rows(df: DataFrame, probe: bool) -> DataFrame:
         out,
         key=F.xxhash64("kind", "_class", "_slot", chunk),
         kind=F.col("kind"),
-        text=F.col("text"),
+        label=F.lit(None).cast("string"),
+        ord=F.lit(None).cast("long"),
+        at=n,
+        id=F.xxhash64("label"),
     )
 
 
@@ -214,9 +221,28 @@ def length_class(n: Column) -> Column:
     return F.floor(F.log(CLASS_STEP, n / F.lit(float(LONG)))).cast("int")
 
 
+def token_lists(df: DataFrame) -> DataFrame:
+    distinct = F.array_distinct(sorted_tokens(F.col("label")))
+    return df.select("label", "ord", F.explode(distinct).alias("token"))
+
+
+def token_frequencies(labels: DataFrame, x: DataFrame) -> DataFrame:
+    """(token, frequency) over the labels of both sides."""
+    both = token_lists(labels).unionAll(token_lists(x))
+    return both.groupBy("token").agg(F.count("*").alias("frequency"))
+
+
+def rare_first(df: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(label, ord, toks): distinct tokens, the rarest of the table first."""
+    each = split_join(token_lists(df), frequencies, ["token"], spread=["label"])
+    ordered = F.sort_array(F.collect_list(F.struct("frequency", "token")))
+    toks = each.groupBy(F.col("label").alias("_label")).agg(F.transform(ordered, lambda t: t["token"]).alias("toks"))
+    out = df.join(toks, F.col("label") == F.col("_label"), "left")
+    return out.select("label", "ord", F.coalesce("toks", F.array().cast("array<string>")).alias("toks"))
+
+
 def token_rows(df: DataFrame) -> DataFrame:
-    each = df.withColumn("toks", F.array_distinct(sorted_tokens(F.col("label"))))
-    each = each.withColumn("_t", F.explode("toks"))
+    each = df.withColumn("_t", F.explode("toks"))
     return rows(
         each,
         key=F.xxhash64(F.lit("s"), "_t"),
@@ -259,13 +285,10 @@ def window_rows(df: DataFrame, probe: bool) -> DataFrame:
     return as_shorter.unionAll(as_longer)
 
 
-def first_rows(df: DataFrame, probe: bool, long_x: bool = True) -> DataFrame:
-    """All signature rows of (label, ord); `long_x` tells whether x has labels above LONG."""
+def first_rows(df: DataFrame, probe: bool) -> DataFrame:
+    """All signature rows of (label, ord, toks)."""
     out = text_rows(df, probe, LONG)
-    parts = [token_rows(df), window_rows(df, probe)]
-    if long_x:
-        parts.append(long_rows(df, probe))
-    for more in parts:
+    for more in (token_rows(df), window_rows(df, probe), long_rows(df, probe)):
         out = out.unionAll(more)
     return out
 
@@ -275,16 +298,18 @@ def row_weight() -> Column:
     edits = F.array_max(F.transform("parts", lambda p: p.b))
     return (
         F.when(F.col("kind").isin(*SEGMENT_KINDS), F.pow(edits + 2, F.lit(2)) / 2)
-        .when(F.col("kind").isin("q", "u"), F.lit(1024.0))
+        .when(F.col("kind").isin("q", "u"), F.pow(F.col("at") * 2 / (RAW - 1), F.lit(3)) / 2)
         .when(F.col("kind").isin("s", "a", "b"), F.lit(8.0))
         .otherwise(F.lit(1.0))
     )
 
 
-def refine(df: DataFrame, probe: bool) -> DataFrame:
-    """Replace rows of over-full keys (none of a final family) by rows with longer keys."""
+def refine(df: DataFrame, probe: bool, labels: DataFrame) -> DataFrame:
+    """Replace rows of over-full keys (none of a final family) by rows with longer keys. `labels` is
+    the side's (label, ord)."""
     out = refine_parts(df.where(F.col("kind").isin(*SEGMENT_KINDS)), probe)
-    chunks = df.where(F.col("kind").isin("q", "u")).select("label", "ord").distinct()
+    chunks = df.where(F.col("kind").isin(*BY_ID)).select("id").distinct()
+    chunks = labels.withColumn("id", F.xxhash64("label")).join(chunks, "id").select("label", "ord")
     out = out.unionAll(text_rows(chunks, probe, None))
     out = out.unionAll(refine_tokens(df.where(F.col("kind") == "s"), probe))
     return out.unionAll(refine_windows(df.where(F.col("kind").isin("a", "b")), probe))
@@ -340,9 +365,8 @@ def with_shift(df: DataFrame) -> DataFrame:
 
 
 def refine_tokens(df: DataFrame, probe: bool) -> DataFrame:
-    last = F.element_at("used", -1)
-    later = F.filter("toks", lambda t: t > last)
-    more = df.withColumn("_t", F.explode(later))
+    place = F.array_position("toks", F.element_at("used", -1)).cast("int")
+    more = df.withColumn("_t", F.explode(F.slice("toks", place + 1, F.size("toks"))))
     more = rows(
         more,
         key=F.xxhash64("key", F.lit("s"), "_t"),
@@ -350,7 +374,7 @@ def refine_tokens(df: DataFrame, probe: bool) -> DataFrame:
         toks=F.col("toks"),
         used=F.concat("used", F.array("_t")),
     )
-    df = df.withColumn("text", joined(F.array_except("toks", "used")))
+    df = df.withColumn("text", joined(F.sort_array(F.array_except("toks", "used"))))
     shared, left = F.length(joined("used")), F.length("text")
     done = (left == 0) | (shared >= 9 * (1 + left))
     own, other = ("L", "X") if probe else ("X", "L")

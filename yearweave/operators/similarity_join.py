@@ -9,22 +9,24 @@ from yearweave.functions.similarity import (
     THRESHOLD,
     TOKEN_WEIGHT,
     label_scores,
+    sorted_tokens,
 )
 from yearweave.operators.signatures import (
+    BY_ID,
     FINAL_KINDS,
-    LONG,
     RAW,
     TOKENS,
     first_rows,
     joined,
+    rare_first,
     refine,
     row_weight,
+    token_frequencies,
 )
 from yearweave.session import cut_lineage, stage
 
 # Pairs that cost as much to check as one signature row costs to make and move.
 FANOUT = 8
-MAX_LEVELS = 12
 # Rows per side of one cell, when the pairs of a key are dealt out over tasks.
 CELL = 256
 # Nothing but the raw ratio scores above this.
@@ -101,16 +103,18 @@ def tasks(df: DataFrame) -> int:
 def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Distinct (label, x_label, x_ord): every pair that scores 90 or more, and few others.
 
-    A key is over-full when its pairs cost more to check than refining its rows would. Over-full keys are never joined as they are but replaced by longer
-    ones, level by level, so candidates stay within a fixed number per signature row. Keys that
-    stay busy (one side is long, or nothing is left to key on) are joined cell by cell.
+    A key is over-full when its pairs cost more to check than refining its rows would. Over-full keys
+    are never joined as they are but replaced by longer ones, level by level, so candidates stay
+    within a fixed number per signature row. Each level takes a token, or an intact segment of a part
+    with edits, so levels end with the labels' tokens and edits. Busy keys that nothing longer would
+    make cheaper (one side is short, or the key already says all) are joined cell by cell.
     """
-    longest_x = x.agg(F.coalesce(F.max(F.length("label")), F.lit(0)).alias("n")).first()["n"]
+    frequencies = stage(token_frequencies(labels, x))
     # read by the key counts, by the join of the quiet keys and by the busy ones
-    left = stage(first_rows(labels, True, longest_x > LONG))
-    right = stage(first_rows(x, False, longest_x > LONG))
+    left = stage(first_rows(rare_first(labels, frequencies), True))
+    right = stage(first_rows(rare_first(x, frequencies), False))
     found = None
-    for level in range(MAX_LEVELS + 1):
+    while True:
         busy = cut_lineage(busy_keys(left, right, fanout))
         if busy.isEmpty():
             found = union(found, match(left, right))
@@ -118,13 +122,33 @@ def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
         found = union(found, match(left, right.join(busy, "key", "left_anti")))
         left = cut_lineage(left.join(busy, "key"))
         right = cut_lineage(right.join(busy, "key"))
-        stays = ~F.col("full") | F.col("kind").isin(*FINAL_KINDS) | F.lit(level == MAX_LEVELS)
+        stays = ~F.col("full") | F.col("kind").isin(*FINAL_KINDS)
         found = union(found, match_cells(left.where(stays), right.where(stays)))
         if left.where(~stays).isEmpty():
             break
-        left = cut_lineage(refine(left.where(~stays).drop(*BUSY), True))
-        right = cut_lineage(refine(right.where(~stays).drop(*BUSY), False))
-    return one_row_per_pair(found)
+        left = cut_lineage(refine(left.where(~stays).drop(*BUSY), True, labels))
+        right = cut_lineage(refine(right.where(~stays).drop(*BUSY), False, x))
+    return one_row_per_pair(long_pairs(found, labels, x).unionByName(found.where("id is null").drop("id", "x_id")))
+
+
+def long_pairs(found: DataFrame, labels: DataFrame, x: DataFrame) -> DataFrame:
+    """The pairs found by ids with their labels: each pair is looked at once, however many keys it shares."""
+    ids = found.where("id is not null").select("id", "x_id").distinct()
+    l = labels.select("label", F.xxhash64("label").alias("id"))
+    r = x.select(F.col("label").alias("x_label"), F.col("ord").alias("x_ord"), F.xxhash64("label").alias("x_id"))
+    pairs = ids.join(l, "id").join(r, "x_id").drop("id", "x_id")
+
+    def close(a: Column, b: Column, v: int) -> Column:
+        return F.levenshtein(a, b) <= F.floor((F.length(a) + F.length(b)) / v)
+
+    n, m = F.length("x_label"), F.length("label")
+    near = F.greatest(n, m) < NEAR_RATIO * F.least(n, m)
+    ways = close(F.col("label"), F.col("x_label"), RAW)
+    for unique in (False, True):
+        a, b = (sorted_tokens(F.col(c)) for c in ("label", "x_label"))
+        a, b = (F.array_distinct(t) if unique else t for t in (a, b))
+        ways |= close(joined(a), joined(b), TOKENS)
+    return pairs.where(near & ways).withColumn("contains", F.lit(False))
 
 
 def one_row_per_pair(found: DataFrame) -> DataFrame:
@@ -167,7 +191,7 @@ def match_cells(left: DataFrame, right: DataFrame) -> DataFrame:
         return F.ceil(F.col(own) / size).cast("int")
 
     def deal(df: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("label"), cells(own, other)).cast("int")
+        mine = F.pmod(F.xxhash64("label", "id"), cells(own, other)).cast("int")
         each = F.explode(F.sequence(F.lit(0), cells(other, own) - 1))
         dealt = df.withColumn(f"_{own}", mine).withColumn(f"_{other}", each)
         return dealt.repartition(tasks(df), "key", "_n_l", "_n_x")
@@ -183,6 +207,8 @@ def kept(pairs: DataFrame) -> DataFrame:
         F.col("r.label").alias("x_label"),
         F.col("r.ord").alias("x_ord"),
         F.lower("l.kind").isin("a", "b").alias("contains"),
+        F.col("l.id").alias("id"),
+        F.col("r.id").alias("x_id"),
     )
 
 
@@ -192,8 +218,6 @@ def may_match() -> Column:
     low, high = F.least(n, m), F.greatest(n, m)
     near = high < NEAR_RATIO * low
     kind = F.col("l.kind")
-    both = F.length("l.text") + F.length("r.text")
-    bound = F.floor(both / F.when(kind == "q", RAW).otherwise(TOKENS))
     shorter_in = F.when(n < m, F.contains("l.label", "r.label")).otherwise(
         F.contains("r.label", "l.label")
     )
@@ -201,7 +225,7 @@ def may_match() -> Column:
     return (
         F.when(F.lower(kind).isin("a", "b"), far & shorter_in)
         .when(kind.isin("s", "X", "L"), near & token_sets_may_match())
-        .when(kind.isin("q", "u"), near & (F.levenshtein("l.text", "r.text") <= bound))
+        .when(kind.isin(*BY_ID), F.lit(True))
         .otherwise(near & parts_may_match())
     )
 
@@ -225,5 +249,5 @@ def token_sets_may_match() -> Column:
     s, a, b = (F.length(joined(c)) for c in (both, only_l, only_r))
     least = F.least(a, b)
     bound = F.floor((2 * s + a + b + 2) / TOKENS)
-    apart = F.levenshtein(joined(only_l), joined(only_r)) <= bound
+    apart = F.levenshtein(joined(F.sort_array(only_l)), joined(F.sort_array(only_r))) <= bound
     return (least == 0) | (s >= 9 * (1 + least)) | ((F.abs(a - b) <= bound) & apart)
