@@ -114,7 +114,7 @@ def test_one_token_in_all_labels(spark, fanout):
 
 def test_tokens_are_ordered_by_frequency(spark):
     labels = side(spark, ["the big congo", "the big chad", "the peru the", " "])
-    counts = join.token_frequencies(labels, labels)
+    counts = join.frequent_tokens(labels, labels)
     got = {r.label: r.toks for r in join.rare_first(labels, counts).collect()}
     assert got == {
         "the big congo": ["congo", "big", "the"],

@@ -8,7 +8,7 @@ allowed):
            between their sorted tokens (t, v = 19). One side is cut in d + 1 segments; one of
            them must be intact in the other (Pass-Join; Li, Deng, Wang, Feng, VLDB 2011).
     q, u   the same two for an x label longer than LONG: fixed-size chunks at a coarse position.
-    s      a shared token (token sets). Tokens are taken rare ones first, by a table of their
+    s      a shared token (token sets). Tokens are taken rare ones first, by their
            frequencies on both sides, so a token that nearly all labels have is followed by few others.
     a, b   the shorter label (a: the probing one, b: the x one) begins with a text of a
            power-of-two length that the longer label contains.
@@ -34,12 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yearweave.functions.similarity import sorted_tokens
-from yearweave.operators.skew import split_join
 from yearweave.session import cut_lineage
 
 RAW, TOKENS = 10, 19
 LONG = 72
 CLASS_STEP = 1.25
+#: Tokens whose frequency decides the order of tokens; a list that is fetched, so it is bounded.
+FREQUENT = 256
 STATE = ["key", "kind", "label", "ord", "parts", "delta", "toks", "used", "at", "id"]
 #: Families whose rows name their label by `id`, a hash of it: long labels have many rows.
 BY_ID = ("q", "u")
@@ -226,19 +227,23 @@ def token_lists(df: DataFrame) -> DataFrame:
     return df.select("label", "ord", F.explode(distinct).alias("token"))
 
 
-def token_frequencies(labels: DataFrame, x: DataFrame) -> DataFrame:
-    """(token, frequency) over the labels of both sides."""
+def frequent_tokens(labels: DataFrame, x: DataFrame) -> list[tuple[str, int]]:
+    """(token, frequency) of the FREQUENT most frequent tokens over the labels of both sides. Any other
+    token is in fewer than 1 / FREQUENT of the labels' tokens, so its order does not matter."""
     both = token_lists(labels).unionAll(token_lists(x))
-    return both.groupBy("token").agg(F.count("*").alias("frequency"))
-
-
-def rare_first(df: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(label, ord, toks): distinct tokens, the rarest of the table first."""
-    each = split_join(token_lists(df), frequencies, ["token"], spread=["label"])
-    ordered = F.sort_array(F.collect_list(F.struct("frequency", "token")))
-    toks = each.groupBy(F.col("label").alias("_label")).agg(F.transform(ordered, lambda t: t["token"]).alias("toks"))
-    out = df.join(toks, F.col("label") == F.col("_label"), "left")
-    return out.select("label", "ord", F.coalesce("toks", F.array().cast("array<string>")).alias("toks"))
+    counts = both.groupBy("token").agg(F.count("*").alias("frequency")).where("frequency > 1")
+    found = counts.orderBy(F.desc("frequency"), "token").limit(FREQUENT).collect()
+    return [(r.token, r.frequency) for r in found]
+
+
+def rare_first(df: DataFrame, frequent: list[tuple[str, int]]) -> DataFrame:
+    """(label, ord, toks): distinct tokens, those that are not frequent first, then by frequency."""
+    toks = F.array_distinct(sorted_tokens(F.col("label")))
+    if frequent:
+        known = F.map_from_arrays(*(F.array(*[F.lit(v) for v in c]) for c in zip(*frequent)))
+        placed = F.transform(toks, lambda t: F.struct(F.coalesce(known[t], F.lit(0)).alias("frequency"), t.alias("token")))
+        toks = F.transform(F.sort_array(placed), lambda p: p["token"])
+    return df.select("label", "ord", toks.alias("toks"))
 
 
 def token_rows(df: DataFrame) -> DataFrame:

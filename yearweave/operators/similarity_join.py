@@ -17,11 +17,11 @@ from yearweave.operators.signatures import (
     RAW,
     TOKENS,
     first_rows,
+    frequent_tokens,
     joined,
     rare_first,
     refine,
     row_weight,
-    token_frequencies,
 )
 from yearweave.session import cut_lineage, stage
 
@@ -109,10 +109,10 @@ def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
     with edits, so levels end with the labels' tokens and edits. Busy keys that nothing longer would
     make cheaper (one side is short, or the key already says all) are joined cell by cell.
     """
-    frequencies = stage(token_frequencies(labels, x))
+    frequent = frequent_tokens(labels, x)
     # read by the key counts, by the join of the quiet keys and by the busy ones
-    left = stage(first_rows(rare_first(labels, frequencies), True))
-    right = stage(first_rows(rare_first(x, frequencies), False))
+    left = stage(first_rows(rare_first(labels, frequent), True))
+    right = stage(first_rows(rare_first(x, frequent), False))
     found = None
     while True:
         busy = cut_lineage(busy_keys(left, right, fanout))
