@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from yearweave.llm import embedding_dedup as E
 
@@ -76,6 +77,45 @@ def test_the_error_bound_holds_and_spares_work():
     assert (np.abs(units @ units.T - about) <= bound + 1e-12).all() and bound.max() < 0.02
 
 
+@pytest.mark.parametrize("width", [64, 1040, 1041, 4096])
+@pytest.mark.parametrize("above", [0.0, 2e-8])
+def test_wide_vectors_at_the_threshold(width, above):
+    """Vectors of +1 and -1 have int8 values of 127 each, the largest sums there are. All pairs have one
+    cosine; the threshold is that cosine, or a little above it."""
+    rnd = np.random.default_rng(width)
+    apart = max(1, width // 40)
+    cosine = (width - 2 * apart) / width
+    base = rnd.choice([-1.0, 1.0], (100, width))
+    other = base.copy()
+    for i, row in enumerate(other):
+        row[rnd.choice(width, apart, replace=False)] *= -1
+        row *= 1 + i / 7
+    one, two = (E.Tile(np.arange(100), np.ones(100, np.int64), E._unit(v)) for v in (base, other))
+    links = np.concatenate([found for _, found in one.links(two, cosine + (above or -1e-12))])
+    want = np.eye(100, dtype=bool) & (above == 0)
+    assert (links == want).all()
+
+
+@pytest.mark.parametrize("centre", [0, 10**6])
+def test_a_hub_is_spread_over_tasks(spark, centre):
+    """A star whose centre has the smallest or the largest id: no task meets more than a share of its links."""
+    from yearweave.llm import graph
+
+    edges = spark.range(1, 4001).select(F.lit(centre).cast("long").alias("a"), F.col("id").alias("b"))
+    got = graph.components(edges, "a", "b").collect()
+    assert len(got) == 4001 and {r.component for r in got} == {min(centre, 1)}
+    links = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("-1", "false", "64"), strict=True):
+            spark.conf.set(k, v)
+        sizes = graph._with_minimum(links).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 4000 / 6
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_no_rows(spark):
     assert E.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

@@ -2,9 +2,10 @@
 
 Vectors are scaled to length one in double precision and quantised to int8: u = s * q + e. The
 length of the rest e is known exactly, so |u.v - s_u s_v q_u.q_v| <= |u||e_v| + |e_u||v| + |e_u||e_v|
-is a rigorous bound for each pair. A tile product of the quantised vectors (exact in single precision:
-all sums are below 2^24) leaves only the pairs that may reach the threshold; of these, pairs that may
-also miss it are computed again in double precision. So no link is lost and none is wrong.
+is a rigorous bound for each pair. A tile product of the quantised vectors leaves only the pairs that may
+reach the threshold; of these, pairs that may also miss it are computed again in double precision. So
+no link is lost and none is wrong. The product is exact at any width: it is summed in single precision over
+EXACT components at a time, where all sums are below 2^24, and these sums are added in double precision.
 
 Equal vectors are one node with a weight. Nodes are dealt to cells around up to PIVOTS vectors, cells are
 cut into tiles of about TILE nodes, and a pair of tiles is multiplied unless the angles prove that it
@@ -32,6 +33,8 @@ from yearweave.session import stage
 THRESHOLD = 0.95
 TILE = 4096
 PIVOTS = 256
+#: Components whose products of int8 values sum to less than 2^24: 127 * 127 * EXACT.
+EXACT = 1024
 #: Rows of a tile multiplied at a time; bounds memory only.
 STRIP = 512
 #: Room for rounding in sums of a few thousand doubles; pairs this close are computed again.
@@ -58,9 +61,13 @@ class Tile:
     def links(self, other: "Tile", threshold: float) -> Iterator[tuple[int, np.ndarray]]:
         """(first row, matrix of links) for strips of this tile against all of the other."""
         theirs = other.q.astype(np.float32).T
+        width = len(theirs)
         for at in range(0, len(self.ids), STRIP):
             part = slice(at, at + STRIP)
-            product = self.q[part].astype(np.float32) @ theirs
+            ours = self.q[part].astype(np.float32)
+            product = np.zeros((len(ours), len(other.ids)))
+            for c in range(0, width, EXACT):
+                product += ours[:, c : c + EXACT] @ theirs[c : c + EXACT]
             about = product * self.scale[part, None] * other.scale
             size, rest = self.size[part, None], self.rest[part, None]
             bound = size * other.rest + rest * other.size + rest * other.rest + SLACK

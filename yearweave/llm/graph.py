@@ -12,16 +12,14 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 #: Partitions that a node's links are dealt to, by their other end.
-SALTS = 8
+SALTS = 32
 
 
-def _with_minimum(links: DataFrame, salts: int) -> DataFrame:
+def _with_minimum(links: DataFrame) -> DataFrame:
     """(u, v, m): each link with the smallest v of its u."""
     low = links.groupBy("u").agg(F.min("v").alias("m"))
-    if salts == 1:
-        return links.join(low, "u")
-    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     return dealt.join(low, ["u", "salt"]).drop("salt")
 
 
@@ -44,10 +42,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = _fingerprint(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_minimum(both, SALTS).where(F.col("v") > F.col("u"))
+        large = _with_minimum(both).where(F.col("v") > F.col("u"))
         large = large.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        # a hub is the smallest of its links by now, so it is a v here and no u has many links
-        small = _with_minimum(large, 1).select(
+        # a hub with the largest id is the u of all its links here, so this side is dealt out too
+        small = _with_minimum(large).select(
             F.explode(
                 F.array(
                     F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
