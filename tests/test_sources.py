@@ -1,7 +1,9 @@
 import pytest
 
 from yearweave.errors import ContractFailure, SourceFailure
-from yearweave.sources.contract_files import read_contract, reuse_or_build, write_contract
+from yearweave.sources import contract_files
+from yearweave.sources.contract_files import read_contract, read_unmatched, reuse_or_build, write_contract
+from yearweave.sources.publication import publish, published
 from yearweave.sources.load import Axis, SourceSpec, load_sources, load_violations
 from yearweave.sources.sinks import register, write_csv, write_parquet
 from yearweave.sources.wide_csv import ragged_rows, read_wide_csv
@@ -112,7 +114,7 @@ def test_contract_round_trip_and_reuse(spark, tmp_path, fmt):
 
     def build():
         built.append(1)
-        return contract(spark)
+        return contract(spark), {}
 
     for _ in range(2):
         got = reuse_or_build(spark, path, ["data_y"], build, fmt=fmt)
@@ -121,8 +123,55 @@ def test_contract_round_trip_and_reuse(spark, tmp_path, fmt):
             ("B, C", None, None, None),
         ]
     assert built == [1]
-    unmatched = spark.read.options(header=True).format(fmt).load(f"{path}/unmatched").collect()
-    assert [r.data_y for r in unmatched] == ["z"]
+    assert [r.data_y for r in read_unmatched(spark, path, ["data_y"], fmt=fmt).collect()] == ["z"]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_labels_come_back_unchanged(spark, tmp_path, fmt):
+    labels = ["a\nb", " lead", "tail ", 'q"uo"te', '"', ",", "\t", "a\\", "", "é😀", "x,\n\"y\" "]
+    rows = [(f"{t}!", t, "fuzzy", 0.95) for t in labels]
+    schema = "data_x string, data_y string, data_y_match_type string, data_y_confidence double"
+    write_contract(spark.createDataFrame(rows, schema), str(tmp_path / "m"), fmt=fmt)
+    got = read_contract(spark, str(tmp_path / "m"), ["data_y"], fmt=fmt).collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_a_stopped_publication_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "m")
+
+    def stop(folder):
+        raise RuntimeError("stopped")
+
+    def write(value):
+        return lambda folder: spark.createDataFrame([(value,)], "v int").write.parquet(folder)
+
+    with pytest.raises(RuntimeError):
+        publish(spark, path, {"one": write(1), "two": stop})
+    assert published(spark, path) == {}
+    publish(spark, path, {"one": write(1), "two": write(2)})
+    before = published(spark, path)
+    with pytest.raises(RuntimeError):
+        publish(spark, path, {"one": write(7), "two": stop, "three": write(8)})
+    assert published(spark, path) == before and set(before) == {"one", "two"}
+    assert [spark.read.parquet(before[name]).first().v for name in ("one", "two")] == [1, 2]
+    publish(spark, path, {"one": write(3)})
+    assert set(published(spark, path)) == {"one"} and spark.read.parquet(published(spark, path)["one"]).first().v == 3
+
+
+def test_a_half_written_contract_is_built_again(spark, tmp_path, monkeypatch):
+    path, real = str(tmp_path / "m"), contract_files.publish
+
+    def half(spark, path, tables):
+        return real(spark, path, {**tables, "unmatched": lambda folder: 1 / 0})
+
+    monkeypatch.setattr(contract_files, "publish", half)
+    with pytest.raises(ZeroDivisionError):
+        reuse_or_build(spark, path, ["data_y"], lambda: (contract(spark), {}))
+    monkeypatch.setattr(contract_files, "publish", real)
+    built = []
+    for _ in range(2):
+        reuse_or_build(spark, path, ["data_y"], lambda: built.append(1) or (contract(spark), {}))
+    assert built == [1] and set(published(spark, path)) == {"matched", "unmatched"}
 
 
 def test_contract_columns_and_order_are_checked(spark, tmp_path):
@@ -171,8 +220,8 @@ def test_line_breaks_inside_quotes(spark, write):
 def test_several_files(spark, tmp_path):
     for name, text in (("1", "country,2000,2001,2002,pos\nA,1,2,3,2\n"), ("2", "country,2000,2001,2002,pos\nB,1,2,3,1\n")):
         (tmp_path / f"{name}.csv").write_text(text)
-    with pytest.raises(SourceFailure):
-        load_sources(spark, [SourceSpec("s", str(tmp_path))], AXIS)
+    rows = load_sources(spark, [SourceSpec("s", str(tmp_path))], AXIS).sources["s"].entities().orderBy("ord").collect()
+    assert [tuple(r) for r in rows] == [("A", 0), ("B", 1)]
     spec = SourceSpec("s", str(tmp_path), order_by="pos")
     rows = load_sources(spark, [spec], AXIS).sources["s"].entities().orderBy("ord").collect()
     assert [r.label for r in rows] == ["B", "A"]
@@ -182,6 +231,29 @@ def test_several_files(spark, tmp_path):
     assert e.value.reason == "read_failure"
 
 
+def test_rows_of_files_are_numbered_in_the_order_of_their_names(spark, tmp_path):
+    """Files of different sizes, cut into several splits, in tasks that read them in another order."""
+    labels, setting = [], "spark.sql.files.maxPartitionBytes"
+    for name, n in (("a", 3), ("b", 900), ("c", 1), ("d", 400)):
+        mine = [f"{name}{i}" for i in range(n)]
+        (tmp_path / f"{name}.csv").write_text("country,2000,2001,2002\n" + "".join(f"{t},1,2,3\n" for t in mine))
+        labels += mine
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, "1500b")
+    try:
+        source = load_sources(spark, [SourceSpec("s", str(tmp_path))], AXIS).sources["s"]
+        rows = source.entities().orderBy("ord").collect()
+    finally:
+        spark.conf.set(setting, old)
+    assert [tuple(r) for r in rows] == [(t, i) for i, t in enumerate(labels)]
+
+
+@pytest.mark.parametrize("field", ["x" * 1_000_000, 'a""b' * 50_000, "y," * 100_000])
+def test_a_long_quoted_field_in_a_row_that_does_not_fit(spark, write, field):
+    path = write("long.csv", f'country,2000,2001,2002\n"{field}",1,2,3,4\n"{field}",1\nB,1,2,3\n')
+    assert ragged_rows(read_wide_csv(spark, path)).count() == 1
+
+
 def test_all_violations_of_a_load_are_a_table(spark, write):
     path = write("v.csv", "country,2000,2001,2002\nA,1,2X,3\nA,1,2,3Y1\nB,1,2,3\nB,1X,2,3,\n,1,2,3\n")
     rows = load_violations(spark, [SourceSpec("s", path), SourceSpec("none")], AXIS).collect()

@@ -22,6 +22,7 @@ def split_join(
     hot: int = HOT,
     least: int = LEAST,
     splits: int = SPLITS,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Inner or left join on equal `keys`, for a left side of any distribution.
 
@@ -30,8 +31,9 @@ def split_join(
     unless given; rows equal in all of them stay together), and the right side's rows of these keys,
     only these, repeated for each. The list of hot keys, at most `hot` hashes whatever the data, is what
     is broadcast. Rows with a null key match nothing: they are left out of an inner join, and go
-    past the join of a left one. Other columns of the two sides must have different names. The left
-    side is read twice, so it should be a table or cheap to compute.
+    past the join of a left one. Other columns of the two sides must have different names. The keys
+    are counted in `measured`, a table of the same keys, or in the left side itself, which is then read
+    twice and should be a table or cheap to compute.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how}")
@@ -42,8 +44,9 @@ def split_join(
     spread = list(spread) if spread else left.columns
     present = left.where(known)
     hashed = F.xxhash64(*keys)
+    counted = present if measured is None else measured.where(known)
     busy = (
-        present.groupBy(hashed.alias("_hash"))
+        counted.groupBy(hashed.alias("_hash"))
         .agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") >= least)
         .orderBy(F.desc("_rows"), "_hash")

@@ -10,10 +10,12 @@ from yearweave.errors import NonPositiveFailure, ParameterFailure
 from yearweave.functions.magnitude import SI_FACTORS
 from yearweave.operators.assemble import assemble
 from yearweave.operators.contract import build_matches
+from yearweave.operators.frame_chunks import compact_frames
 from yearweave.operators.metrics import frames, short_axis_values, year_metrics
-from yearweave.sources.contract_files import reuse_or_build
+from yearweave.sources.contract_files import missing, read_unmatched, reuse_or_build
 from yearweave.session import shared_dir, stage
 from yearweave.sources.load import Axis, Loaded, SourceSpec, load_sources, load_violations
+from yearweave.sources.publication import publish, published
 from yearweave.sources.sinks import write_parquet
 
 # The allowed range of the minimum number of points per axis value.
@@ -28,6 +30,7 @@ class Build:
     report: DataFrame
     loaded: Loaded
     violations: DataFrame
+    unmatched: DataFrame
 
 
 CONFLICTS = "source string, x_label string, label string, match_type string, confidence double, winner string"
@@ -64,17 +67,18 @@ def build_core_table(
         raise NonPositiveFailure(f"{x.n_non_positive} values of '{x_spec.label}' are <= 0")
     path = contract_path or shared_dir(spark)
 
-    def match() -> DataFrame:
+    def match() -> tuple[DataFrame, dict[str, DataFrame]]:
         labels = {label: s and s.entities() for label, s in others.items()}
         found = build_matches(x.entities(), labels, on_conflict, x_spec.label)
-        found.conflicts.write.mode("overwrite").parquet(f"{path}/conflicts")
-        return found.contract
+        return found.contract, {"conflicts": found.conflicts}
 
     contract = reuse_or_build(spark, path, list(others), match, x_spec.label, contract_format)
+    unmatched = read_unmatched(spark, path, list(others), x_spec.label, contract_format)
     try:
-        conflicts = spark.read.schema(CONFLICTS).parquet(f"{path}/conflicts")
+        folder = published(spark, path).get("conflicts", f"{path}/conflicts")
+        conflicts = spark.read.schema(CONFLICTS).parquet(folder)
     except AnalysisException as e:  # a contract from elsewhere
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if not missing(e):
             raise
         conflicts = spark.createDataFrame([], CONFLICTS)
     core = assemble(
@@ -87,16 +91,20 @@ def build_core_table(
         x_spec.label,
     )
     violations = load_violations(spark, specs, axis, default_factors)
-    return Build(core, contract, conflicts, loaded.report(spark), loaded, violations)
+    return Build(core, contract, conflicts, loaded.report(spark), loaded, violations, unmatched)
 
 
 @dataclass(frozen=True)
 class Results:
     """The tables of a run, each read back from its file."""
 
+    matched: DataFrame
+    unmatched: DataFrame
+    conflicts: DataFrame
     core: DataFrame
     metrics: DataFrame
     frames: DataFrame
+    frame_chunks: DataFrame
     report: DataFrame
 
 
@@ -114,7 +122,8 @@ def missing_report(core: DataFrame, optional: list[str], axis: Axis) -> DataFram
 
 
 def run_all(run: Build, axis: Axis, path: str, min_points: int = 5, x: str = "data_x", y: str = "data_y") -> Results:
-    """Writes core, metrics, frames and one report below `path` and reads them back.
+    """Publishes the contract, core, metrics, frames and one report below `path` and reads them back.
+    They appear together, after the last of them is written (see `published`).
 
     The report has a row per warning: sources that were not loaded, violations of loaded data,
     entities and axis values that optional sources miss, and axis values with too few points.
@@ -129,9 +138,20 @@ def run_all(run: Build, axis: Axis, path: str, min_points: int = 5, x: str = "da
         rows = rows.unionAll(missing_report(core, optional, axis))
     short = short_axis_values(metrics, axis.name)
     rows = rows.unionAll(short.select(F.lit(y), F.lit("too_few_points"), F.col(axis.name).cast("string"), "n"))
-    write_parquet(core, f"{path}/core", axis.name, axis.entity)
-    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
-    write_parquet(frames(core, metrics, axis.name), f"{path}/frames", axis.name, axis.entity)
-    rows.write.mode("overwrite").parquet(f"{path}/report")
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("core", "metrics", "frames", "report")}
-    return Results(**tables)
+    framed = frames(core, metrics, axis.name)
+    chunks = compact_frames(core, metrics, axis.name, axis.entity, x, y)
+    folders = publish(
+        spark,
+        path,
+        {
+            "matched": lambda folder: run.contract.write.parquet(folder),
+            "unmatched": lambda folder: run.unmatched.write.parquet(folder),
+            "conflicts": lambda folder: run.conflicts.write.parquet(folder),
+            "core": lambda folder: write_parquet(core, folder, axis.name, axis.entity),
+            "metrics": lambda folder: metrics.write.parquet(folder),
+            "frames": lambda folder: write_parquet(framed, folder, axis.name, axis.entity),
+            "frame_chunks": lambda folder: chunks.write.parquet(folder),
+            "report": lambda folder: rows.write.parquet(folder),
+        },
+    )
+    return Results(**{name: spark.read.parquet(folder) for name, folder in folders.items()})

@@ -88,7 +88,10 @@ FROM cents"""
 ORACLES["csv_many_files"] = """
 SELECT DISTINCT 'Customer, ' || o_custkey AS label, CAST(o_custkey AS BIGINT) AS ord,
        CAST(NULL AS VARCHAR) AS reason FROM orders
-UNION ALL SELECT 'other_header', NULL, 'read_failure' UNION ALL SELECT 'no_order', NULL, 'read_failure'"""
+UNION ALL SELECT 'other_header', NULL, 'read_failure' UNION ALL SELECT 'other_header_no_order', NULL, 'read_failure'"""
+ORACLES["csv_file_order"] = """
+SELECT 'Customer,' || chr(10) || o_custkey AS label, row_number() OVER (ORDER BY o_custkey) - 1 AS ord
+FROM (SELECT DISTINCT o_custkey FROM orders)"""
 ORACLES["csv_ragged_rows"] = """
 SELECT 'Customer, ' || o_custkey AS country FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey"""
 
@@ -276,6 +279,8 @@ ORACLES["matches_contract"] = f"WITH {contract(LAST)} SELECT * FROM contract"
 ORACLES["matches_best"] = f"WITH {contract(BEST)} SELECT * FROM contract"
 ORACLES["matched_split"] = f"WITH {contract(LAST)} SELECT * FROM contract WHERE data_x IS NOT NULL"
 ORACLES["contract_roundtrip"] = ORACLES["matched_split"]
+ORACLES["contract_labels_roundtrip"] = f"""WITH {contract(LAST)}
+SELECT * REPLACE (' ' || data_x AS data_x, data_y || chr(10) || '"a", \\ ' AS data_y) FROM contract"""
 ORACLES["unmatched_split"] = f"WITH {contract(LAST)} SELECT * FROM contract WHERE data_x IS NULL"
 ORACLES["matches_conflicts"] = f"""WITH {contract(LAST)}
 SELECT 'data_y' AS source, c.x_label, c.label, c.match_type, c.confidence, w.label AS winner

@@ -1,4 +1,8 @@
-"""The contract on shared storage: two tables, `matched` and `unmatched`, that people may edit."""
+"""The contract on shared storage: two tables, `matched` and `unmatched`, that people may edit.
+
+They are published together (see `publication`), with whatever else belongs to them. A folder without
+a manifest that holds `matched`, such as one made by hand, is a contract too.
+"""
 
 from collections.abc import Callable
 
@@ -11,21 +15,44 @@ from yearweave.operators.contract import (
     matched_rows,
     unmatched_rows,
 )
+from yearweave.sources.publication import publish, published
+from yearweave.sources.sinks import TEXT
 
 FORMATS = ("parquet", "csv")
 
 
 def write_contract(
-    contract: DataFrame, path: str, x_label: str = "data_x", fmt: str = "parquet"
+    contract: DataFrame,
+    path: str,
+    x_label: str = "data_x",
+    fmt: str = "parquet",
+    more: dict[str, DataFrame] | None = None,
 ) -> None:
-    for name, rows in (
-        ("matched", matched_rows(contract, x_label)),
-        ("unmatched", unmatched_rows(contract, x_label)),
-    ):
-        writer = rows.write.mode("overwrite").format(fmt)
-        if fmt == "csv":
-            writer = writer.options(header=True, escape='"')
-        writer.save(f"{path}/{name}")
+    """Publish both tables, and `more` ones (always Parquet) beside them. Labels keep their blanks, quotes
+    and line breaks in either format."""
+
+    def writer(rows: DataFrame, fmt: str) -> Callable[[str], None]:
+        options = TEXT if fmt == "csv" else {}
+        return lambda folder: rows.write.format(fmt).options(**options).save(folder)
+
+    tables = {
+        "matched": writer(matched_rows(contract, x_label), fmt),
+        "unmatched": writer(unmatched_rows(contract, x_label), fmt),
+    }
+    tables |= {name: writer(rows, "parquet") for name, rows in (more or {}).items()}
+    publish(contract.sparkSession, path, tables)
+
+
+def _read(spark: SparkSession, folder: str, others: list[str], x_label: str, fmt: str) -> DataFrame:
+    if fmt == "csv":
+        # a value between quotes is text, an empty one too; only a field without a character is null
+        options = {**TEXT, "multiLine": True, "nullValue": "\x01"}
+        check_contract(spark.read.options(**options).csv(folder).columns, x_label, others)
+        schema = contract_schema(x_label, others)
+        return spark.read.options(**options).schema(schema).csv(folder)
+    found = spark.read.format(fmt).load(folder)
+    check_contract(found.columns, x_label, others)
+    return found
 
 
 def read_contract(
@@ -34,35 +61,47 @@ def read_contract(
     others: list[str],
     x_label: str = "data_x",
     fmt: str = "parquet",
+    name: str = "matched",
 ) -> DataFrame:
-    """The matched table only; its column names and their order must be the contract's."""
-    matched = f"{path}/matched"
-    if fmt == "csv":
-        options = {"header": True, "escape": '"'}
-        check_contract(spark.read.options(**options).csv(matched).columns, x_label, others)
-        schema = contract_schema(x_label, others)
-        return spark.read.options(**options).schema(schema).csv(matched)
-    found = spark.read.format(fmt).load(matched)
-    check_contract(found.columns, x_label, others)
-    return found
+    """The matched table (or another by `name`); its column names and their order must be the contract's."""
+    folder = published(spark, path).get(name, f"{path}/{name}")
+    return _read(spark, folder, others, x_label, fmt)
+
+
+def missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
+def read_unmatched(
+    spark: SparkSession, path: str, others: list[str], x_label: str = "data_x", fmt: str = "parquet"
+) -> DataFrame:
+    """The unmatched table; no rows where a contract made by hand has none."""
+    try:
+        return read_contract(spark, path, others, x_label, fmt, "unmatched")
+    except AnalysisException as e:
+        if not missing(e):
+            raise
+        return spark.createDataFrame([], contract_schema(x_label, others))
 
 
 def reuse_or_build(
     spark: SparkSession,
     path: str,
     others: list[str],
-    build: Callable[[], DataFrame],
+    build: Callable[[], tuple[DataFrame, dict[str, DataFrame]]],
     x_label: str = "data_x",
     fmt: str = "parquet",
 ) -> DataFrame:
-    """The contract at `path` as it is if there is one, else the built one, written first.
+    """The contract at `path` as it is if there is one, else the built one, published first with the tables
+    that belong to it. One whose writing stopped was never published, so it is built again.
 
     Either way the rows come from the files: they are the contract.
     """
     try:
         return read_contract(spark, path, others, x_label, fmt)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if not missing(e):
             raise
-    write_contract(build(), path, x_label, fmt)
+    contract, more = build()
+    write_contract(contract, path, x_label, fmt, more)
     return read_contract(spark, path, others, x_label, fmt)

@@ -2,6 +2,10 @@
 
 from pyspark.sql import DataFrame
 
+#: CSV options under which any text comes back unchanged: blanks at its ends, quotes, line breaks
+#: (the latter read with multiLine).
+TEXT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def register(df: DataFrame, label: str, persist: bool = False) -> None:
     """Replace a temporary view, or a table in the session's catalog."""
@@ -21,4 +25,4 @@ def write_parquet(df: DataFrame, path: str, axis: str, entity: str) -> None:
 def write_csv(df: DataFrame, path: str, axis: str, entity: str) -> None:
     """Totally ordered by entity and axis, in part files whose names follow that order."""
     ordered = df.orderBy(entity, axis)
-    ordered.write.mode("overwrite").options(header=True, escape='"').csv(path)
+    ordered.write.mode("overwrite").options(**TEXT).csv(path)

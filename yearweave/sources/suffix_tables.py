@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from yearweave.errors import SuffixTableFailure
 from yearweave.functions.magnitude import number_part, suffix_part
+from yearweave.operators.skew import split_join
+from yearweave.session import stage
 
 
 def suffix_problems(table: DataFrame) -> DataFrame:
@@ -15,7 +17,8 @@ def suffix_problems(table: DataFrame) -> DataFrame:
 
 def magnitudes(cells: DataFrame, table: DataFrame, text: str = "text", default: str = "default") -> DataFrame:
     """`cells` (with columns source and `text`) and `value`, `unknown_suffix`, by joining the suffix
-    table, whatever its size. A source's own table, where it has one, replaces the default.
+    table, whatever its size. A source's own table, where it has one, replaces the default. Symbols that
+    most cells have are split over tasks, and cells without one go past the joins.
 
     Symbols that read as a double (`NaN`) count as that double.
     """
@@ -23,9 +26,10 @@ def magnitudes(cells: DataFrame, table: DataFrame, text: str = "text", default:
     own = rows.withColumnRenamed("factor", "_own")
     owners = rows.select("source", F.lit(True).alias("_has_own")).distinct()
     shared = rows.where(F.col("source") == default).select("symbol", F.col("factor").alias("_shared"))
-    out = cells.withColumn("symbol", suffix_part(F.col(text)))
-    out = out.join(own, ["source", "symbol"], "left").join(owners, "source", "left")
-    out = out.join(shared, "symbol", "left")
+    # read by the joins and by the counts of their keys
+    out = kept = stage(cells.withColumn("symbol", suffix_part(F.col(text))))
+    for table_of, keys in ((own, ["source", "symbol"]), (owners, ["source"]), (shared, ["symbol"])):
+        out = split_join(out, table_of, keys, "left", cells.columns, measured=kept)
     factor = F.when(F.col("_has_own"), F.col("_own")).otherwise(F.col("_shared"))
     factor = F.coalesce(factor, F.col("symbol").try_cast("double"))
     bare = F.col("symbol").isNull()
