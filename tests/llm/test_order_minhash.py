@@ -163,6 +163,23 @@ def test_a_null_id_joins_a_class_but_does_not_name_it(spark):
     assert got == {(None, 5, False), (5, 5, True), (9, 5, False)}
 
 
+def test_texts_that_share_an_id_stay_apart(spark):
+    rnd = random.Random(3)
+    one, two = ([f"w{rnd.randrange(9000)}" for _ in range(60)] for _ in range(2))
+    a, b, near = " ".join(one), " ".join(two), " ".join([*two, "more"])
+    df = spark.createDataFrame(
+        [(1, a), (1, b), (2, near), (1, b), (3, a.upper()), (4, near)], "doc_id long, text string"
+    )
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in O.classes(df).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 1, False)]
+    assert sorted(r.text for r in O.deduplicate(df).collect()) == sorted([a, b])
+    # two near texts of one id are one class, and one of them stays
+    df = spark.createDataFrame([(1, b), (1, near), (5, b)], "doc_id long, text string")
+    got = O.classes(df).collect()
+    assert {r.class_id for r in got} == {1} and sum(r.kept for r in got) == 1
+    assert O.deduplicate(df).count() == 1
+
+
 def test_the_registered_query(spark, sf_dir):
     got = O.op10_order_minhash(spark, sf_dir)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]

@@ -26,8 +26,10 @@ are spread evenly are mostly missed.
 
 Results for odd input: texts without a word (null, empty) are linked with nothing. A null doc_id is
 judged as a text, but cannot name a class: the class is the smallest id among its other members, or
-null. Repeated rows get the same class; an id shared by different texts makes them one class. `kept`
-is true for the rows whose doc_id is the class, and for rows without a class.
+null. Repeated rows get the same class. Different texts that share an id are judged as what they are:
+nodes are texts, not ids, so their classes stay apart even where both bear the name of that id. `kept`
+is true for one text of each class, that of the smallest id (of several with this id, the one of the
+smallest digest), on each row that repeats it under this id; and for rows without a class.
 """
 
 from collections.abc import Iterator
@@ -37,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from yearweave.llm.graph import components
 from yearweave.llm.words import FOLDED, U64, Words, as_bytes, groups, mix, rolling
@@ -94,6 +97,12 @@ def sketches(grams: np.ndarray, count: int = SKETCHES) -> np.ndarray:
     return keys
 
 
+def _digest(text: bytes) -> bytes | None:
+    """Of the words; None without any."""
+    words = text.translate(FOLDED).split()
+    return blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch[0].to_pylist()
@@ -108,9 +117,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     for name in ("digest", "n", "keys"):
                         out[name].append(None)
                     continue
-                plain = b" ".join(text.translate(FOLDED).split())
                 grams = shingles(hashes[words.first[i] : words.first[i] + n])
-                out["digest"].append(blake2b(plain, digest_size=16).digest())
+                out["digest"].append(_digest(text))
                 out["n"].append(len(grams))
                 out["keys"].append(sketches(grams).view(np.int64))
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
@@ -124,8 +132,8 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             words = Words(texts, FOLDED)
             hashes = words.hashes().astype(np.uint32)
             each = [hashes[at : at + n].tobytes() for at, n in zip(words.first, words.counts, strict=True)]
-            ids = batch[0].slice(first, len(texts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(each, pa.binary())], names=["node", "words"])
+            columns = [pa.array([_digest(x) for x in texts], pa.binary()), pa.array(each, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "words"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -269,10 +277,11 @@ def _link(table: pa.Table) -> pa.Table:
 def _found(members: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of all linked nodes. Only texts of members are read again."""
     # a sort-merge join at every size: no list of ids is ever sent to all tasks
-    wanted = members.select(F.col("node").alias("member")).hint("merge")
-    texts = docs.join(wanted, F.col("doc_id") == F.col("member"), "left_semi").dropDuplicates(["doc_id"])
-    words = texts.mapInArrow(_word_batches, "node bigint, words binary")
-    rows = words.join(members, "node").select(
+    wanted = members.select(F.col("doc_id").alias("member")).distinct().hint("merge")
+    texts = docs.join(wanted, F.col("doc_id") == F.col("member"), "left_semi").select("doc_id", "text")
+    # the id of a text may be that of other texts too, and of more rows with the same text
+    words = texts.mapInArrow(_word_batches, "digest binary, words binary").dropDuplicates(["digest"])
+    rows = words.join(members, "digest").select(
         "node", F.col("component").alias("family"), "words", (F.octet_length("words") / 4).alias("n")
     )
     rows = stage(rows)
@@ -301,36 +310,55 @@ def _found(members: DataFrame, docs: DataFrame) -> DataFrame:
     return classes_of.unionByName(components(links.where("not whole"), "a", "b"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, kept), a row per row of `docs` (needs doc_id and text)."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, class_id, kept), a row per row of `docs` (needs doc_id and text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stage(
         docs.mapInArrow(_sketch_batches, "doc_id bigint, digest binary, n int, keys array<bigint>")
     )
     named = rows.where("digest is not null and doc_id is not null").groupBy("digest")
-    nodes = stage(
-        named.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    )
+    texts = named.agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    # numbers are told once and read from the written table from then on
+    nodes = stage(texts.withColumn("node", F.monotonically_increasing_id()))
     places = nodes.select("node", F.explode("keys").alias("key"))
     shared = places.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size"))
     met = places.join(shared.where("size > 1"), "key")
-    members = components(met, "node", "low")
+    members = components(met, "node", "low").join(nodes.select("node", "digest", "doc_id"), "node")
     found = _found(members, docs)
-    owner = nodes.join(found, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("class_id")
-    )
+    group = F.coalesce("component", "node")
+    grouped = nodes.join(found, "node", "left").select("digest", "doc_id", group.alias("group"))
+    first = F.min(F.struct("doc_id", "digest")).alias("first")
+    owner = grouped.join(grouped.groupBy("group").agg(first), "group").select("digest", "first")
     out = rows.select("doc_id", "digest").join(owner, "digest", "left")
-    alone = F.col("digest").isNull()
-    out = out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-    return out.withColumn("kept", F.col("class_id").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id")))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    return out.select(
+        "doc_id",
+        "digest",
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        (F.col("first").isNull() | is_first).alias("kept"),
+    )
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, kept), a row per row of `docs` (needs doc_id and text)."""
+    return _classes(docs).drop("digest")
+
+
+@F.arrow_udf(T.BinaryType())
+def _digests(texts: pa.Array) -> pa.Array:
+    return pa.array([_digest(x) for x in as_bytes(texts)], pa.binary())
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each class. Rows without a doc_id stay, since no class can name them."""
-    kept = classes(docs).where("kept and doc_id is not null")
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct().hint("merge")
-    ours = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
-    return ours.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each class, and one for each id of a text without a word. Rows without a doc_id
+    stay, since no class can name them."""
+    kept = _classes(docs).where("kept and doc_id is not null")
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    kept = kept.distinct().hint("merge")
+    ours = docs.where("doc_id is not null").withColumn("_digest", _digests("text"))
+    same = (F.col("doc_id").cast("long") == F.col("_kept_id")) & F.col("_digest").eqNullSafe(F.col("_kept_digest"))
+    ours = ours.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return ours.unionByName(docs.where("doc_id is null"))
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
