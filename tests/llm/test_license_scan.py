@@ -90,6 +90,25 @@ def test_contained_detections_go():
     assert len(L.survivors([(0, 20, 4, 1), (5, 10, 1, 2)])) == 2  # a more telling one inside stays
 
 
+def test_suppression_is_that_of_all_pairs():
+    rnd = random.Random(4)
+    for _ in range(300):
+        found = []
+        for _ in range(rnd.randint(0, 40)):
+            start = rnd.randrange(30)
+            found.append((start, start + rnd.randint(1, 12), rnd.randrange(3), rnd.randrange(5)))
+        best = sorted(found, key=lambda d: (d[2], d[0] - d[1], d[3], d[0]))
+        stays = [
+            one for i, one in enumerate(best) if not any(a <= one[0] and one[1] <= b for a, b, _, _ in best[:i])
+        ]
+        assert L.survivors(found) == stays
+
+
+def test_many_notices_in_one_text_take_linear_time():
+    found = [(20 * i, 20 * i + 19, i % 3, 1) for i in range(200_000)]
+    assert len(L.survivors(found)) == len(found)
+
+
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     rows = L.licenses(odd_docs).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted(

@@ -18,6 +18,7 @@ alone, so repeated rows and null ids change nothing; other columns are not read.
 """
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -390,11 +391,24 @@ class Scanner:
 
 def survivors(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Detections that no other holds with a higher priority, or with more text at the same one."""
+    starts = sorted({one[0] for one in found})
+    # a Fenwick tree: the furthest end of the better ones that start at or before a place
+    furthest = [0] * (len(starts) + 1)
     out: list[tuple[int, int, int, int]] = []
     # best first: whatever is suppressed is suppressed by one that stays
     for one in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[3], d[0])):
-        if not any(a <= one[0] and one[1] <= b for a, b, _, _ in out):
-            out.append(one)
+        start, end = one[:2]
+        at = place = bisect_right(starts, start)
+        reach = 0
+        while at:
+            reach = max(reach, furthest[at])
+            at &= at - 1
+        if end <= reach:
+            continue
+        out.append(one)
+        while place < len(furthest):
+            furthest[place] = max(furthest[place], end)
+            place += place & -place
     return out
 
 
