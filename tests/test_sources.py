@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from yearweave.errors import ContractFailure, SourceFailure
 from yearweave.sources import contract_files
@@ -264,3 +265,50 @@ def test_all_violations_of_a_load_are_a_table(spark, write):
         ("s", "longer_than_header", "B", 1),
         ("s", "unknown_suffix", "X", 2),
     }
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_all_sources_are_judged_by_one_query(spark):
+    axis = Axis("e", "year", 2000, 2001)
+    bodies = {
+        "good": [("a", "1k", "2", 0), ("b", "3", "-4", 1)],
+        "twice": [("a", "1", "2", 0), ("a", "1", "2", 1), ("c", "1", "2", 2), ("c", "1", "2", 3), (None, "1", "2", 4)],
+        "odd": [("a", "1z", "2", 0)],
+        "empty": [],
+    }
+    schema = "e string, `2000` string, `2001` string, pos long"
+    tables = {k: spark.createDataFrame(v, schema) for k, v in bodies.items()}
+    specs = [SourceSpec(k, table=t, mandatory=False, order_by="pos") for k, t in tables.items()]
+    specs.insert(2, SourceSpec("absent", "/no/such/file.csv", mandatory=False))
+    with pytest.warns(UserWarning):
+        loaded, four = jobs_of(spark, "four", lambda: load_sources(spark, specs, axis))
+    _, one = jobs_of(spark, "one", lambda: load_sources(spark, specs[:1], axis))
+    assert four == one
+    assert [(r[0], r[3]) for r in loaded.rows] == [
+        ("good", None),
+        ("twice", "duplicate_or_null_keys"),
+        ("absent", "file_not_found"),
+        ("odd", "unknown_suffix"),
+        ("empty", None),
+    ]
+    assert loaded.rows[1][4] == "2 repeated values, 1 null values; 'c' appears 2 times"
+    assert loaded.sources["good"].n_non_positive == 1 and loaded.sources["empty"].n_non_positive == 0
+
+
+def test_a_source_that_breaks_while_it_is_read_does_not_blame_the_others(spark):
+    axis = Axis("e", "year", 2000, 2001)
+    good = spark.createDataFrame([("a", "1", "2", 0)], "e string, `2000` string, `2001` string, pos long")
+    broken = good.withColumn("2001", F.when(F.col("pos") >= 0, F.raise_error(F.lit("no such block"))))
+    tables = [good, good, broken, good, good]
+    specs = [SourceSpec(f"s{i}", table=t, mandatory=False, order_by="pos") for i, t in enumerate(tables)]
+    with pytest.warns(UserWarning, match="s2"):
+        loaded = load_sources(spark, specs, axis)
+    assert [r[3] for r in loaded.rows] == [None, None, "read_failure", None, None]

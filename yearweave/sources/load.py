@@ -1,12 +1,13 @@
 """Load several wide sources under a mandatory/optional policy.
 
 Every source is judged by its header and by one scan: ragged rows, key counts, unknown
-suffixes and non-positive values come out of a single aggregate, so a source is read once
-before it is used.
+suffixes and non-positive values of all sources come out of a single query, so a source is read
+once before it is used, and all are read side by side.
 """
 
 import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
@@ -104,20 +105,43 @@ def open_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     return read_wide_csv(spark, spec.path, spec.profile, spec.multi_line, spec.order_by)
 
 
-def gate(df: DataFrame, entity: str, cols: list[str], factors: dict[str, float]) -> Row:
-    """All value checks of one source in one aggregate (one shuffle, on the entity)."""
-    cells = F.array(*[F.col(f"`{c}`") for c in cols]).cast("array<string>")
-    unknown = F.filter(cells, lambda c: unknown_symbol(c, factors).isNotNull())
-    low = F.filter(cells, lambda c: magnitude_value(c, factors) <= 0)
-    ragged = F.col(OVERFLOW).isNotNull() if OVERFLOW in df.columns else F.lit(False)
-    key = F.col(f"`{entity}`")
-    rows = df.select(
-        key.alias("key"),
-        unknown.alias("unknown"),
-        F.size(low).alias("n_low"),
-        ragged.alias("ragged"),
-    )
-    per_key = rows.groupBy("key").agg(
+@dataclass(frozen=True)
+class Opened:
+    """A source whose header is right and whose rows are not judged yet."""
+
+    spec: SourceSpec
+    df: DataFrame
+    columns: list[str]
+    factors: dict[str, float]
+
+    def rows(self, number: int, entity: str) -> DataFrame:
+        """What the gate has to know of each row, with the number of the source."""
+        cells = F.array(*[F.col(f"`{c}`") for c in self.columns]).cast("array<string>")
+        low = F.filter(cells, lambda c: magnitude_value(c, self.factors) <= 0)
+        ragged = F.col(OVERFLOW).isNotNull() if OVERFLOW in self.df.columns else F.lit(False)
+        return self.df.select(
+            F.lit(number).alias("source"),
+            F.col(f"`{entity}`").alias("key"),
+            F.filter(cells, lambda c: unknown_symbol(c, self.factors).isNotNull()).alias("unknown"),
+            F.size(low).alias("n_low"),
+            ragged.alias("ragged"),
+        )
+
+
+NOTHING = Row(n_repeated=0, repeated=None, repeats=None, n_null=0, n_unknown=0, unknown=None, n_low=0, n_ragged=0)
+
+
+def gate(sources: list[Opened], entity: str) -> list[Row]:
+    """All value checks of all sources in one query: one row of counts per source, in their order.
+
+    The rows of all sources, tagged with the number of theirs, are counted by (source, key), then by
+    source. Both counts are combined before they are shuffled, so a repeated or null key is one
+    row per task, and what is fetched is one row per source.
+    """
+    if not sources:
+        return []
+    tagged = [source.rows(number, entity) for number, source in enumerate(sources)]
+    per_key = reduce(DataFrame.unionAll, tagged).groupBy("source", "key").agg(
         F.count("*").alias("n"),
         F.sum(F.size("unknown")).alias("n_unknown"),
         F.max(F.try_element_at("unknown", F.lit(1))).alias("unknown"),
@@ -125,55 +149,82 @@ def gate(df: DataFrame, entity: str, cols: list[str], factors: dict[str, float])
         F.count_if("ragged").alias("n_ragged"),
     )
     repeated = (F.col("n") > 1) & F.col("key").isNotNull()
-    return per_key.agg(
+    seen = per_key.groupBy("source").agg(
         F.count_if(repeated).alias("n_repeated"),
-        F.max_by("key", F.when(repeated, F.col("n"))).alias("repeated"),
+        F.max_by("key", F.when(repeated, F.struct("n", "key"))).alias("repeated"),
         F.max(F.when(repeated, F.col("n"))).alias("repeats"),
         F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-        F.coalesce(F.sum("n_unknown"), F.lit(0)).alias("n_unknown"),
+        F.sum("n_unknown").alias("n_unknown"),
         F.max("unknown").alias("unknown"),
-        F.coalesce(F.sum("n_low"), F.lit(0)).alias("n_low"),
-        F.coalesce(F.sum("n_ragged"), F.lit(0)).alias("n_ragged"),
-    ).first()
+        F.sum("n_low").alias("n_low"),
+        F.sum("n_ragged").alias("n_ragged"),
+    )
+    found = {row["source"]: row for row in seen.collect()}
+    return [found.get(number, NOTHING) for number in range(len(sources))]
+
+
+#: What a source that cannot be read may raise, when it is opened or when its rows are read.
+FAULTS = (Py4JJavaError, PySparkException, ValueError)
+
 
+def fault(e: Exception) -> tuple[str, str]:
+    if isinstance(e, Py4JJavaError):  # such as a file with another header
+        return "read_failure", str(e.java_exception.getMessage()).split("\n")[0]
+    missing = isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND"
+    return "file_not_found" if missing else "read_failure", str(e).split("\n")[0]
 
-def judge(
+
+def open_checked(
     spark: SparkSession, spec: SourceSpec, axis: Axis, factors: dict[str, float]
-) -> tuple[Source | None, str, str]:
-    """(source, "", "") or (None, reason, detail), for the first check that fails."""
+) -> tuple[Opened | None, str, str]:
+    """(opened, "", "") or (None, reason, detail), judged by the header alone."""
     if spec.table is None and not spec.path.strip():
         return None, "no_path", "no path given"
     try:
         df = open_source(spark, spec)
-        if not df.columns[0] or df.columns[0] in (ORD, OVERFLOW):
-            return None, "read_failure", "the file has no header"
-        problem = first_column_problem(df.columns, axis.entity)
-        if problem:
-            return None, *problem
-        try:
-            cols = overlap_columns(df.columns, axis.start, axis.end)
-        except ValueError as clash:
-            return None, "axis_name_clash", str(clash)
-        seen = gate(df, axis.entity, cols, factors)
-    except AnalysisException as e:
-        missing = e.getCondition() == "PATH_NOT_FOUND"
-        return None, "file_not_found" if missing else "read_failure", str(e).split("\n")[0]
-    except Py4JJavaError as e:  # a file that cannot be read, such as one with another header
-        return None, "read_failure", str(e.java_exception.getMessage()).split("\n")[0]
-    except (PySparkException, ValueError) as e:
-        return None, "read_failure", str(e).split("\n")[0]
+    except FAULTS as e:
+        return None, *fault(e)
+    if not df.columns[0] or df.columns[0] in (ORD, OVERFLOW):
+        return None, "read_failure", "the file has no header"
+    problem = first_column_problem(df.columns, axis.entity)
+    if problem:
+        return None, *problem
+    try:
+        cols = overlap_columns(df.columns, axis.start, axis.end)
+    except ValueError as clash:
+        return None, "axis_name_clash", str(clash)
+    return Opened(spec, df, cols, factors), "", ""
+
+
+def gate_or_faults(sources: list[Opened], entity: str) -> list[Row | tuple[str, str]]:
+    """What the gate has seen of each source, or (reason, detail) for one whose rows cannot be read.
+
+    If the common query fails, halves are judged apart until the sources at fault are alone.
+    """
+    try:
+        return gate(sources, entity)
+    except FAULTS as e:
+        if len(sources) == 1:
+            return [fault(e)]
+    half = len(sources) // 2
+    return gate_or_faults(sources[:half], entity) + gate_or_faults(sources[half:], entity)
+
+
+def judge(opened: Opened, seen: Row, axis: Axis) -> tuple[Source | None, str, str]:
+    """(source, "", "") or (None, reason, detail), for the first check that fails."""
+    spec = opened.spec
     if seen.n_ragged:
         return None, "read_failure", f"{seen.n_ragged} rows are longer than the header"
     if seen.n_repeated or seen.n_null:
         first = f"; '{seen.repeated}' appears {seen.repeats} times" if seen.n_repeated else ""
         detail = f"{seen.n_repeated} repeated values, {seen.n_null} null values{first}"
         return None, "duplicate_or_null_keys", detail
-    problem = overlap_problem(df.columns, axis.start, axis.end, spec.mandatory)
+    problem = overlap_problem(opened.df.columns, axis.start, axis.end, spec.mandatory)
     if problem:
         return None, *problem
     if seen.n_unknown:
         return None, "unknown_suffix", f"{seen.n_unknown} cells, such as '{seen.unknown}'"
-    return Source(spec.label, df, axis, factors, seen.n_low), "", ""
+    return Source(spec.label, opened.df, axis, opened.factors, seen.n_low), "", ""
 
 
 VIOLATION_SCHEMA = "source string, reason string, value string, n bigint"
@@ -218,11 +269,21 @@ def load_sources(
     axis: Axis,
     default_factors: dict[str, float] = SI_FACTORS,
 ) -> Loaded:
-    """Judge each source. A mandatory one that fails raises; an optional one is dropped."""
+    """Judge all sources, their headers first and their rows in one query, and report in their order.
+
+    A mandatory one that fails raises; an optional one is dropped.
+    """
     out = Loaded()
+    tried = []
     for spec in specs:
         factors = spec.factors if spec.factors is not None else default_factors
-        source, reason, detail = judge(spark, spec, axis, factors)
+        tried.append((spec, *open_checked(spark, spec, axis, factors)))
+    seen = iter(gate_or_faults([opened for _, opened, _, _ in tried if opened], axis.entity))
+    for spec, opened, reason, detail in tried:
+        source = None
+        if opened:
+            found = next(seen)
+            source, reason, detail = judge(opened, found, axis) if isinstance(found, Row) else (None, *found)
         out.sources[spec.label] = source
         if source is not None:
             out.rows.append((spec.label, spec.mandatory, "loaded", None, None))
