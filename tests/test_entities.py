@@ -4,6 +4,7 @@ import pytest
 
 from yearweave.functions.similarity import label_score, ratio, ratios, score_pairs
 from yearweave.operators.contract import build_matches, contract_columns, matched_rows, unmatched_rows
+from yearweave.operators import signatures
 from yearweave.operators import similarity_join as join
 from yearweave.operators.similarity_join import similarity_join
 
@@ -206,3 +207,51 @@ def test_batch_scores_are_those_of_single_pairs():
     got = score_pairs([x for x, _ in pairs], [y for _, y in pairs])
     assert got.tolist() == [label_score(x, y) for x, y in pairs]
     assert sum(got > 0) > 500 and len(score_pairs([], [])) == 0
+
+
+def stored(spark, tmp_path, name, labels):
+    """A side as a file, whose size the planner knows."""
+    path = str(tmp_path / name)
+    side(spark, labels).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_no_side_is_broadcast(spark, tmp_path):
+    """A file of names is small, the rows made from it are not; what the driver holds must not grow with them."""
+    x = stored(spark, tmp_path, "x", [f"Customer#{i:09d}" for i in range(200)])
+    labels = stored(spark, tmp_path, "y", [f"Customer#{i:08d}" for i in range(200)])
+    equal, rest = join.equal_labels(labels, x)
+    for df in (equal, rest, join.close_pairs(labels, x), similarity_join(labels, x)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_x_labels_may_repeat(spark):
+    x = spark.createDataFrame(
+        [("Congo", 4), ("Chad", 2), ("Congo", 1), ("Chda", 3), ("Congo", 7)], "label string, ord long"
+    )
+    got = similarity_join(side(spark, ["Congo", "Congoo", "Peru"]), x).select("label", "x_label", "score")
+    found = sorted((r.label, r.x_label, r.score and round(r.score, 2)) for r in got.collect())
+    assert found == [("Congo", "Congo", 100.0), ("Congoo", "Congo", 90.91), ("Peru", None, None)]
+
+
+def test_no_rows_for_lengths_the_other_side_does_not_have(spark):
+    """Digits alone: only the windows of eight characters can hold one. The longer label: one partner length."""
+    x = side(spark, [f"Customer#{i:09d}" for i in range(20)])
+    labels = side(spark, [f"{i:09d}" for i in range(10)] + [f"Mr customer#{i:09d}" for i in range(10)])
+    lengths, x_lengths = signatures.text_lengths(labels, x)
+    assert (lengths, x_lengths) == (([9, 21], [9, 21]), ([18], [18]))
+    made = signatures.first_rows(join.rare_first(x, []), False, lengths).groupBy("kind").count()
+    assert {r.kind: r["count"] / 20 for r in made.collect()} == {"r": 4, "s": 1, "a": 11}
+    got = similarity_join(labels, x).collect()
+    names = [r.label for r in x.collect()]
+    assert {r.label: (r.x_label, r.score) for r in got} == brute_force([r.label for r in labels.collect()], names)
+
+
+def test_lengths_beyond_those_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(signatures, "MOST", 9)
+    rnd = random.Random(12)
+    x = list(dict.fromkeys(random_label(rnd) for _ in range(100)))
+    labels = list(dict.fromkeys(varied(rnd, rnd.choice(x)) for _ in range(100)))
+    got = similarity_join(side(spark, labels), side(spark, x)).collect()
+    assert {r.label: (r.x_label, r.score) for r in got} == brute_force(labels, x)

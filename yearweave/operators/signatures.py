@@ -19,6 +19,9 @@ segment without edits. So some segment i is intact with exactly i edits left of
 d - i right of it. Its shift then has the parity of i and at most i steps, and both remainders
 are again pairs of texts with a known edit bound: the `parts` of a row.
 
+Rows are made only for partner lengths that the other side has, so labels that nothing is near in
+length cost few rows.
+
 A key that too many labels of both sides share is refined: its rows are replaced by rows with
 longer keys, each again necessary for the pair.
 
@@ -30,6 +33,8 @@ longer keys, each again necessary for the pair.
     a, b      the whole shorter label (families A, B)
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +47,8 @@ CLASS_STEP = 1.25
 #: Tokens whose frequency decides the order of tokens; a list that is fetched, so it is bounded.
 FREQUENT = 256
 STATE = ["key", "kind", "label", "ord", "parts", "delta", "toks", "used", "at", "id"]
+#: Text lengths that are told apart; a list that is fetched, so it is bounded.
+MOST = 256
 #: Families whose rows name their label by `id`, a hash of it: long labels have many rows.
 BY_ID = ("q", "u")
 SEGMENT_KINDS = ("r", "t", "d")
@@ -77,15 +84,47 @@ def joined(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
+class Lengths(NamedTuple):
+    """Text lengths that occur on one side; MOST stands for itself and all above it."""
+
+    raw: list[int]
+    tokens: list[int]
+
+
+def text_lengths(labels: DataFrame, x: DataFrame) -> tuple[Lengths, Lengths]:
+    """The lengths of both sides' raw labels and sorted tokens: at most MOST + 1 each, whatever the data."""
+
+    def of(df: DataFrame, probe: bool) -> DataFrame:
+        n = F.least(F.length("text"), F.lit(MOST)).alias("n")
+        return texts(df).select(F.lit(probe).alias("probe"), "kind", n)
+
+    found = of(labels, True).unionAll(of(x, False)).distinct().collect()
+
+    def side(probe: bool) -> Lengths:
+        return Lengths(*(sorted(r.n for r in found if (r.probe, r.kind) == (probe, k)) for k in "rt"))
+
+    return side(True), side(False)
+
+
+def has(lengths: list[int], n: Column) -> Column:
+    return F.least(n, F.lit(MOST)).isin(lengths)
+
+
+def has_between(lengths: list[int], low: Column, high: Column) -> Column:
+    low, high = F.least(low, F.lit(MOST)), F.least(high, F.lit(MOST))
+    known = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    return F.exists(known, lambda n: (n >= low) & (n <= high))
+
+
 def steps(low: Column, high: Column, by: int = 1) -> Column:
     """low..high as rows; no row when the range is empty."""
     low, high = low.cast("int"), high.cast("int")
     return F.explode(F.when(low <= high, F.sequence(low, high, F.lit(by))))
 
 
-def with_partner_lengths(df: DataFrame, full: Column, probe: bool) -> DataFrame:
-    """One row per partner length within the edit bound, with `bound` (of the right parity) and
-    `delta`, by how much the probing side is longer.
+def with_partner_lengths(df: DataFrame, full: Column, probe: bool, partners: Lengths) -> DataFrame:
+    """One row per partner length within the edit bound that the other side has, with `bound` (of the
+    right parity) and `delta`, by how much the probing side is longer.
 
     `full` is the length the bound is taken on; the column `v` holds the bound's divisor. The
     partner length runs over all values with |full - other| <= (full + other) / v.
@@ -95,6 +134,8 @@ def with_partner_lengths(df: DataFrame, full: Column, probe: bool) -> DataFrame:
     low = F.ceil(F.col("_full") * (v - 1) / (v + 1))
     high = F.floor(F.col("_full") * (v + 1) / (v - 1))
     df = df.withColumn("_other", steps(low, high))
+    raw, tokens = (has(lengths, F.col("_other")) for lengths in partners)
+    df = df.where(F.when(F.col("kind") == "r", raw).otherwise(tokens))
     both = F.col("_full") + F.col("_other")
     bound = F.floor(both / v).cast("int")
     delta = F.col("_full") - F.col("_other") if probe else F.col("_other") - F.col("_full")
@@ -175,9 +216,9 @@ def texts(df: DataFrame) -> DataFrame:
     return each.select("label", "ord", "_t.*")
 
 
-def text_rows(df: DataFrame, probe: bool, max_x: int | None) -> DataFrame:
+def text_rows(df: DataFrame, probe: bool, max_x: int | None, partners: Lengths) -> DataFrame:
     """Families r and t for x texts of at most `max_x` characters (None: of any length)."""
-    out = with_partner_lengths(texts(df), F.length("text"), probe)
+    out = with_partner_lengths(texts(df), F.length("text"), probe, partners)
     if max_x is not None:
         n = F.length("text") - (F.col("delta") if probe else F.lit(0))
         out = out.where(n <= max_x)
@@ -262,13 +303,13 @@ def prefix_size(n: Column) -> Column:
     return F.pow(F.lit(2), F.length(F.bin(n)) - 1).cast("int")
 
 
-def window_rows(df: DataFrame, probe: bool) -> DataFrame:
+def window_rows(df: DataFrame, probe: bool, partners: Lengths) -> DataFrame:
     """Families a and b. The probing side is the shorter one in a, the x side in b."""
     m = F.length("label")
     shorter, longer = ("a", "b") if probe else ("b", "a")
     size = prefix_size(m)
     as_shorter = rows(
-        df.where(m > 0),
+        df.where((m > 0) & has_between(partners.raw, F.ceil(m * 1.5), m * 8)),
         key=F.xxhash64(F.lit(shorter), F.substring("label", F.lit(1), size)),
         kind=F.lit(shorter),
         at=F.lit(-1),
@@ -278,6 +319,8 @@ def window_rows(df: DataFrame, probe: bool) -> DataFrame:
     longer_side = df.where(high >= F.greatest(low, F.lit(1)))
     longer_side = longer_side.withColumn("_power", steps(first, last))
     longer_side = longer_side.withColumn("_size", F.pow(F.lit(2), F.col("_power")).cast("int"))
+    least, most = F.greatest(low, F.col("_size")), F.least(high, F.col("_size") * 2 - 1)
+    longer_side = longer_side.where(has_between(partners.raw, least, most))
     longer_side = longer_side.withColumn("at", steps(F.lit(0), m - F.col("_size")))
     text = F.substring("label", F.col("at") + 1, F.col("_size"))
     as_longer = rows(
@@ -290,10 +333,10 @@ def window_rows(df: DataFrame, probe: bool) -> DataFrame:
     return as_shorter.unionAll(as_longer)
 
 
-def first_rows(df: DataFrame, probe: bool) -> DataFrame:
-    """All signature rows of (label, ord, toks)."""
-    out = text_rows(df, probe, LONG)
-    for more in (token_rows(df), window_rows(df, probe), long_rows(df, probe)):
+def first_rows(df: DataFrame, probe: bool, partners: Lengths) -> DataFrame:
+    """All signature rows of (label, ord, toks); `partners` are the lengths of the other side."""
+    out = text_rows(df, probe, LONG, partners)
+    for more in (token_rows(df), window_rows(df, probe, partners), long_rows(df, probe)):
         out = out.unionAll(more)
     return out
 
@@ -309,14 +352,14 @@ def row_weight() -> Column:
     )
 
 
-def refine(df: DataFrame, probe: bool, labels: DataFrame) -> DataFrame:
+def refine(df: DataFrame, probe: bool, labels: DataFrame, partners: Lengths) -> DataFrame:
     """Replace rows of over-full keys (none of a final family) by rows with longer keys. `labels` is
-    the side's (label, ord)."""
+    the side's (label, ord), `partners` are the lengths of the other side."""
     out = refine_parts(df.where(F.col("kind").isin(*SEGMENT_KINDS)), probe)
     chunks = df.where(F.col("kind").isin(*BY_ID)).select("id").distinct()
-    chunks = labels.withColumn("id", F.xxhash64("label")).join(chunks, "id").select("label", "ord")
-    out = out.unionAll(text_rows(chunks, probe, None))
-    out = out.unionAll(refine_tokens(df.where(F.col("kind") == "s"), probe))
+    chunks = labels.withColumn("id", F.xxhash64("label")).join(chunks.hint("merge"), "id").select("label", "ord")
+    out = out.unionAll(text_rows(chunks, probe, None, partners))
+    out = out.unionAll(refine_tokens(df.where(F.col("kind") == "s"), probe, partners))
     return out.unionAll(refine_windows(df.where(F.col("kind").isin("a", "b")), probe))
 
 
@@ -369,7 +412,7 @@ def with_shift(df: DataFrame) -> DataFrame:
     return df.withColumn("parts", F.concat(closed, sides).cast(PARTS))
 
 
-def refine_tokens(df: DataFrame, probe: bool) -> DataFrame:
+def refine_tokens(df: DataFrame, probe: bool, partners: Lengths) -> DataFrame:
     place = F.array_position("toks", F.element_at("used", -1)).cast("int")
     more = df.withColumn("_t", F.explode(F.slice("toks", place + 1, F.size("toks"))))
     more = rows(
@@ -398,7 +441,7 @@ def refine_tokens(df: DataFrame, probe: bool) -> DataFrame:
         "label", "ord", "text", "toks", F.lit("d").alias("kind"), F.col("key").alias("_parent")
     )
     apart = apart.withColumn("v", F.lit(TOKENS))
-    apart = with_partner_lengths(apart, F.length(joined("toks")), probe)
+    apart = with_partner_lengths(apart, F.length(joined("toks")), probe, partners)
     apart = unsplit(apart.where(F.col("bound") > 0), F.col("_parent"))
     return more.unionAll(ends[0]).unionAll(ends[1]).unionAll(segment_rows(apart, probe))
 

@@ -18,10 +18,12 @@ from yearweave.operators.signatures import (
     TOKENS,
     first_rows,
     frequent_tokens,
+    has,
     joined,
     rare_first,
     refine,
     row_weight,
+    text_lengths,
 )
 from yearweave.session import cut_lineage, stage
 
@@ -36,32 +38,41 @@ TOKENS_AT_MOST = 100.0 * TOKEN_WEIGHT
 def similarity_join(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """(label, ord) x (label, ord) -> label, ord, x_label, score; x_label is null below 90.
 
-    Labels are unique within each side. Among equal scores the first x label by `ord` wins.
+    Labels are unique on the left side; of x rows with the same label the first by `ord` counts. Among
+    equal scores the first x label by `ord` wins. The joins are hinted: the planner takes rows for as
+    small as the files they come from, before they are multiplied, and would send them to the driver
+    to be broadcast.
     """
-    equal, rest = equal_labels(labels, x)
     x = x.where(F.col("label").isNotNull() & (F.col("label") != ""))
+    x = x.groupBy("label").agg(F.min("ord").alias("ord"))
+    equal, rest = equal_labels(labels, x)
     open_labels = stage(rest.where(F.col("label") != ""))
     nearest = stage(best_partner(close_pairs(open_labels, x)).where(cannot_be_beaten()))
-    far = open_labels.join(nearest.select("label"), "label", "left_anti")
+    far = open_labels.join(nearest.select("label").hint("merge"), "label", "left_anti")
     best = nearest.unionByName(best_partner(candidate_pairs(far, x, fanout)))
-    return equal.unionByName(rest.join(best, "label", "left").select(*equal.columns))
+    return equal.unionByName(rest.join(best.hint("merge"), "label", "left").select(*equal.columns))
 
 
 def close_pairs(labels: DataFrame, x: DataFrame) -> DataFrame:
     """Distinct (label, x_label, x_ord) of all pairs that become equal when at most one character is
-    left out of either. A key is shared only by labels that are one character longer, or it itself."""
+    left out of either. A key is shared only by labels that are one character longer, or it itself.
+    Texts are made only of lengths that the other side's texts can have."""
+    lengths, x_lengths = text_lengths(labels, x)
 
-    def shortened(df: DataFrame) -> DataFrame:
+    def shortened(df: DataFrame, partners: list[int]) -> DataFrame:
         n = F.length("label")
         without = F.transform(
             F.sequence(F.lit(1), n),
             lambda i: F.concat(F.substr("label", F.lit(1), i - 1), F.substr("label", i + 1)),
         )
-        texts = F.array_distinct(F.concat(F.array("label"), without))
+        none = F.array().cast("array<string>")
+        whole = F.when(has(partners, n) | has(partners, n + 1), F.array("label")).otherwise(none)
+        without = F.when(has(partners, n - 1) | has(partners, n), without).otherwise(none)
+        texts = F.array_distinct(F.concat(whole, without))
         return df.select("label", "ord", F.explode(F.transform(texts, lambda t: F.xxhash64(t))).alias("key"))
 
-    l, r = shortened(labels).alias("l"), shortened(x).alias("r")
-    pairs = l.join(r, F.col("l.key") == F.col("r.key")).select(
+    l, r = shortened(labels, x_lengths.raw).alias("l"), shortened(x, lengths.raw).alias("r")
+    pairs = l.join(r.hint("merge"), F.col("l.key") == F.col("r.key")).select(
         F.col("l.label").alias("label"), F.col("r.label").alias("x_label"), F.col("r.ord").alias("x_ord")
     )
     return pairs.distinct()
@@ -78,7 +89,9 @@ def equal_labels(labels: DataFrame, x: DataFrame) -> tuple[DataFrame, DataFrame]
     """(label, ord, x_label, score) of the labels that an x label equals, and (label, ord) of the rest."""
     labels = labels.where(F.col("label").isNotNull())
     x = x.where(F.col("label").isNotNull() & (F.col("label") != ""))
-    same = labels.join(x.select(F.col("label").alias("x_label")), F.col("label") == F.col("x_label"), "left")
+    same = labels.join(
+        x.select(F.col("label").alias("x_label")).hint("merge"), F.col("label") == F.col("x_label"), "left"
+    )
     equal = same.where(F.col("x_label").isNotNull()).withColumn("score", F.lit(100.0))
     return equal, same.where(F.col("x_label").isNull()).drop("x_label")
 
@@ -110,9 +123,10 @@ def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
     make cheaper (one side is short, or the key already says all) are joined cell by cell.
     """
     frequent = frequent_tokens(labels, x)
+    lengths, x_lengths = text_lengths(labels, x)
     # read by the key counts, by the join of the quiet keys and by the busy ones
-    left = stage(first_rows(rare_first(labels, frequent), True))
-    right = stage(first_rows(rare_first(x, frequent), False))
+    left = stage(first_rows(rare_first(labels, frequent), True, x_lengths))
+    right = stage(first_rows(rare_first(x, frequent), False, lengths))
     found = None
     while True:
         busy = cut_lineage(busy_keys(left, right, fanout))
@@ -126,17 +140,18 @@ def candidate_pairs(labels: DataFrame, x: DataFrame, fanout: int = FANOUT) -> Da
         found = union(found, match_cells(left.where(stays), right.where(stays)))
         if left.where(~stays).isEmpty():
             break
-        left = cut_lineage(refine(left.where(~stays).drop(*BUSY), True, labels))
-        right = cut_lineage(refine(right.where(~stays).drop(*BUSY), False, x))
-    return one_row_per_pair(long_pairs(found, labels, x).unionByName(found.where("id is null").drop("id", "x_id")))
+        left = cut_lineage(refine(left.where(~stays).drop(*BUSY), True, labels, x_lengths))
+        right = cut_lineage(refine(right.where(~stays).drop(*BUSY), False, x, lengths))
+    short = found.where("id is null and x_id is null").drop("id", "x_id")
+    return one_row_per_pair(long_pairs(found, labels, x).unionByName(short))
 
 
 def long_pairs(found: DataFrame, labels: DataFrame, x: DataFrame) -> DataFrame:
     """The pairs found by ids with their labels: each pair is looked at once, however many keys it shares."""
-    ids = found.where("id is not null").select("id", "x_id").distinct()
+    ids = found.where("id is not null and x_id is not null").select("id", "x_id").distinct()
     l = labels.select("label", F.xxhash64("label").alias("id"))
     r = x.select(F.col("label").alias("x_label"), F.col("ord").alias("x_ord"), F.xxhash64("label").alias("x_id"))
-    pairs = ids.join(l, "id").join(r, "x_id").drop("id", "x_id")
+    pairs = ids.join(l.hint("merge"), "id").join(r.hint("merge"), "x_id").drop("id", "x_id")
 
     def close(a: Column, b: Column, v: int) -> Column:
         return F.levenshtein(a, b) <= F.floor((F.length(a) + F.length(b)) / v)
@@ -178,7 +193,7 @@ def busy_keys(left: DataFrame, right: DataFrame, fanout: int) -> DataFrame:
 
 
 def match(left: DataFrame, right: DataFrame) -> DataFrame:
-    l, r = left.alias("l"), right.alias("r")
+    l, r = left.alias("l"), right.alias("r").hint("merge")
     return kept(l.join(r, (F.col("l.key") == F.col("r.key")) & may_match()))
 
 
@@ -198,7 +213,7 @@ def match_cells(left: DataFrame, right: DataFrame) -> DataFrame:
 
     l, r = deal(left, "n_l", "n_x").alias("l"), deal(right, "n_x", "n_l").alias("r")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "_n_l", "_n_x")]
-    return kept(l.join(r, same[0] & same[1] & same[2] & may_match()))
+    return kept(l.join(r.hint("merge"), same[0] & same[1] & same[2] & may_match()))
 
 
 def kept(pairs: DataFrame) -> DataFrame:
