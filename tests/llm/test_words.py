@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from yearweave.llm import graph
 from yearweave.llm import words as W
 from yearweave.llm.graph import components
 
@@ -67,5 +68,24 @@ def test_components(spark, seed):
     assert sorted(got) == sorted((x, find(x)) for x in linked)
 
 
+def test_no_list_of_nodes_is_broadcast(spark, tmp_path):
+    """A file of links is small, the minima dealt out to their partitions need not be."""
+    links = [(i, i + k) for i in range(300) for k in (1, 2)]
+    spark.createDataFrame(links, "u long, v long").write.parquet(str(tmp_path / "links"))
+    found = graph._with_minimum(spark.read.parquet(str(tmp_path / "links")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted((u, v, u + 1) for u, v in links)
+
+
+def test_a_minimum_is_dealt_to_the_partitions_of_its_links_only(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, i) for i in range(400)], "u long, v long")
+    met, kind = [], type(links)
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, *a: met.append(other) or join(self, other, *a))
+    assert graph._with_minimum(links).count() == 500
+    assert met[0].where("u < 500").count() == 100 and met[0].where("u = 500").count() == graph.SALTS
+
+
 def test_no_links_no_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []

@@ -11,16 +11,23 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-#: Partitions that a node's links are dealt to, by their other end.
+#: Partitions that a node's links are dealt to, by their other end; at most 64, the bits of a long.
 SALTS = 32
 
 
 def _with_minimum(links: DataFrame) -> DataFrame:
-    """(u, v, m): each link with the smallest v of its u."""
-    low = links.groupBy("u").agg(F.min("v").alias("m"))
-    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """(u, v, m): each link with the smallest v of its u.
+
+    A minimum is repeated for the partitions that links of its u are dealt to, and only for these, so
+    there are never more of them than links. The optimizer takes exploded rows for as small as the
+    table they come from, so a sort-merge join is asked for: no list of nodes passes the driver.
+    """
     dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return dealt.join(low, ["u", "salt"]).drop("salt")
+    used = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("used")
+    low = dealt.groupBy("u").agg(F.min("v").alias("m"), used)
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    low = low.where(F.getbit("used", "salt") == 1).drop("used")
+    return dealt.join(low.hint("merge"), ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
