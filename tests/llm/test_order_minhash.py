@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from yearweave.llm import graph
 from yearweave.llm import order_minhash as O
 from yearweave.llm.words import FOLDED, Words
+from yearweave.session import stage
 
 
 def common(a, b):
@@ -180,6 +182,25 @@ def test_texts_that_share_an_id_stay_apart(spark):
     assert O.deduplicate(df).count() == 1
 
 
+def test_no_list_of_texts_is_broadcast(spark, copies, tmp_path, monkeypatch):
+    """Files of nodes and links are small, what is made from them need not be. Only the sizes of families may be
+    sent to all tasks, as they are never more than the optimizer takes them for."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    for module in (O, graph):
+        monkeypatch.setattr(module, "stage", noted)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(copies, "doc_id long, text string").write.parquet(path)
+    out = O.classes(spark.read.parquet(path))
+    noted(out)
+    assert len(plans) > 6 and sum("MergeJoin" in p for p in plans) > 4
+    assert not [p for p in plans if "Broadcast" in p and "_link(" not in p]
+
+
 def test_the_registered_query(spark, sf_dir):
     got = O.op10_order_minhash(spark, sf_dir)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]

@@ -281,7 +281,7 @@ def _found(members: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.join(wanted, F.col("doc_id") == F.col("member"), "left_semi").select("doc_id", "text")
     # the id of a text may be that of other texts too, and of more rows with the same text
     words = texts.mapInArrow(_word_batches, "digest binary, words binary").dropDuplicates(["digest"])
-    rows = words.join(members, "digest").select(
+    rows = words.join(members.hint("merge"), "digest").select(
         "node", F.col("component").alias("family"), "words", (F.octet_length("words") / 4).alias("n")
     )
     rows = stage(rows)
@@ -322,14 +322,17 @@ def _classes(docs: DataFrame) -> DataFrame:
     nodes = stage(texts.withColumn("node", F.monotonically_increasing_id()))
     places = nodes.select("node", F.explode("keys").alias("key"))
     shared = places.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size"))
-    met = places.join(shared.where("size > 1"), "key")
-    members = components(met, "node", "low").join(nodes.select("node", "digest", "doc_id"), "node")
+    # exploded keys and well-packed columns are more rows than the optimizer takes them for, so no join
+    # of nodes is left to it: none is broadcast
+    met = places.join(shared.where("size > 1").hint("merge"), "key")
+    members = components(met, "node", "low").hint("merge")
+    members = members.join(nodes.select("node", "digest", "doc_id"), "node")
     found = _found(members, docs)
     group = F.coalesce("component", "node")
-    grouped = nodes.join(found, "node", "left").select("digest", "doc_id", group.alias("group"))
+    grouped = nodes.join(found.hint("merge"), "node", "left").select("digest", "doc_id", group.alias("group"))
     first = F.min(F.struct("doc_id", "digest")).alias("first")
-    owner = grouped.join(grouped.groupBy("group").agg(first), "group").select("digest", "first")
-    out = rows.select("doc_id", "digest").join(owner, "digest", "left")
+    owner = grouped.join(grouped.groupBy("group").agg(first).hint("merge"), "group").select("digest", "first")
+    out = rows.select("doc_id", "digest").join(owner.hint("merge"), "digest", "left")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     return out.select(
         "doc_id",
