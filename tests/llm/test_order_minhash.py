@@ -201,6 +201,13 @@ def test_no_list_of_texts_is_broadcast(spark, copies, tmp_path, monkeypatch):
     assert not [p for p in plans if "Broadcast" in p and "_link(" not in p]
 
 
+def test_the_texts_are_dealt_out_once_for_what_is_kept(spark, copies):
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    plan = O.deduplicate(df)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "_digest#" in x]
+    assert len(moved) == 2  # those of the texts, and the list of what is kept
+
+
 def test_the_registered_query(spark, sf_dir):
     got = O.op10_order_minhash(spark, sf_dir)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]

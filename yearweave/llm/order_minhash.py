@@ -356,10 +356,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class, and one for each id of a text without a word. Rows without a doc_id
     stay, since no class can name them."""
     kept = _classes(docs).where("kept and doc_id is not null")
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    # no digest is empty, so an empty one can stand for none: with plain keys the texts move once, as the
+    # partitions of the join are those of the repeated rows too
+    none = F.lit(b"")
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.coalesce("digest", none).alias("_kept_digest"))
     kept = kept.distinct().hint("merge")
-    ours = docs.where("doc_id is not null").withColumn("_digest", _digests("text"))
-    same = (F.col("doc_id").cast("long") == F.col("_kept_id")) & F.col("_digest").eqNullSafe(F.col("_kept_digest"))
+    ours = docs.where("doc_id is not null").withColumn("_digest", F.coalesce(_digests("text"), none))
+    same = (F.col("doc_id").cast("long") == F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
     ours = ours.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
     return ours.unionByName(docs.where("doc_id is null"))
 
